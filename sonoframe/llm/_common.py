@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers take at once; their scratch arrays hold about 60 bytes for each.
 BLOCK_BYTES = 1 << 20
@@ -172,3 +173,55 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndar
         out += words[k : k + total] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
     first = np.repeat(rows[:-1] - at[:-1], counts) + np.arange(at[-1])
     return mix(out[first]), at
+
+
+def sets_of(column: pa.Array, n: int) -> list[np.ndarray]:
+    """The distinct n-word shingles of each row, sorted; a row of fewer words has one of all of them, if any."""
+    words, rows = word_hashes(column)
+    shingles, at = shingle_hashes(words, rows, n)
+    out = []
+    for a, b, v, w in zip(at[:-1].tolist(), at[1:].tolist(), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        if b > a:
+            x = np.sort(shingles[a:b])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
+        else:
+            own = words[v:w]
+            out.append(mix(np.cumsum(own * (np.arange(1, len(own) + 1, dtype=np.uint64) * _GOLD))[-1:]))
+    return out
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index of each of n nodes' components, given edges a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): each node as id with its component's least node as label.
+
+    Each round takes the least label among the neighbours and then that label's own label, so chains halve. Labels
+    stay on the executors and are checkpointed each round; one row per node, a hub's edges are pre-aggregated.
+    """
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label")))
+    while True:
+        said = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        new = label.join(said, "id").select("id", "label", F.least("label", "heard").alias("low"))
+        hop = label.select(F.col("id").alias("low"), F.col("label").alias("lower"))
+        new = cut(new.join(hop, "low").select("id", F.col("label").alias("was"), F.col("lower").alias("label")))
+        done = new.where("was <> label").isEmpty()
+        label = new.select("id", "label")
+        if done:
+            return label
