@@ -8,12 +8,14 @@ from sonoframe.llm.lm_scoring import OP1_SQL, op1_lm_scoring
 from sonoframe.llm.ngram_join import op9_ngram_join
 from sonoframe.llm.packing import op4_packing
 from sonoframe.llm.quality import op5_quality
+from sonoframe.llm.suffix_dedup import op3_suffix_dedup
 from sonoframe.llm.token_counts import op10_token_counts
 from sonoframe.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
