@@ -38,26 +38,27 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     """The nodes (conv_id, node, parent, score, ...) of each conversation's best root-to-leaf path, with their depth.
 
     Self-joins double the step: after round k each node knows its ancestor 2**k up and the scores on the way, so a path
-    of n nodes takes log2 n rounds and no row ever holds a whole path. Branches rank by mean score, then by more nodes,
+    of n nodes takes log2 n rounds, in which only nodes that have not reached their root take part, and no row ever
+    holds a whole path. Branches rank by mean score, then by more nodes,
     then by the lower leaf. From the best leaf the same steps, largest first, mark its ancestors. A parent that is not
     there makes a root; nodes in a loop are under no root and are left out.
     """
     real = nodes.select("conv_id", F.col("node").alias("parent")).withColumn("has", F.lit(True))
     step = nodes.select("conv_id", "node", "parent", "score").join(real, ["conv_id", "parent"], "left")
     step = cut(step.select("conv_id", "node", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("far"), F.coalesce(F.col("score"), F.lit(0.0)).alias("sum")))
-    steps = [step]
-    limit = step.count()
-    while (1 << len(steps)) <= 2 * max(limit, 1) and not steps[-1].where("up is not null").isEmpty():
-        a, b = steps[-1], steps[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
-        j = a.join(b, ["conv_id", "up"], "left")
-        steps.append(cut(j.select("conv_id", "node", F.col("up2").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))))
-    whole = steps[-1].where("up is null")
+    whole, climbing, limit = step.where("up is null"), step.where("up is not null"), step.count()
+    hops = []
+    while (1 << len(hops)) <= 2 * max(limit, 1) and not climbing.isEmpty():
+        hops.append(climbing.select("conv_id", "node", "up"))
+        ahead = whole.union(climbing).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
+        j = climbing.join(ahead, ["conv_id", "up"])
+        j = cut(j.select("conv_id", "node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum")))
+        whole, climbing = whole.union(j.where("up is null")), j.where("up is not null")
     inner = step.where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
     leaves = whole.join(inner, ["conv_id", "node"], "left_anti")
     best = leaves.groupBy("conv_id").agg(F.min_by("node", F.struct(-F.col("sum") / F.col("far"), -F.col("far"), "node")).alias("node"))
-    for hop in reversed(steps[:-1]):
-        best = best.union(best.join(hop.where("up is not null"), ["conv_id", "node"]).select("conv_id", F.col("up").alias("node")))
-        best = cut(best)
+    for hop in reversed(hops):
+        best = cut(best.union(best.join(hop, ["conv_id", "node"]).select("conv_id", F.col("up").alias("node"))))
     return best.join(whole.select("conv_id", "node", (F.col("far") - 1).alias("depth")), ["conv_id", "node"])
 
 

@@ -10,6 +10,7 @@ from sonoframe.llm.packing import op4_packing
 from sonoframe.llm.quality import op5_quality
 from sonoframe.llm.suffix_dedup import op3_suffix_dedup
 from sonoframe.llm.token_counts import op10_token_counts
+from sonoframe.llm.toxicity import op8_toxicity
 from sonoframe.llm.url_filter import op6_url_filter
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
 }
