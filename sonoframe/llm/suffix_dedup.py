@@ -18,7 +18,9 @@ PLACE_BITS = 28
 #: Contexts of one sample string that are sorted in one task; those of a more frequent string are dealt by hash.
 LARGE = 4096
 #: Bytes of contexts sorted at once, and rows held of one sample string before it counts as a large one.
-SORT_BYTES, HELD_ROWS = 2 << 20, 200_000
+SORT_BYTES, HELD_ROWS = 1 << 20, 200_000
+#: Shares into which the strings of a bucket over HELD_ROWS are dealt, whose size isn't known when its first rows pass.
+STREAM_SHARDS = 4096
 
 
 def cover(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -125,7 +127,7 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, length: int) -> DataFrame
             if not whole:  # the last bucket goes on: it is a large one
                 large = int(key[-1])
                 ongoing |= key[one] == large
-            shards = np.where(ongoing, 1024, np.where(shards > 1, 1024, 1))
+            shards = np.where(ongoing, STREAM_SHARDS, shards)
             ask = one[(many > 1) | ongoing]
             asked = np.concatenate([np.flatnonzero(done[kind]), ask])
             cover_ = np.arange(len(asked)) < len(asked) - len(ask)
@@ -172,10 +174,12 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, length: int) -> DataFrame
                     continue
                 _, start, hashes = window_hashes(piece, np.array([0, len(piece)]), length)
                 part = mix(hashes) % np.uint64(shards[i])
-                for p in np.unique(part).tolist():
-                    own = part == p
-                    packed = hashes[own].astype("<u8").tobytes() + start[own].astype("<u4").tobytes()
-                    out.append((int(mix(np.array([key[i]]).view(np.uint64) + np.uint64(p)).view(np.int64)[0]), i, int(own.sum()), packed))
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
+                share = mix(key[i : i + 1].view(np.uint64) + part[order][cuts]).view(np.int64)
+                hashes, start = hashes[order].astype("<u8"), start[order].astype("<u4")
+                for name, a, b in zip(share.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+                    out.append((name, i, b - a, hashes[a:b].tobytes() + start[a:b].tobytes()))
             if out:
                 keys, i, n, pieces = zip(*out, strict=True)
                 i = np.array(i)
@@ -255,14 +259,15 @@ def cut_up(whole: pa.Table, sort) -> Iterator[pa.RecordBatch]:
         start = end
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """A row per input row: id, n_bytes, spans (removed byte runs, as array of s and e), kept (binary), and row, a
     struct of the input's other columns.
 
     A byte is removed if a string of length bytes that covers it also starts anywhere else, in another document or
     in the same one; matches never cross documents. Null texts are empty; texts under length bytes are kept whole;
     of repeated rows, as of exact copies, every byte that such a string covers goes. An empty table gives an empty
-    result. Texts may have up to 256 MB.
+    result. With whole_characters, characters of which only some bytes would go go whole, so that kept stays valid
+    UTF-8. Texts may have up to 256 MB.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     others = [c for c in docs.columns if c not in (id_col, text_col)]
@@ -283,6 +288,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 found = lists[i].as_py() or []
                 merged: list[dict] = []
                 for x in found:
+                    while whole_characters and x["s"] and text[x["s"]] & 0xC0 == 0x80:
+                        x["s"] -= 1
+                    while whole_characters and x["e"] < len(text) and text[x["e"]] & 0xC0 == 0x80:
+                        x["e"] += 1
                     if merged and x["s"] <= merged[-1]["e"]:
                         merged[-1]["e"] = max(merged[-1]["e"], x["e"])
                     else:
