@@ -10,24 +10,21 @@ from sonoframe.llm._common import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and rows without a doc_id, which name none."""
     kept = quality.judge(docs.select("doc_id", "text")).where("kept").select("doc_id")
     return docs.join(kept.distinct(), "doc_id", "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays, once if its row is repeated."""
     kept = ngram_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 200 bytes that repeat across the corpus go; a character that is cut goes whole."""
-    removed = suffix_dedup.remove_repeats(docs)
-    text = F.replace(F.decode("kept", "UTF-8"), F.lit("�"), F.lit(""))
-    whole = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"]) == 0
-    text = F.when(whole, F.decode("kept", "UTF-8")).otherwise(text)
-    out = removed.select("doc_id", text.alias("text"), "row.*").withColumn("n_chars", F.length("text").cast("bigint"))
+    removed = suffix_dedup.remove_repeats(docs, whole_characters=True)
+    out = removed.select("doc_id", F.col("kept").cast("string").alias("text"), "row.*").withColumn("n_chars", F.length("text").cast("bigint"))
     return out.select(*docs.columns)
 
 

@@ -31,8 +31,7 @@ class BlockMaxIndex:
 
     def __init__(self, ids: list, labels: np.ndarray, weights: np.ndarray, share: np.ndarray):
         """weights: a normalised row per example; share: what an example stands for (labels are sampled by class)."""
-        order = np.lexsort(tuple(weights.T[::-1][:64])) if len(ids) else np.empty(0, np.int64)
-        order = order[np.argsort(-(weights[order] > 0).argmax(1), kind="stable")] if len(ids) else order
+        order = np.argsort(weights.argmax(1), kind="stable") if weights.size else np.arange(len(ids))  # like ones in a block
         self.ids, self.labels, self.share = [ids[i] for i in order], labels[order], share[order]
         self.weights = weights[order]
         starts = np.arange(0, len(order), BLOCK)

@@ -92,23 +92,24 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, smooth: float = SMO
     scored = pieces.join(scores, ["context", "symbol"]).groupBy("text").agg((F.sum(F.col("times") * F.col("score")) / F.sum("times")).alias("score"))
     scored = cut(scored)
     held = texts.where("ruled is not null and fold = 0").join(scored, "text").select(F.round(F.least(F.greatest("score", F.lit(-9.0)), F.lit(9.0)), 2).alias("score"), "ruled", "n")
-    limit = threshold(held)
+    both = known.select("good").distinct().count() == 2
+    limit = threshold(held) if both else float("-inf")
     out = u.join(scored, "text", "left")
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("score") < limit, "block").otherwise("allow"))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))
 
 
 def threshold(held: DataFrame) -> float:
-    """The score (of at most 1801 rounded ones) from which on to allow; -9 where a class is missing."""
+    """The score (of at most 1801 rounded ones) from which on to allow; 0 where a class is missing."""
     by = held.groupBy("score").agg(*(F.coalesce(F.sum(F.when(F.col("ruled") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("allow", "block"))).orderBy("score").collect()
     good, bad = sum(r.allow for r in by), sum(r.block for r in by)
-    best, at, below_good, below_bad = 1.0, -9.0, 0, 0
+    best, at, below_good, below_bad = 1.0, 0.0, 0, 0
     if not good or not bad:
         return at
-    for r in by:
+    for last, r in zip([by[0], *by], by):
         error = below_good / good + (bad - below_bad) / bad
         if error < best:
-            best, at = error, r.score - 0.005
+            best, at = error, (last.score + r.score) / 2
         below_good, below_bad = below_good + r.allow, below_bad + r.block
     return at
 
