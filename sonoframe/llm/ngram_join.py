@@ -14,8 +14,9 @@ from sonoframe.llm._common import blocks, components, cut, groups, mix, sets_of,
 BANDS, ROWS = 32, 5
 #: Hash values compared before each decision.
 STEP = 16
-#: Documents on each side of one comparison task; larger buckets and components are dealt out as pairs of blocks.
-BLOCK = 256
+#: Documents on each side of one task that compares MinHash values, and of one that compares shingles; larger buckets
+#: and components are dealt out as pairs of blocks.
+PRUNE_BLOCK, BLOCK = 1024, 256
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +56,11 @@ def least_matches(threshold: float, tolerance: float, k: int, step: int) -> dict
     return out
 
 
-def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (rows of left, rows of right) that no step drops; of the same rows each pair once."""
+def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int], same: bool, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of left, rows of right) that no step drops; of the same rows each pair once.
+
+    before has both sides' keys of the bands before this bucket's: a pair that shares one is met there.
+    """
     found = []
     steps = sorted(least)
     for i in range(0, len(left), 64):
@@ -67,6 +71,9 @@ def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int], same:
         if same:
             keep = a < b
             a, b, seen = a[keep], b[keep], seen[keep]
+        if before is not None:
+            keep = ~(before[0][a] == before[1][b]).any(1)
+            a, b, seen = a[keep], b[keep], seen[keep]
         for n in steps[1:]:
             seen = seen + (left[a, n - STEP : n] == right[b, n - STEP : n]).sum(-1, dtype=np.int16)
             keep = seen >= least[n]
@@ -75,9 +82,9 @@ def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int], same:
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def dealt(rows: DataFrame, key: str, size: str, own: str) -> DataFrame:
+def dealt(rows: DataFrame, key: str, size: str, own: str, block: int) -> DataFrame:
     """Give each row its tasks (key, lo, hi): one for a small group, else one for each pair of blocks with its own."""
-    n = F.ceil(F.col(size) / BLOCK)
+    n = F.ceil(F.col(size) / block)
     rows = rows.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64(own), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
@@ -121,9 +128,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     Rows with a null id are returned without links. Other columns are not read.
 
     Equal sets are one class and stand for their copies. Classes that share a band of MinHash values are candidates;
-    in each bucket, pairs of which the values compared so far leave no chance to reach threshold are dropped step by
+    of the buckets with the same members one is looked at, and a pair only in its first; there pairs of which the values compared so far leave no chance to reach threshold are dropped step by
     step. Within the components of what remains all pairs are verified exactly. Only counts and spanning edges leave a
-    task, never pairs; buckets and components over BLOCK members are dealt out as pairs of blocks, so none is capped.
+    task, never pairs; buckets and components over a block's members are dealt out as pairs of blocks, so none is capped.
     A pair of similarity 0.8 shares no band with a probability of 3e-6.
     """
     k = BANDS * ROWS
@@ -136,7 +143,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
             sets = sets_of(batch.column("text"), n)
             full = [i for i, s in enumerate(sets) if len(s)]
             m = minhash([sets[i] for i in full], k)
-            keys = mix((m.reshape(-1, BANDS, ROWS).astype(np.uint64) * c).sum(-1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+            keys = mix((m.reshape(-1, BANDS, ROWS).astype(np.uint64) * c).sum(-1) + np.arange(BANDS, dtype=np.uint64))
+            keys = (keys & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             one = np.array([sets[i].sum() for i in full], np.uint64).view(np.int64)
             two = np.array([mix(sets[i]).sum() for i in full], np.uint64).view(np.int64)
             sig = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((np.arange(len(full) + 1) * k).astype(np.int32)), pa.py_buffer((m & 0xFF).astype(np.uint8))])
@@ -154,8 +162,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
 
     banded = reps.select("rep", F.explode("keys").alias("key")).repartition("key")
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("m > 1")
-    buckets = buckets.groupBy("m", "x", "first", "last").agg(F.min("key").alias("key")).select("key", "m")
-    tasks = dealt(banded.join(buckets, "key"), "key", "m", "rep").join(reps.select("rep", "sig"), "rep")
+    buckets = buckets.groupBy("m", "x", "first", "last").agg(F.min_by("key", F.col("key").bitwiseAND(BANDS - 1)).alias("key")).select("key", "m")
+    tasks = dealt(banded.join(buckets, "key"), "key", "m", "rep", PRUNE_BLOCK).join(reps.select("rep", "sig", "keys"), "rep")
     least = least_matches(threshold, tolerance, k, STEP)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,20 +172,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
             data, _ = utf8(group.column("sig"))
             sig = data.reshape(-1, k)
             left, right, same = sides(group)
-            a, b = survivors(sig[left], sig[right], least, same)
+            band = group.column("task")[0].as_py() & BANDS - 1
+            keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
+            a, b = survivors(sig[left], sig[right], least, same, (keys[left], keys[right]))
             if len(a):
                 label = stars(len(sig), left[a], right[b])
                 part = np.flatnonzero(label != np.arange(len(sig)))
                 yield pa.RecordBatch.from_arrays([group.column("rep").combine_chunks().take(pa.array(part)), group.column("rep").combine_chunks().take(pa.array(label[part]))], ["a", "b"])
 
     order = ["task", "lo", "hi"]
-    edges = tasks.select(*order, "block", "rep", "sig").repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(prune, f"a {kind}, b {kind}")
+    edges = tasks.select(*order, "block", "rep", "sig", "keys").repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(prune, f"a {kind}, b {kind}")
     parts = components(edges)
     sizes = parts.groupBy("label").agg(F.count("*").alias("m"))
     parts = parts.join(sizes, "label").select(F.col("id").alias("rep"), "label", "m")
     parts = parts.join(classes.select("rep", "copies"), "rep")
     texts = own.join(parts, own["id"] == parts["rep"])
-    work = dealt(texts.select("label", "m", "rep", "copies", "text"), "label", "m", "rep")
+    work = dealt(texts.select("label", "m", "rep", "copies", "text"), "label", "m", "rep", BLOCK)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, order):
