@@ -72,7 +72,7 @@ def segments(chunks: DataFrame, stream: str, order: list[str], value: str, d: De
     zero = F.expr(f"cast(named_struct('mode', {WARM if d.warm_up >= 0 else IDLE}, 'ambient', 0D, 'hold', 0, 'warm', {d.warm_up}, 'start', 0L, 'out', array()) as {STATE})")
     indexed = F.transform("chunks", lambda v, i: F.struct(v.cast("double").alias("r"), ((i + 1) * d.chunk).cast("bigint").alias("end")))
     found = F.aggregate(indexed, zero, lambda s, c: step(d, s, c["r"], c["end"]).cast(STATE))["out"]
-    return ordered(chunks, stream, order, value).select(stream, F.explode(found).alias("s")).select(stream, "s.start", "s.stop")
+    return ordered(chunks, stream, order, value).select(stream, F.explode(found).alias("_segment")).select(stream, "_segment.start", "_segment.stop")
 
 
 def advance(d: Detector, s: dict, levels: list[float]) -> list[tuple[int, int]]:
