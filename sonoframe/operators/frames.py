@@ -92,12 +92,11 @@ def segments_of(starts: DataFrame, key: str, at: str, end: str) -> DataFrame:
 
 
 def band_shares(bins: DataFrame, key: str, hz: str, power: str, edges: tuple[float, ...] = (20.0, 250.0, 2000.0, 6000.0, 20000.0)) -> DataFrame:
-    """The share of the power in each band [edge, next edge), of all within the edges; all 0 in silence."""
+    """The share of all the power in each band [edge, next edge); all 0 in silence."""
     cols = [F.sum(F.when((F.col(hz) >= a) & (F.col(hz) < b), F.col(power)).otherwise(0.0)).alias(f"b{i}") for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    g = bins.groupBy(key).agg(*cols)
+    g = bins.groupBy(key).agg(*cols, F.sum(power).alias("_all"))
     names = [f"b{i}" for i in range(len(edges) - 1)]
-    total = sum((F.col(n) for n in names), F.lit(0.0))
-    return g.select(key, *(F.when(total > 0, F.col(n) / total).otherwise(0.0).alias(n) for n in names))
+    return g.select(key, *(F.when(F.col("_all") > 1e-20, F.col(n) / F.col("_all")).otherwise(0.0).alias(n) for n in names))
 
 
 def rms(x: str | Column) -> Column:

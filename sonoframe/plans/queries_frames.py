@@ -64,8 +64,8 @@ def chunk_rms(spark, d):
 
 
 @query("""with b as (select user_id, cast(hour(ts) as double) * 800 as hz, value * value as p from events), s as (select user_id, sum(case when hz >= 20 and hz < 250 then p else 0 end) as b0, sum(case when hz >= 250 and hz < 2000 then p else 0 end) as b1,
- sum(case when hz >= 2000 and hz < 6000 then p else 0 end) as b2, sum(case when hz >= 6000 and hz < 20000 then p else 0 end) as b3 from b group by user_id)
- select user_id, round(b0 / (b0+b1+b2+b3), 6) as b0, round(b1 / (b0+b1+b2+b3), 6) as b1, round(b2 / (b0+b1+b2+b3), 6) as b2, round(b3 / (b0+b1+b2+b3), 6) as b3 from s""")
+ sum(case when hz >= 2000 and hz < 6000 then p else 0 end) as b2, sum(case when hz >= 6000 and hz < 20000 then p else 0 end) as b3, sum(p) as t from b group by user_id)
+ select user_id, round(b0 / t, 6) as b0, round(b1 / t, 6) as b1, round(b2 / t, 6) as b2, round(b3 / t, 6) as b3 from s""")
 def band_energy(spark, d):
     b = table(spark, d, "events").select("user_id", (F.hour("ts") * 800.0).alias("hz"), (F.col("value") * F.col("value")).alias("p"))
     out = frames.band_shares(b, "user_id", "hz", "p")
