@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sonoframe.llm._common import blocks, mix, table, utf8, word_hashes
 
 #: Bytes of text in a block and in the share of it that meets in a bucket of the count table.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def grams(words: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]:
@@ -28,15 +29,46 @@ def grams(words: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def planes(x: np.ndarray) -> bytes:
-    """A sorted array of 64-bit numbers as the bytes of its differences, the highest of all first: those are mostly 0."""
-    d = np.diff(x, prepend=np.uint64(0)).astype(">u8")
-    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(x: np.ndarray, kind: str) -> bytes:
+    """Integers as compressed bytes, the highest byte of all first: these are mostly 0."""
+    raw = x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def from_planes(raw: bytes) -> np.ndarray:
-    d = np.frombuffer(raw, np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(d).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of hashes with 0 for none: where the others are, the distinct ones in order, each one's number among
+    these, and how often each is there."""
+    real = np.flatnonzero(h)
+    own = h[real]
+    order = np.argsort(own)
+    own = own[order]
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    number = np.empty(len(own), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return real, own[first], number, np.diff(np.append(first, len(own)))
+
+
+def others(n: int, row: np.ndarray, real: np.ndarray, number: np.ndarray, here: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """For each of n places the count of its n-gram in other documents than its own.
+
+    Of an n-gram that is once in the block its document has one; only the others are counted by document.
+    """
+    out = np.zeros(n, np.int64)
+    out[real] = totals[number] - 1
+    more = np.flatnonzero(here[number] > 1)
+    key = row[real[more]] * len(here) + number[more]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    size = np.diff(np.append(np.flatnonzero(new), len(key)))
+    out[real[more[order]]] -= size[np.cumsum(new) - 1] - 1 if len(key) else 0
+    return out
 
 
 def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unseen: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,9 +79,11 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
     are those of all other documents: a document's own are taken off. The shortest context has c(word) over all words,
     and a word that no other document has counts as unseen. n_order_k counts the words that a k-gram decided.
 
-    Every block of documents sends its distinct n-grams' hashes to the hash buckets of the count table, sorted and packed;
-    each bucket sums its counts and sends the blocks theirs; a block then joins them to its n-grams again and sums up
-    each document's. An n-gram comes once from each block, so frequent ones make no large bucket. Words are runs without
+    Every block of documents sends the hashes of its distinct n-grams to the hash buckets of the count table, sorted and
+    packed; each bucket sums its counts and sends the blocks theirs; a block then joins them to its n-grams and sums up
+    each document's. Lengths 1 and 2 go first. A longer n-gram is only asked for where both n-grams one shorter in it
+    are in other documents too, as it can't be otherwise. An n-gram comes once from each block, so frequent ones make no
+    large bucket. Words are runs without
     white space. Null and empty texts have no words; repeated rows are documents of their own; an empty table gives an
     empty result; other columns are not read.
     """
@@ -94,76 +128,104 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
     def bucket_of(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
-    def ask(group: pa.Table) -> pa.Table:
-        n_grams, _ = hashed(texts(group.column("docs")))
-        every = np.sort(np.concatenate(n_grams))
+    def lengths(step: int) -> slice:
+        """The n-gram lengths (less 1) that round step asks for."""
+        return slice(0, 2) if step == 0 else slice(step + 1, step + 2)
+
+    def narrow(n_grams: list[np.ndarray], counts: list[np.ndarray], step: int) -> None:
+        """Leave of the n-grams of a later round those that can be in another document."""
+        if 0 < step and step + 1 < len(n_grams):
+            possible = counts[step] > 0
+            possible[1:] &= counts[step][:-1] > 0
+            possible[:1] = False
+            n_grams[step + 1] = np.where(possible, n_grams[step + 1], np.uint64(0))
+
+    def known(docs_: pa.Table, right: pa.Table, steps: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """From the answers to the first rounds: hashes by length (0 where one isn't asked for), counts, row offsets."""
+        n_grams, rows = hashed(docs_)
+        row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        counts: list[np.ndarray] = []
+        for step in range(steps):
+            mine = right.filter(pa.compute.equal(right.column("step"), step)).sort_by("bucket")
+            totals = np.concatenate([unpacked(x.as_py(), ">u8") for x in mine.column("totals")] or [np.empty(0, np.uint64)]).astype(np.int64)
+            own_ = [numbered(h) for h in n_grams[lengths(step)]]
+            every = np.sort(np.concatenate([distinct for _, distinct, _, _ in own_]))  # answers come in this order
+            every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]
+            for real, distinct, number, here in own_:
+                at = np.arange(len(every)) if len(distinct) == len(every) else np.searchsorted(every, distinct)
+                counts.append(others(len(row), row, real, number, here, totals[at]))
+            narrow(n_grams, counts, step + 1)
+        return n_grams, counts, rows
+
+    def requests(block: int, n_grams: list[np.ndarray], step: int) -> pa.Table:
+        every = np.sort(np.concatenate(n_grams[lengths(step)]))
         every = every[np.searchsorted(every, 1) :]
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
         count = np.diff(np.append(first, len(every)))
         every = every[first]
         cuts = np.searchsorted(bucket_of(every), np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        block = group.column("block")[0].as_py()
+        some = np.flatnonzero(np.diff(cuts)).tolist()
         return pa.table(
-            [pa.array(some), pa.array(np.full(len(some), block)), pa.array([planes(every[cuts[b] : cuts[b + 1]]) for b in some.tolist()], pa.binary()), pa.array([count[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in some.tolist()], pa.binary())],
+            [pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([packed(np.diff(every[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)), ">u8") for b in some], pa.binary()), pa.array([packed(count[cuts[b] : cuts[b + 1]], ">u4") for b in some], pa.binary())],
             ["bucket", "block", "hashes", "counts"],
         )
 
+    def ask(group: pa.Table) -> pa.Table:
+        n_grams, _ = hashed(texts(group.column("docs")))
+        return requests(group.column("block")[0].as_py(), n_grams, 0)
+
+    def ask_longer(step: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            n_grams, _, _ = known(texts(left.column("docs")), right, step)
+            return requests(left.column("block")[0].as_py(), n_grams, step)
+
+        return run
+
     def answer(group: pa.Table) -> pa.Table:
-        hashes = [from_planes(x.as_py()) for x in group.column("hashes")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group.column("counts")])
+        hashes = [np.cumsum(unpacked(x.as_py(), ">u8").astype(np.uint64), dtype=np.uint64) for x in group.column("hashes")]
+        counts = np.concatenate([unpacked(x.as_py(), ">u4") for x in group.column("counts")]).astype(np.int64)
         flat = np.concatenate(hashes)
         order_ = np.argsort(flat)
         new = np.append(True, flat[order_][1:] != flat[order_][:-1])
-        total_ = np.add.reduceat(counts[order_].astype(np.int64), np.flatnonzero(new))
+        total_ = np.add.reduceat(counts[order_], np.flatnonzero(new))
         back = np.empty(len(flat), np.int64)
         back[order_] = total_[np.cumsum(new) - 1]
         ends = np.cumsum([len(h) for h in hashes])
-        out = [back[e - len(h) : e].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for h, e in zip(hashes, ends.tolist(), strict=True)]
+        out = [packed(back[e - len(h) : e], ">u8") for h, e in zip(hashes, ends.tolist(), strict=True)]
         return pa.table([group.column("bucket"), group.column("block"), pa.array(out, pa.binary())], ["bucket", "block", "totals"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_ = texts(left.column("docs"))
-        n_grams, rows = hashed(docs_)
-        right = right.sort_by("bucket")
-        got = [np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T for x in right.column("totals")]
-        totals = np.ascontiguousarray(np.concatenate(got)).view("<u8").ravel().astype(np.int64) if got else np.empty(0, np.int64)
-        flat = np.concatenate(n_grams)
-        every, inverse = np.unique(flat, return_inverse=True)
-        if len(every) and every[0] == 0:
-            totals = np.append(0, totals)
-        inverse = inverse.reshape(order, -1)
-        sums, hits = np.zeros(docs_.num_rows), np.zeros((order, docs_.num_rows), np.int64)
-        for d, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
-            if a == b:
-                continue
-            mine = inverse[:, a:b]
-            uniq, back, own_ = np.unique(mine.ravel(), return_inverse=True, return_counts=True)
-            left_over = (totals[uniq] - own_)[back].reshape(order, -1)
-            s = np.zeros(b - a)
-            todo = np.ones(b - a, bool)
-            top = np.minimum(np.arange(b - a), order - 1)
-            for k in range(order - 1, 0, -1):
-                c = left_over[k, k:]
-                take = np.flatnonzero(todo[k:] & (c > 0)) + k
-                before = left_over[k - 1, take - 1]
-                s[take] = np.log(left_over[k, take] / before) + (top[take] - k) * np.log(discount)
-                hits[k, d] = len(take)
-                todo[take] = False
-            take = np.flatnonzero(todo)
-            s[take] = np.log(np.maximum(left_over[0, take], unseen) / max(corpus - (b - a), 1)) + top[take] * np.log(discount)
-            hits[0, d] = len(take)
-            sums[d] = s.sum()
+        _, counts, rows = known(docs_, right, rounds)
         n = np.diff(rows)
+        row = np.repeat(np.arange(len(n)), n)
+        top = np.minimum(np.arange(len(row)) - np.repeat(rows[:-1], n), order - 1)
+        used = np.zeros(len(row), np.int64)
+        for k in range(1, order):
+            used[counts[k] > 0] = k
+        before = np.maximum(corpus - n, 1)[row].astype(np.float64)
+        this = np.maximum(counts[0], unseen).astype(np.float64)
+        for k in range(1, order):
+            at = np.flatnonzero(used == k)
+            this[at], before[at] = counts[k][at], counts[k - 1][at - 1]
+        s = np.log(this / before) + (top - used) * np.log(discount)
+        sums = np.bincount(row, s, len(n))
+        hits = [np.bincount(row[used == k], minlength=len(n)) for k in range(order)]
         empty = n == 0
         return pa.table(
             [docs_.column("id"), pa.array(n), *(pa.array(h) for h in hits), pa.array(sums, mask=empty), pa.array(sums / np.maximum(n, 1), mask=empty)],
             [id_col, "n_words", *(f"n_order_{k + 1}" for k in range(order)), "score", "mean_score"],
         )
 
+    rounds = max(order - 1, 1)
     by_block = stored.mapInArrow(store, "block bigint, docs binary").repartition("block")
     asked = by_block.groupBy("block").applyInArrow(ask, "bucket bigint, block bigint, hashes binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "bucket bigint, block bigint, totals binary")
+    answered = None
+    for step in range(rounds):
+        if step:
+            asked = by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_longer(step), "bucket bigint, block bigint, hashes binary, counts binary")
+        new = asked.groupBy("bucket").applyInArrow(answer, "bucket bigint, block bigint, totals binary").withColumn("step", F.lit(step).cast("bigint")).repartition("block")
+        answered = new if answered is None else answered.union(new)
     schema = f"`{id_col}` {kind}, n_words bigint, {', '.join(f'n_order_{k + 1} bigint' for k in range(order))}, score double, mean_score double"
     return by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
 

@@ -6,6 +6,7 @@ from sonoframe.llm.chat_format import op7_chat_format
 from sonoframe.llm.decontaminate import OP2_SQL, op2_decontaminate
 from sonoframe.llm.lm_scoring import OP1_SQL, op1_lm_scoring
 from sonoframe.llm.ngram_join import op9_ngram_join
+from sonoframe.llm.oracles import OP3, OP7, OP9, quality, urls
 from sonoframe.llm.packing import op4_packing
 from sonoframe.llm.quality import op5_quality
 from sonoframe.llm.suffix_dedup import op3_suffix_dedup
@@ -26,4 +27,12 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_decontaminate": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_lm_scoring": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
+    "op3_suffix_dedup": OP3,
+    "op5_quality": quality(),
+    "op6_url_filter": urls(),
+    "op7_chat_format": OP7,
+    "op9_ngram_join": OP9,
+}

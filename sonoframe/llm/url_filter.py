@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, smooth: float = SMO
     host, path = parts(F.col(url_col))
     u = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     u = u.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), symbols(F.concat("host", "path")).alias("text"))
-    texts = cut(u.groupBy("text", "ruled").agg(F.count("*").alias("n"))).withColumn("fold", F.pmod(F.crc32(F.encode("text", "UTF-8")), F.lit(FOLDS)))
+    texts = cut(u.groupBy("text", "ruled").agg(F.count("*").alias("n"))).withColumn("fold", F.pmod(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint"), F.lit(FOLDS)))
     known = texts.where("ruled is not null and fold > 0").select("text", (F.col("ruled") == "allow").alias("good"), "n")
     model = counts(known.select("text", "good"), order)
     asked = texts.where("ruled is null or fold = 0").select("text").distinct()
