@@ -135,3 +135,59 @@ def cascade_delete(spark, d):
 def file_names(spark, d):
     name = F.concat(F.date_format("ts", "yyyy-MM-dd_HH-mm-ss"), F.lit("-000.wav"))
     return table(spark, d, "events").select("event_id", name.alias("file"), F.concat(name, F.lit(".analysis.json")).alias("sidecar"))
+
+
+@query("""with m as (select unnest([36, 38, 42, 46]) as note, unnest(['kick', 'snare', 'hat', 'hat']) as name) select event_id, name from (select event_id, 36 + event_id % 12 as n from events) e join m on m.note = e.n""")
+def note_lookup(spark, d):
+    """Each event's note to its assignment; the map is small and its size fixed, so it is broadcast."""
+    m = spark.createDataFrame([(36, "kick"), (38, "snare"), (42, "hat"), (46, "hat")], "note bigint, name string")
+    e = table(spark, d, "events").select("event_id", (36 + F.col("event_id") % 12).alias("note"))
+    return e.join(F.broadcast(m), "note").select("event_id", "name")
+
+
+@query("select p_partkey from part where upper(p_brand) in (select upper('brand#' || n_nationkey) from nation)")
+def reference_validation(spark, d):
+    """Assignments (parts) whose reference (brand) exists, in whatever case."""
+    known = table(spark, d, "nation").select(F.upper(F.concat(F.lit("brand#"), F.col("n_nationkey").cast("string"))).alias("ref"))
+    return table(spark, d, "part").withColumn("ref", F.upper("p_brand")).join(known, "ref", "left_semi").select("p_partkey")
+
+
+@query("select distinct event_type, user_id % 16 as channel from events")
+def mapped_controllers(spark, d):
+    return table(spark, d, "events").select("event_type", (F.col("user_id") % 16).alias("channel")).distinct()
+
+
+@query("select cast(floor(epoch(ts) / 60) as bigint) as frame, round(sum(value * 0.5), 6) as mixed, count(*) as voices from events group by 1")
+def voice_mix(spark, d):
+    """Voices summed per frame; sums are taken where the voices are before anything is shuffled."""
+    e = table(spark, d, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60e6).cast("bigint").alias("frame"), "value")
+    return e.groupBy("frame").agg(F.round(F.sum(F.col("value") * 0.5), 6).alias("mixed"), F.count("*").alias("voices"))
+
+
+@query("""with t as (select c_nationkey as k, sum(c_acctbal + 1000) as v from customer group by 1), r as (select k, sum(v) over (order by k) as upto, sum(v) over () as whole, row_number() over (order by k) as n, count(*) over () as m from t),
+ e as (select k, cast(4 * n + round_even(1000 - 4 * m, 0) * 0 + round_even((1000 - 4 * m) * upto / whole, 0) as bigint) as stop from r) select k, stop - coalesce(lag(stop) over (order by k), 0) as height from e""")
+def stratum_heights(spark, d):
+    """1000 pixels shared out by size, 4 at least each, adding up exactly: differences of rounded running sums."""
+    from pyspark.sql import Window
+
+    t = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(F.col("c_acctbal") + 1000).alias("v"))
+    order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, m = F.count("*").over(order), F.count("*").over(every)
+    stop = (4 * n + F.bround((1000 - 4 * m) * F.sum("v").over(order) / F.sum("v").over(every))).cast("bigint")
+    e = t.select("k", stop.alias("stop"))
+    return e.select("k", (F.col("stop") - F.coalesce(F.lag("stop").over(Window.orderBy("k")), F.lit(0))).alias("height"))
+
+
+@query("select p_partkey, printf('%s %.2f (%d)', p_name, p_retailprice, p_size) as text from part")
+def described(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.format_string("%s %.2f (%d)", "p_name", "p_retailprice", "p_size").alias("text"))
+
+
+@query("""with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 6 hours then 1 when lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
+ s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from e) select user_id, count(*) as n, epoch_us(min(ts)) as start from s group by user_id, s""")
+def session_counts(spark, d):
+    """Sessions with gaps of under six hours, as a batch; streaming.detect.session_counts is the same with a watermark."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = e.groupBy("user_id", F.session_window("ts", "6 hours 1 microsecond").alias("w")).agg(F.count("*").alias("n"))
+    return out.select("user_id", "n", F.unix_micros("w.start").alias("start"))
