@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder of spark.checkpoint.dir, or of our own where that is unset."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sonoframe-stored-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------- Arrow batches
