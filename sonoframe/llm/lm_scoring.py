@@ -209,7 +209,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
             at = np.flatnonzero(used == k)
             this[at], before[at] = counts[k][at], counts[k - 1][at - 1]
         s = np.log(this / before) + (top - used) * np.log(discount)
-        sums = np.bincount(row, s, len(n))
+        sums = np.bincount(row, s, len(n)).astype(np.float64)
         hits = [np.bincount(row[used == k], minlength=len(n)) for k in range(order)]
         empty = n == 0
         return pa.table(
