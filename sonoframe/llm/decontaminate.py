@@ -33,6 +33,7 @@ class Index:
         self.bits = max(16, int(len(every) * 4096).bit_length())
         self.bits = min(self.bits, 30)
         self.map = np.zeros(1 << self.bits - 3, np.uint8)
+        self.every = every
         slot = every >> np.uint64(64 - self.bits)
         np.bitwise_or.at(self.map, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
         size = np.array([max(SMALLEST, 1 << (len(s) - 1).bit_length()) for s in self.sets], np.int64)
@@ -47,9 +48,11 @@ class Index:
             self.classes.append((int(u), tables))
 
     def near(self, shingles: np.ndarray) -> np.ndarray:
-        """Which shingles may be an item's (all that are, and one in 4096 others)."""
+        """Places of the shingles that an item has too: one in 4096 others passes the bit map, and is looked up."""
         slot = shingles >> np.uint64(64 - self.bits)
-        return (self.map[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        some = np.flatnonzero(self.map[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        where = np.searchsorted(self.every, shingles[some])
+        return some[self.every[np.minimum(where, len(self.every) - 1)] == shingles[some]]
 
     def candidates(self, shingles: np.ndarray) -> list[int]:
         """Items that share a MinHash value with one of the document's windows.
@@ -105,9 +108,9 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float =
                     continue
                 words, rows = word_hashes(batch.column("text"))
                 shingles, at = shingle_hashes(words, rows, n)
-                near = np.append(0, np.cumsum(x.near(shingles)))
                 doc, item, shared = [], [], []
-                for d in np.flatnonzero(near[at[1:]] > near[at[:-1]]).tolist():
+                hit = np.searchsorted(at, x.near(shingles), "right") - 1
+                for d in hit[np.flatnonzero(np.diff(hit, prepend=-1))].tolist():
                     mine = shingles[at[d] : at[d + 1]]
                     asked_ = x.candidates(mine)
                     mine = np.sort(mine) if asked_ else mine
