@@ -142,11 +142,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every maximal run without white space ([\\x20\\x09-\\x0D]), and the words before each row."""
+#: Everything in ASCII but letters and digits.
+_MARKS = np.zeros(256, bool)
+_MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
+
+
+def word_bounds(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every maximal run without breaks (white space, [\\x20\\x09-\\x0D]), and the words before each row."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at), np.int64)
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     first = np.zeros(len(data) + 1, bool)
     first[at] = True
     start = word.copy()
@@ -157,10 +162,13 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of a string column, row after row, and the rows' offsets among them."""
+def word_hashes(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of a string column, row after row, and the rows' offsets among them.
+
+    With marks, marks part words as white space does.
+    """
     data, at = utf8(column)
-    start, end, rows = word_bounds(data, at)
+    start, end, rows = word_bounds(data, at, _MARKS if marks else _SPACE)
     if not len(start):
         return np.empty(0, np.uint64), rows
     return range_hash(prefix_hash(data), start, end), rows

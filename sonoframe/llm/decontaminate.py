@@ -24,7 +24,7 @@ class Index:
     """Items by size class: class u holds those of u/2 to u shingles (the smallest all below)."""
 
     def __init__(self, ids: list, texts: pa.Array, n: int):
-        words, rows = word_hashes(texts)
+        words, rows = word_hashes(texts, marks=True)
         shingles, at = shingle_hashes(words, rows, n)
         sets = [np.unique(shingles[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -84,17 +84,17 @@ class Index:
 def contained(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document and item of which threshold or more of the n-word shingles are in the document.
 
-    Returns id, item id, n_shared, n_item (distinct shingles of the item) and containment. Words are runs without white
-    space. Items of fewer than n words have no shingle and are found nowhere; null and empty texts contain nothing;
+    Returns id, item id, n_shared, n_item (distinct shingles of the item) and containment. Words are in lower case and
+    parted by white space and ASCII marks, so that a passage is found in capitals or with marks strewn in. Items of fewer than n words have no shingle and are found nowhere; null and empty texts contain nothing;
     repeated rows of either side give a row each; other columns are not read. Items are indexed INDEX_BYTES of text at a
     time, and each index is held against all documents whole, so neither side is capped; documents are not shuffled.
     """
     spark = docs.sparkSession
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, n_shared bigint, n_item bigint, containment double"
-    asked = items.select(F.col(item_id).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    asked = items.select(F.col(item_id).alias("id"), F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("text"))
     passes = -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // INDEX_BYTES)
-    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string")).alias("text"))
     found = []
     for k in range(passes):
         part = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).orderBy("id", "text").toArrow()
@@ -106,7 +106,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float =
             for batch in (b for whole in batches for b in blocks(whole, "text")):
                 if not x.sets:
                     continue
-                words, rows = word_hashes(batch.column("text"))
+                words, rows = word_hashes(batch.column("text"), marks=True)
                 shingles, at = shingle_hashes(words, rows, n)
                 doc, item, shared = [], [], []
                 hit = np.searchsorted(at, x.near(shingles), "right") - 1
@@ -136,8 +136,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-b as (select item_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
+with d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
 ds as (select distinct doc_id, list_slice(w, i, i + 4) as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
 bs as (select distinct item_id, list_slice(w, i, i + 4) as s from (select item_id, w, unnest(range(1, len(w) - 3)) as i from b where len(w) >= 5)),
 n as (select item_id, count(*) as n_item from bs group by item_id),

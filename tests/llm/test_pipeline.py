@@ -90,8 +90,12 @@ def unrepeated(texts, n=200):
 
 
 def clean(texts, items):
-    asked = [s for t in items if len(words(t)) >= 5 for s in [shingles(t)]]
-    own = {i: shingles(t) if len(words(t)) >= 5 else set() for i, t in texts.items()}
+    def cut(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    asked = [s for t in items if (s := cut(t))]
+    own = {i: cut(t) for i, t in texts.items()}
     return {i: t for i, t in texts.items() if not any(len(s & own[i]) >= 0.8 * len(s) for s in asked)}
 
 
