@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions.scalar import inside
 from sonoframe.operators.grid import beats_of, truncated_cosine
+from sonoframe.operators.ranking import with_rank
 from sonoframe.plans.spec import USER_SCORERS, Assignment, Order, Range, Select, Where
 
 FIELDS = {"duration": "duration", "onsets": "rhythm.onset_count", "tempo": "rhythm.tempo_bpm", "pitch_hz": "pitch.dominant_pitch_hz", "quantized_beats": "beats"}
@@ -99,9 +100,9 @@ def matches(spec: Select, samples: DataFrame, variants: DataFrame | None = None,
 def ranked(spec: Select, samples: DataFrame, variants: DataFrame | None = None, similarity: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """The matches with their rank; with a limit only the first, which a top-k sort finds without a total order."""
     rows, keys = matches(spec, samples, variants, similarity)
-    if limit is not None:
-        rows = rows.orderBy(*keys).limit(limit)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    if limit is None:
+        return with_rank(rows, keys)
+    return rows.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
 
 
 def picked(spec: Select, samples: DataFrame, variants: DataFrame | None = None, similarity: DataFrame | None = None, pick: int | None = None) -> DataFrame:

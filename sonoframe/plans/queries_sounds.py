@@ -191,3 +191,48 @@ def session_counts(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = e.groupBy("user_id", F.session_window("ts", "6 hours 1 microsecond").alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", "n", F.unix_micros("w.start").alias("start"))
+
+
+@query(f"select s_suppkey, round({math.sqrt(2)!r} * s_acctbal, 6) as w, round(s_suppkey * 1.0e0, 6) as y, 5.0 as z, round(s_nationkey * 10.0e0, 6) as x from supplier")
+def fuma_to_ambix(spark, d):
+    """W, X, Y, Z of one convention to W, Y, Z, X of the other."""
+    s = table(spark, d, "supplier")
+    m = s.select("s_suppkey", routing.applied(routing.FUMA_TO_AMBIX, F.array(F.col("s_acctbal"), F.col("s_nationkey") * 10.0, F.col("s_suppkey") * 1.0, F.lit(5.0))).alias("m"))
+    return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(c) for i, c in enumerate("wyzx")))
+
+
+@query(f"""with f as (select s_suppkey, s_acctbal as w, s_nationkey * 1.0e0 as y, 3.0e0 as z, s_suppkey * 1.0e0 as x from supplier)
+ select s_suppkey, round(w, 6) as w, round({math.cos(0.5)!r} * y + {math.sin(0.5)!r} * x, 6) as y, round(z, 6) as z, round({math.cos(0.5)!r} * x - {math.sin(0.5)!r} * y, 6) as x from f""")
+def ambisonic_rotation(spark, d):
+    """Turned by half a radian to the left."""
+    f = F.array(F.col("s_acctbal"), F.col("s_nationkey") * 1.0, F.lit(3.0), F.col("s_suppkey") * 1.0)
+    m = table(spark, d, "supplier").select("s_suppkey", routing.applied(routing.rotation(0.5, 0.0, 0.0), f).alias("m"))
+    return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(c) for i, c in enumerate("wyzx")))
+
+
+@query(f"""select s_suppkey, round(s_acctbal / 2 + {math.sin(math.radians(30)) / math.sqrt(3) / 2!r} * s_nationkey + {math.cos(math.radians(30)) / math.sqrt(3) / 2!r} * s_suppkey, 6) as l,
+ round(s_acctbal / 2 - {math.sin(math.radians(30)) / math.sqrt(3) / 2!r} * s_nationkey + {math.cos(math.radians(30)) / math.sqrt(3) / 2!r} * s_suppkey, 6) as r, round(s_acctbal / 2, 6) as lfe from supplier""")
+def ambisonic_decode(spark, d):
+    """To two speakers at 30 degrees and an LFE that gets W alone."""
+    f = F.array(F.col("s_acctbal"), F.col("s_nationkey") * 1.0, F.lit(3.0), F.col("s_suppkey") * 1.0)
+    m = table(spark, d, "supplier").select("s_suppkey", routing.applied(routing.decoder([(30, 0), (-30, 0), None]), f).alias("m"))
+    return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(c) for i, c in enumerate(("l", "r", "lfe"))))
+
+
+@query("""with recursive p as (select user_id, list(t order by t, e) as s, list(t * 1.1e0 - e % 3 * 20000 order by t, e) as g from (select user_id, event_id as e, hour(ts) * 3600 + minute(ts) * 60.0e0 as t from events) group by 1),
+ f as (select user_id, 1 as i, 0.0e0 as a, 0.0e0 as b, 0 as n, s, g from p union all select user_id, i + 1, case when s[i] > a and g[i] > b then s[i] else a end, case when s[i] > a and g[i] > b then g[i] else b end, n + case when s[i] > a and g[i] > b then 1 else 0 end, s, g from f where i <= len(s))
+ select user_id, cast(max(n) + 2 as int) as points, round(max(a), 6) as last from f group by user_id""")
+def time_map(spark, d):
+    """Points of a stretch that rise in both source and target, with the two ends."""
+    t = F.hour("ts") * 3600 + F.minute("ts") * 60.0
+    e = table(spark, d, "events").select("user_id", F.struct(t.alias("t"), F.col("event_id").alias("e"), (t * 1.1 - F.col("event_id") % 3 * 20000).alias("g")).alias("s"))
+    p = e.groupBy("user_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    m = p.select("user_id", grid.time_map(F.col("s.t"), F.col("s.g"), F.lit(90000.0), F.lit(99000.0)).alias("m"))
+    return m.select("user_id", F.size("m").alias("points"), F.round(F.element_at("m", -2)["source"], 6).alias("last"))
+
+
+@query("select p_partkey from part where case when p_size % 5 = 0 then 0 else 60 + 2 * p_size end > 0 and p_size >= 2")
+def rhythmic_gate(spark, d):
+    """Sounds with a tempo and two beats or more: those that can be put on a grid."""
+    s = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, 0).otherwise(60 + 2 * F.col("p_size")).alias("tempo"), "p_size")
+    return s.where("tempo > 0 and p_size >= 2").select("p_partkey")

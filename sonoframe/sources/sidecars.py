@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonoframe.operators.ranking import with_rank
+
 SPECTRAL = "spectral_flatness double, attack double, release double, spectral_centroid double, spectral_bandwidth double, zcr double, harmonic_ratio double, spectral_contrast double, voiced_fraction double, log_attack_time double, spectral_flux double, spectral_rolloff double, spectral_slope double"
 BLOCKS = {
     "params": "n_fft int, hop_length int, sample_rate int",
@@ -63,7 +65,7 @@ def decoded(sidecars: DataFrame, versions: tuple[str, ...]) -> DataFrame:
 
 def numbered(samples: DataFrame) -> DataFrame:
     """sample_id from 1 in the order of paths: the same whatever order files are read in."""
-    return samples.withColumn("sample_id", F.row_number().over(Window.orderBy("filepath")).cast("bigint"))
+    return with_rank(samples, [F.asc("filepath")], "sample_id").withColumn("sample_id", F.col("sample_id").cast("bigint"))
 
 
 def references(spark: SparkSession, path: str, versions: tuple[str, ...] = ("13",)) -> DataFrame:

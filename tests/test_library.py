@@ -93,3 +93,14 @@ def test_frames(spark):
     assert [tuple(r) for r in frames.trim(f, "k", "i", "v", 9).collect()] == [(1, 0, 8)]
     assert [r.open for r in frames.hold_gate(f, "k", "i", "v", 3, 1).orderBy("i").collect()] == [False, False, True, True, True, True, False, False]
     assert [r.moving for r in frames.moving_mean(f, "k", "i", "v", 4).orderBy("i").collect()][-3:] == [0.0] * 3
+
+
+def test_rank_over_many_tasks(spark, monkeypatch):
+    from sonoframe.operators import ranking
+
+    rows = spark.range(5000, numPartitions=7).select("id", F.pmod(F.xxhash64("id"), F.lit(100)).alias("k"))
+    keys = [F.desc("k"), F.asc("id")]
+    one = sorted(map(tuple, ranking.with_rank(rows, keys).collect()))
+    monkeypatch.setattr(ranking, "ONE_TASK", 10)
+    assert sorted(map(tuple, ranking.with_rank(rows, keys).collect())) == one
+    assert ranking.with_rank(rows.limit(0), keys).count() == 0
