@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import blocks, mix, table, utf8, word_hashes
+from sonoframe.llm._common import blocks, mix, table, word_hashes
 
 #: Bytes of text in a block and in the share of it that meets in a bucket of the count table.
 BLOCK = 4 << 20
@@ -181,18 +181,21 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
 
         return run
 
-    def answer(group: pa.Table) -> pa.Table:
-        hashes = [np.cumsum(unpacked(x.as_py(), ">u8").astype(np.uint64), dtype=np.uint64) for x in group.column("hashes")]
-        counts = np.concatenate([unpacked(x.as_py(), ">u4") for x in group.column("counts")]).astype(np.int64)
-        flat = np.concatenate(hashes)
-        order_ = np.argsort(flat)
-        new = np.append(True, flat[order_][1:] != flat[order_][:-1])
-        total_ = np.add.reduceat(counts[order_], np.flatnonzero(new))
-        back = np.empty(len(flat), np.int64)
-        back[order_] = total_[np.cumsum(new) - 1]
-        ends = np.cumsum([len(h) for h in hashes])
-        out = [packed(back[e - len(h) : e], ">u8") for h, e in zip(hashes, ends.tolist(), strict=True)]
-        return pa.table([group.column("bucket"), group.column("block"), pa.array(out, pa.binary())], ["bucket", "block", "totals"])
+    def answers(step: int):
+        def run(group: pa.Table) -> pa.Table:
+            hashes = [np.cumsum(unpacked(x.as_py(), ">u8").astype(np.uint64), dtype=np.uint64) for x in group.column("hashes")]
+            counts = np.concatenate([unpacked(x.as_py(), ">u4") for x in group.column("counts")]).astype(np.int64)
+            flat = np.concatenate(hashes)
+            order_ = np.argsort(flat)
+            new = np.append(True, flat[order_][1:] != flat[order_][:-1])
+            total_ = np.add.reduceat(counts[order_], np.flatnonzero(new))
+            back = np.empty(len(flat), np.int64)
+            back[order_] = total_[np.cumsum(new) - 1]
+            ends = np.cumsum([len(h) for h in hashes])
+            out = [packed(back[e - len(h) : e], ">u8") for h, e in zip(hashes, ends.tolist(), strict=True)]
+            return pa.table([group.column("bucket"), group.column("block"), pa.array(out, pa.binary()), pa.array([step] * len(out), pa.int64())], ["bucket", "block", "totals", "step"])
+
+        return run
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_ = texts(left.column("docs"))
@@ -224,7 +227,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
     for step in range(rounds):
         if step:
             asked = by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_longer(step), "bucket bigint, block bigint, hashes binary, counts binary")
-        new = asked.groupBy("bucket").applyInArrow(answer, "bucket bigint, block bigint, totals binary").withColumn("step", F.lit(step).cast("bigint")).repartition("block")
+        new = asked.groupBy("bucket").applyInArrow(answers(step), "bucket bigint, block bigint, totals binary, step bigint").repartition("block")
         answered = new if answered is None else answered.union(new)
     schema = f"`{id_col}` {kind}, n_words bigint, {', '.join(f'n_order_{k + 1} bigint' for k in range(order))}, score double, mean_score double"
     return by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
