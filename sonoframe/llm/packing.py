@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +86,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     """Pack the token ids of all texts, each followed by end_id, into sequences of at most capacity tokens.
 
     Returns a row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id,
-    offset. A document's whole multiples of capacity are sequences of their own; its remainder is packed cost-balanced
-    with those of about SHARD_DOCS other documents. Null texts are empty (one piece with end_id alone); repeated rows
+    offset. A document's whole multiples of capacity are sequences of their own, dealt over all tasks; its remainder is
+    packed cost-balanced with those of about SHARD_DOCS other documents. Null texts are empty (one piece with end_id alone); repeated rows
     are packed each; an empty table gives no rows; other columns are not read.
     """
     shards = max(1, -(-docs.count() // SHARD_DOCS))
@@ -97,12 +96,12 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer, ranks)
         small = codec.whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
-        turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
             texts = batch.column(1)
             for i in range(0, batch.num_rows, 512):
                 rows, starts, lengths, whole, shard, ids = [], [], [], [], [], []
-                for k, text in enumerate(texts.slice(i, 512).to_pylist(), i):
+                keys = batch.column(2).slice(i, 512).to_pylist()
+                for k, (text, key) in enumerate(zip(texts.slice(i, 512).to_pylist(), keys, strict=True), i):
                     own = np.append(codec.ids(text or ""), np.uint32(end_id)).astype("<u2" if small else "<u4")
                     for start in range(0, len(own), capacity):
                         part = own[start : start + capacity]
@@ -110,9 +109,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
                         starts.append(start)
                         lengths.append(len(part))
                         whole.append(len(own))
-                        shard.append(turn % shards)
+                        shard.append((key + start // capacity) % shards if len(part) == capacity else key % shards)
                         ids.append(part.tobytes())
-                    turn += 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(whole, pa.int64()), pa.array(shard, pa.int64()), pa.array([small] * len(rows)), pa.array(ids, pa.binary())],
                     [id_col, "start", "length", "doc_tokens", "shard", "small", "ids"],
@@ -142,7 +140,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
             [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
-    pieces = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(tokens, f"`{id_col}` {kind}, start bigint, length bigint, doc_tokens bigint, shard bigint, small boolean, ids binary")
+    text = F.col(text_col).cast("string")
+    # Shards follow from a row's content alone, so that a task that is run again deals its rows as it did before.
+    pieces = docs.select(F.col(id_col), text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key")).mapInArrow(tokens, f"`{id_col}` {kind}, start bigint, length bigint, doc_tokens bigint, shard bigint, small boolean, ids binary")
     return pieces.groupBy("shard").applyInArrow(place, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 

@@ -267,7 +267,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     in the same one; matches never cross documents. Null texts are empty; texts under length bytes are kept whole;
     of repeated rows, as of exact copies, every byte that such a string covers goes. An empty table gives an empty
     result. With whole_characters, characters of which only some bytes would go go whole, so that kept stays valid
-    UTF-8. Texts may have up to 256 MB.
+    UTF-8. Texts may have up to 256 MB. docs should read the same rows in the same order each time, as files and
+    checkpoints do: which of several copies in a batch stands for the others follows from their order.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     others = [c for c in docs.columns if c not in (id_col, text_col)]
