@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,43 @@ def scored(references: DataFrame, samples: DataFrame) -> DataFrame:
     return out
 
 
+def scored_by_matrix(references: DataFrame, samples: DataFrame) -> DataFrame:
+    """What scored() gives, by a matrix product for each Arrow batch of samples and block of references.
+
+    For many references or long vectors: a product in numpy costs a hundredth of the same in expressions, but starting
+    Python costs more than a few small batches do. Blocks are bounded as in scored(); all vectors have one length.
+    """
+    size = references.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("cells")).first()
+    blocks = max(-(-size.n // BROADCAST_ROWS), -(-(size.cells or 0) // BROADCAST_CELLS), 1)
+    kinds = [references.schema["ref"].dataType.simpleString(), samples.schema["sample_id"].dataType.simpleString()]
+    out = None
+    for i in range(blocks):
+        part = references.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == i).select("ref", "v").toArrow()
+        names = part.column("ref").combine_chunks()
+        matrix = unit_rows(rows_of(part.column("v").combine_chunks()))
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(names):
+                    product = unit_rows(rows_of(batch.column("v"))) @ matrix.T
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
+                    ref = pa.array(np.tile(np.arange(len(names)), batch.num_rows))
+                    yield pa.RecordBatch.from_arrays([names.take(ref), batch.column("sample_id").take(at), pa.array(product.ravel())], ["ref", "sample_id", "score"])
+
+        hit = samples.select("sample_id", "v").mapInArrow(run, f"ref {kinds[0]}, sample_id {kinds[1]}, score double")
+        out = hit if out is None else out.union(hit)
+    return out
+
+
+def rows_of(v: pa.ListArray) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.empty((0, 1))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n >= TINY)
+
+
 def _order() -> list[Column]:
     return [F.desc("score"), F.asc("sample_id")]
 

@@ -62,6 +62,9 @@ def test_index_in_blocks_and_upkeep(spark, monkeypatch):
     assert similarity.add_references(index, refs.withColumn("ref", F.upper("ref")), v).count() == 50
     assert similarity.remove_samples(index, v.where("sample_id = 3")).count() == 45
     assert similarity.top(index, 2).count() == 10 and similarity.top(index).count() == 50 and similarity.at_rank(index, 99).count() == 0
+    by_matrix = sorted(map(tuple, similarity.scored_by_matrix(refs, v).collect()))
+    assert [x[:2] for x in by_matrix] == [x[:2] for x in whole] and [x[2] for x in by_matrix] == pytest.approx([x[2] for x in whole])
+    assert similarity.scored_by_matrix(refs, v.limit(0)).count() == 0
     zero = spark.createDataFrame([("z", [0.0, 0.0, 0.0])], "ref string, v array<double>")
     assert {r.score for r in similarity.scored(zero, v).collect()} == {0.0}
 
