@@ -75,3 +75,16 @@ def on_disk(variants: DataFrame, budget: int) -> DataFrame:
 def append(variants: DataFrame, path: str) -> None:
     """Add to the stored table, in folders by the key's first digits so that lookups read few files."""
     variants.withColumn("prefix", F.substring("spec_hash", 1, 2)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def segment_of(bounds, how: str | int, turn=None):
+    """The segment of a variant that an event plays: a number from 1 (past the last: the last), the next in turn, or one
+    by chance, which is the same for the same turn. Null without segments."""
+    n = F.size(bounds)
+    if how == "round_robin":
+        at = F.pmod(turn, n) + 1
+    elif how == "random":
+        at = F.pmod(F.xxhash64(turn), n) + 1
+    else:
+        at = F.least(F.greatest(F.lit(int(how)), F.lit(1)), n)
+    return F.when(n > 0, F.get(bounds, (at - 1).cast("int")))

@@ -132,3 +132,14 @@ def described(samples: DataFrame) -> DataFrame:
     """(sample_id, text): a line about each sample, for logs."""
     text = F.format_string("%s %.2fs  tempo %.1f (%d onsets)  pitch %.1f Hz (%.2f)  rms %.3f", F.col("name"), F.col("duration"), F.col("rhythm.tempo_bpm"), F.col("rhythm.onset_count"), F.col("pitch.dominant_pitch_hz"), F.col("pitch.pitch_confidence"), F.col("level.rms"))
     return samples.select("sample_id", text.alias("text"))
+
+
+def of_bank(samples: DataFrame, program: int) -> DataFrame:
+    """The active bank's samples; bank is a partition column, so that only its files are read."""
+    return samples.where(F.col("bank") == program)
+
+
+def program_after(banks: list[dict], before: int | None) -> int | None:
+    """The program that stays active when banks are replaced: the same one if it is still there, else the first."""
+    programs = [b["program"] for b in banks]
+    return before if before in programs else min(programs, default=None)

@@ -107,3 +107,17 @@ def test_rank_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(ranking, "ONE_TASK", 10)
     assert sorted(map(tuple, ranking.with_rank(rows, keys).collect())) == one
     assert ranking.with_rank(rows.limit(0), keys).count() == 0
+
+
+def test_segments_and_banks(spark, tmp_path):
+    from sonoframe.sources import library
+
+    df = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["a", "b", "c"]), (4, ["a", "b", "c"]), (2, [])], "turn int, s array<string>")
+    pick = lambda how: [r.x for r in df.select(variants.segment_of(F.col("s"), how, F.col("turn")).alias("x")).collect()]
+    assert pick(2) == ["b", "b", "b", None] and pick(9) == ["c", "c", "c", None] and pick("round_robin") == ["a", "b", "b", None]
+    assert set(pick("random")[:3]) <= {"a", "b", "c"}
+    banks = [{"name": "a", "directory": "x", "program": 3}, {"name": "b", "directory": "y", "program": 7}]
+    assert [library.program_after(banks, p) for p in (7, 5, None)] == [7, 3, 3] and library.program_after([], 1) is None
+    spark.createDataFrame([(1, 3), (2, 7)], "sample_id int, bank int").write.partitionBy("bank").parquet(str(tmp_path / "s"))
+    active = library.of_bank(spark.read.parquet(str(tmp_path / "s")), 7)
+    assert [r.sample_id for r in active.collect()] == [2] and "PartitionFilters: [isnotnull(bank" in active._jdf.queryExecution().executedPlan().toString()
