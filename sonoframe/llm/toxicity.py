@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import blocks, table, word_hashes
+from sonoframe.llm._common import blocks, cut, sets_of, table, word_hashes
 
 #: Labelled examples in the index, half of each class where there are so many: the bound of the sample that is fitted.
 EXAMPLES = 4000
@@ -88,8 +88,9 @@ def plain(text):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
     """Terms (sorted hashes), their inverse document frequencies over all docs, and the index of the examples.
 
-    Of each class the EXAMPLES / 2 labelled documents with the least hash of their id are taken (more of one where the
-    other has fewer); a share tells how many documents of its class one stands for.
+    Words are told by the share of a class's texts that they are in, near copies counted once. Of each class the
+    EXAMPLES / 2 labelled documents with the least hash of their id are taken (more of one where the other has fewer); a
+    share tells how many documents of its class one stands for.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -103,19 +104,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     picked = spark.createDataFrame(picked.toArrow())  # EXAMPLES rows at most
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "label", plain(F.col("text")).alias("text"))
     sample = sample.dropDuplicates(["id"])
-    n = {c: max(take[c], 1) for c in (0, 1)}
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's distinct words, with its least shingle: near copies of a text mostly have the same."""
         for batch in (b for whole in batches for b in blocks(whole, "text")):
+            least = np.array([x[0] if len(x) else 0 for x in sets_of(batch.column("text"), 5)], np.uint64)
             own, row = features(batch.column("text"))
             order = np.lexsort((row, own))
-            new = np.append(True, (np.diff(own[order]) != 0) | (np.diff(row[order]) != 0)) if len(own) else np.empty(0, bool)
-            own, label = own[order][new], batch.column("label").to_numpy()[row[order][new]]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
-            if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(own[first].view(np.int64)), pa.array(np.add.reduceat(label, first).astype(np.int64)), pa.array(np.diff(np.append(first, len(own))))], ["term", "a", "n"])
+            new = np.append(True, (np.diff(own[order]) != 0) | (np.diff(row[order]) != 0))[: len(own)]
+            own, row = own[order][new], row[order][new]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(least[row].view(np.int64)), batch.column("label").take(pa.array(row))], ["term", "copies", "label"])
 
-    by = sample.select("label", "text").mapInArrow(occurrences, "term bigint, a bigint, n bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where("n > 1")
+    seen = cut(sample.select("label", "text").mapInArrow(occurrences, "term bigint, copies bigint, label int").distinct())
+    n = {c: 1 for c in (0, 1)} | {r.label: r.n for r in seen.groupBy("label").agg(F.countDistinct("copies").alias("n")).collect()}
+    by = seen.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n > 1")
     p, q = F.col("a") / n[1], (F.col("n") - F.col("a")) / n[0]
     spread = F.sqrt(F.col("n") / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
     chosen = by.select("term", (F.abs(p - q) / spread).alias("z")).where(F.col("z") > CERTAIN).orderBy(F.desc("z"), "term").limit(TERMS).toArrow()
