@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(x) with x bound to value, which is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean(x: Column) -> Column:
     """0 of an empty array."""
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(x), F.lit(1))
@@ -33,10 +38,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def truncated_cosine(a: Column, b: Column) -> Column:
     """Cosine of the parts that both have, from the left; 0 where one has no length; null where one is empty."""
-    k = F.least(F.size(a), F.size(b))
-    x, y = F.slice(a, 1, k), F.slice(b, 1, k)
-    nx, ny = F.sqrt(dot(x, x)), F.sqrt(dot(y, y))
-    return F.when(k > 0, F.when((nx == 0) | (ny == 0), 0.0).otherwise(dot(x, y) / (nx * ny)))
+
+    def cut(b: Column) -> Column:
+        k = F.least(F.size(a), F.size(b))
+        x, y = F.slice(a, 1, k), F.slice(b, 1, k)
+        parts = F.struct(dot(x, y).alias("xy"), F.sqrt(dot(x, x)).alias("nx"), F.sqrt(dot(y, y)).alias("ny"))
+        return F.when(k > 0, let(parts, lambda p: F.when((p["nx"] == 0) | (p["ny"] == 0), 0.0).otherwise(p["xy"] / (p["nx"] * p["ny"]))))
+
+    return let(b, cut)
 
 
 def slot_seconds(bpm: Column, resolution: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions.scalar import log_normalize
-from sonoframe.operators.grid import dot
+from sonoframe.operators.grid import dot, let
 
 #: The fields of the spectral group in order, before the normalised crest factor.
 SPECTRAL = ["spectral_flatness", "attack", "release", "spectral_centroid", "spectral_bandwidth", "zcr", "harmonic_ratio", "spectral_contrast", "voiced_fraction", "log_attack_time", "spectral_flux", "spectral_rolloff", "spectral_slope"]
@@ -23,8 +23,7 @@ BROADCAST_ROWS, BROADCAST_CELLS = 20_000, 2_000_000
 
 def unit(v: Column) -> Column:
     """v at length 1; all zeros where its length is next to none."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n < TINY, 0.0).otherwise(x / n))
+    return let(length(v), lambda n: F.transform(v, lambda x: F.when(n < TINY, 0.0).otherwise(x / n)))
 
 
 def times(v: Column, weight: float) -> Column:
@@ -49,8 +48,13 @@ def feature_vector(weights: Mapping[str, float] = WEIGHTS) -> Column:
     return F.concat(*parts) if parts else F.array().cast("array<double>")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+def length(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a: Column, b: Column, na: Column | None = None, nb: Column | None = None) -> Column:
+    """na and nb are the lengths of a and b, where these are known."""
+    na, nb = length(a) if na is None else na, length(b) if nb is None else nb
     return F.when((na < TINY) | (nb < TINY), 0.0).otherwise(dot(a, b) / (na * nb))
 
 
@@ -62,11 +66,12 @@ def scored(references: DataFrame, samples: DataFrame) -> DataFrame:
     """
     size = references.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("cells")).first()
     blocks = max(-(-size.n // BROADCAST_ROWS), -(-(size.cells or 0) // BROADCAST_CELLS), 1)
-    r = references.select("ref", F.col("v").alias("rv"))
+    r = references.select("ref", F.col("v").alias("rv"), length(F.col("v")).alias("rn"))
+    samples = samples.select("sample_id", "v", length(F.col("v")).alias("n"))
     out = None
     for i in range(blocks):
         part = r if blocks == 1 else r.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == i)
-        hit = samples.join(F.broadcast(part)).select("ref", "sample_id", cosine(F.col("rv"), F.col("v")).alias("score"))
+        hit = samples.join(F.broadcast(part)).select("ref", "sample_id", cosine(F.col("rv"), F.col("v"), F.col("rn"), F.col("n")).alias("score"))
         out = hit if out is None else out.union(hit)
     return out
 
