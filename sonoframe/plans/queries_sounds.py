@@ -192,7 +192,7 @@ def session_counts(spark, d):
     return out.select("user_id", "n", F.unix_micros("w.start").alias("start"))
 
 
-@query(f"select s_suppkey, round({math.sqrt(2)!r} * s_acctbal, 6) as w, round(s_suppkey * 1.0e0, 6) as y, 5.0 as z, round(s_nationkey * 10.0e0, 6) as x from supplier")
+@query(f"select s_suppkey, round({math.sqrt(2)!r} * s_acctbal, 6) as w, round(s_suppkey * 1.0e0, 6) as y, 5.0e0 as z, round(s_nationkey * 10.0e0, 6) as x from supplier")
 def fuma_to_ambix(spark, d):
     """W, X, Y, Z of one convention to W, Y, Z, X of the other."""
     s = table(spark, d, "supplier")
