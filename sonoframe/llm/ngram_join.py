@@ -16,7 +16,7 @@ BANDS, ROWS = 32, 5
 STEP = 16
 #: Documents on each side of one task that compares MinHash values, and of one that compares shingles; larger buckets
 #: and components are dealt out as pairs of blocks.
-PRUNE_BLOCK, BLOCK = 1024, 256
+PRUNE_BLOCK, BLOCK = 512, 256
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
