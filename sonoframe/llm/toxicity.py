@@ -3,61 +3,122 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import blocks, cut, sets_of, table, word_hashes
+from sonoframe.llm._common import blocks, sets_of, table, word_hashes
 
 #: Labelled examples in the index, half of each class where there are so many: the bound of the sample that is fitted.
 EXAMPLES = 4000
-#: Words that the vectors are made of: those that the examples' classes differ in most.
-TERMS = 512
-#: Standard errors by which a word's shares in the two classes must differ.
-CERTAIN = 5.0
 NEIGHBOURS = 32
 BLOCK = 64
+#: Terms of one in so many of the examples or more are a matrix.
+COMMON = 20
+#: Blocks that are searched before others are left out.
+FIRST = 4
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of every start to stop, one range after the other, and how many each has."""
+    n = stop - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
 class BlockMaxIndex:
-    """Exact k nearest examples by cosine.
+    """Exact k nearest examples by cosine, over all words of the examples.
 
-    Postings are grouped into blocks of BLOCK examples. For each term and block the largest weight is kept, so that a
-    query's bound on a block is its weights times these. Blocks are searched from the highest bound down until it is
-    below the k-th similarity found.
+    Terms of one in COMMON examples or more are a matrix, whose part of the similarities is taken for many queries at
+    once. All others have postings in blocks of BLOCK examples, and for each term and block the largest weight: a
+    query's bound on a block is its weights times these and the most of the matrix' part there. The postings of the FIRST
+    blocks by bound are added up, then those of all whose bound isn't below the k-th similarity by then.
     """
 
-    def __init__(self, ids: list, labels: np.ndarray, weights: np.ndarray, share: np.ndarray):
-        """weights: a normalised row per example; share: what an example stands for (labels are sampled by class)."""
-        order = np.argsort(weights.argmax(1), kind="stable") if weights.size else np.arange(len(ids))  # like ones in a block
+    def __init__(self, ids: list, labels: np.ndarray, weights: np.ndarray | tuple, share: np.ndarray, telling: np.ndarray | None = None):
+        """weights: a normalised row per example, dense or as (row, term, weight); telling: a term's weight in votes.
+
+        share is what an example stands for, as labels are sampled by class.
+        """
+        row, term, value = weights if isinstance(weights, tuple) else (*np.nonzero(weights), weights[np.nonzero(weights)])
+        width = weights.shape[1] if telling is None else len(telling)
+        self.telling = np.ones(width) if telling is None else telling
+        often = np.bincount(term, minlength=width)
+        heavy = np.lexsort((-value, row))
+        heavy = heavy[often[term[heavy]] >= max(2, len(ids) // BLOCK)]
+        lead = np.full(len(ids), width)
+        lead[row[heavy[::-1]]] = term[heavy[::-1]]
+        order = np.argsort(lead, kind="stable")  # like ones in a block
         self.ids, self.labels, self.share = [ids[i] for i in order], labels[order], share[order]
-        self.weights = weights[order]
-        starts = np.arange(0, len(order), BLOCK)
-        self.most = np.maximum.reduceat(self.weights, starts, axis=0) if len(order) else np.zeros((0, weights.shape[1]))
-        blank = ~self.weights.any(1)
+        row = np.argsort(order)[row]
+        by = np.lexsort((term, row))
+        self.own_terms, self.own = term[by].astype(np.int32), np.searchsorted(row[by], np.arange(len(ids) + 1))
+        self.own_told, self.slots = value[by] * self.telling[term[by]], np.zeros(width)
+        self.length = np.sqrt(np.bincount(row[by], self.own_told**2, len(ids)))
+        common = np.flatnonzero(often >= max(2, len(ids) / COMMON))
+        self.column = np.full(width, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(ids)))
+        some = self.column[term] >= 0
+        self.matrix[self.column[term[some]], row[some]] = value[some]
+        row, term, value = row[~some], term[~some], value[~some]
+        by = np.lexsort((row, term))
+        self.row, self.weight = row[by].astype(np.int32), value[by]
+        self.blocks = np.arange(0, len(ids), BLOCK)
+        cuts = np.flatnonzero(np.diff(term[by] * max(len(self.blocks), 1) + self.row // BLOCK, prepend=-1))
+        self.block, self.start = self.row[cuts] // BLOCK, np.append(cuts, len(by))
+        self.most = np.maximum.reduceat(self.weight, cuts) if len(cuts) else np.empty(0)
+        self.first = np.searchsorted(term[by][cuts], np.arange(width + 1))
+        blank = np.diff(self.own) == 0
         total = (self.share[blank]).sum()
         self.prior = float((self.share * self.labels).sum() / max(self.share.sum(), 1e-12)) if len(order) else 0.0
         self.blank = float(((self.share * self.labels)[blank].sum() + self.prior) / (total + 1))
 
-    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def by_matrix(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The matrix' part of the similarities of each query (terms, weights) to each example."""
+        x = np.zeros((len(queries), len(self.matrix)))
+        for i, (terms, query) in enumerate(queries):
+            own = self.column[terms]
+            x[i, own[own >= 0]] = query[own >= 0]
+        return x @ self.matrix
+
+    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest examples with a similarity over 0, ties by place."""
-        bound = self.most[:, terms] @ query
-        best, at = np.empty(0), np.empty(0, np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[-1] - 1e-12):
-                break
-            own = self.weights[b * BLOCK : (b + 1) * BLOCK, terms] @ query
-            some = np.flatnonzero(own > 0)
-            best, at = np.append(best, own[some]), np.append(at, some + b * BLOCK)
-            keep = np.lexsort((at, -best))[:k]
-            best, at = best[keep], at[keep]
-        return at, best
-
-    def vote(self, at: np.ndarray, near: np.ndarray) -> float:
-        """Labels weighted by 1 / distance and by what the examples stand for, with the prior as one far example."""
-        w = self.share[at] / (0.05 + 1 - np.minimum(near, 1))
+        if not len(self.ids):
+            return np.empty(0, np.int64), np.empty(0)
+        near = self.by_matrix([(terms, query)])[0] if near is None else near
+        kth = len(near) - min(k, len(near))
+        entry, n = ranges(self.first[terms], self.first[terms + 1])
+        by, block = np.repeat(query, n), self.block[entry]
+        bound = np.maximum.reduceat(near, self.blocks) + np.bincount(block, self.most[entry] * by, len(self.blocks))
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound)[: FIRST + k // BLOCK]] = True
+        near = self.added(near, first, block, entry, by)
+        least = np.partition(near, kth)[kth] - 1e-12
+        near = np.round(self.added(near, ~first & (bound >= least), block, entry, by), 12)
+        some = np.flatnonzero((near > 0) & (near >= np.partition(near, kth)[kth]))
+        keep = some[np.argsort(-near[some], kind="stable")[:k]]
+        return keep, near[keep]
+
+    def added(self, near: np.ndarray, chosen: np.ndarray, block: np.ndarray, entry: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """near with the postings of the chosen blocks, each weighted by its entry's."""
+        some = np.flatnonzero(chosen[block])
+        at, n = ranges(self.start[entry[some]], self.start[entry[some] + 1])
+        return near + np.bincount(self.row[at], self.weight[at] * np.repeat(by[some], n), len(near))
+
+    def vote(self, at: np.ndarray, near: np.ndarray, terms: np.ndarray, query: np.ndarray) -> float:
+        """Labels weighted by what the examples stand for and by nearness where each word counts as it is telling.
+
+        That is c / (0.05 + 1 - c) of the cosine c with words times their telling. The prior is one far example.
+        """
+        self.slots[terms] = query * self.telling[terms]
+        runs = zip(self.own[at].tolist(), self.own[at + 1].tolist(), strict=True)
+        shared = np.array([self.slots[self.own_terms[a:b]] @ self.own_told[a:b] for a, b in runs])
+        c = np.minimum(shared / (np.linalg.norm(self.slots[terms]) * self.length[at]), 1)
+        self.slots[terms] = 0
+        w = self.share[at] * c / (0.05 + 1 - c)
         far = 1 / (0.05 + 1)
         return float(((w * self.labels[at]).sum() + far * self.prior) / (w.sum() + far))
 
@@ -86,11 +147,11 @@ def plain(text):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
-    """Terms (sorted hashes), their inverse document frequencies over all docs, and the index of the examples.
+    """Terms (sorted hashes of all words of the examples), their inverse document frequencies over all docs, and the index.
 
-    Words are told by the share of a class's texts that they are in, near copies counted once. Of each class the
-    EXAMPLES / 2 labelled documents with the least hash of their id are taken (more of one where the other has fewer); a
-    share tells how many documents of its class one stands for.
+    A term's telling is 1 and the square of the standard errors by which its shares in the classes' texts differ, near
+    copies counted once. Of each class the EXAMPLES / 2 labelled documents with the least hash of their id are taken
+    (more of one where the other has fewer); a share tells how many documents of its class one stands for.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -105,29 +166,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "label", plain(F.col("text")).alias("text"))
     sample = sample.dropDuplicates(["id"])
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's distinct words, with its least shingle: near copies of a text mostly have the same."""
-        for batch in (b for whole in batches for b in blocks(whole, "text")):
-            least = np.array([x[0] if len(x) else 0 for x in sets_of(batch.column("text"), 5)], np.uint64)
-            own, row = features(batch.column("text"))
-            order = np.lexsort((row, own))
-            new = np.append(True, (np.diff(own[order]) != 0) | (np.diff(row[order]) != 0))[: len(own)]
-            own, row = own[order][new], row[order][new]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(least[row].view(np.int64)), batch.column("label").take(pa.array(row))], ["term", "copies", "label"])
-
-    seen = cut(sample.select("label", "text").mapInArrow(occurrences, "term bigint, copies bigint, label int").distinct())
-    n = {c: 1 for c in (0, 1)} | {r.label: r.n for r in seen.groupBy("label").agg(F.countDistinct("copies").alias("n")).collect()}
-    by = seen.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n > 1")
-    p, q = F.col("a") / n[1], (F.col("n") - F.col("a")) / n[0]
-    spread = F.sqrt(F.col("n") / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
-    chosen = by.select("term", (F.abs(p - q) / spread).alias("z")).where(F.col("z") > CERTAIN).orderBy(F.desc("z"), "term").limit(TERMS).toArrow()
-    terms = np.sort(chosen.column("term").to_numpy().astype(np.int64).view(np.uint64))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's distinct words and their counts, with its least shingle: near copies mostly have the same."""
         for batch in (b for whole in batches for b in blocks(whole, "text")):
-            for row, at, count in term_counts(batch, "text", terms):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, 1), pa.array([at.tolist()]), pa.array([count.tolist()])], ["id", "at", "n"])
+            least = np.array([x[0] if len(x) else 0 for x in sets_of(batch.column("text"), 5)], np.uint64)
+            own, rows = word_hashes(batch.column("text"))
+            words = [np.unique(own[a:b], return_counts=True) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            lists = [pa.array([w[i].view(np.int64) for w in words], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(least.view(np.int64)), *lists], ["id", "label", "copies", "term", "n"])
+
+    chosen = sample.mapInArrow(vectors, f"id {kind}, label int, copies bigint, term array<bigint>, n array<bigint>").toArrow().sort_by("id").combine_chunks()
+    flat = lambda c: chosen.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(chosen)), np.array([len(x) for x in chosen.column("term")], np.int64))
+    terms, term = np.unique(flat("term").view(np.uint64), return_inverse=True)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(len(terms), np.int64), 0
@@ -135,31 +188,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             total += batch.num_rows
             for _, at, _ in term_counts(batch, "text", terms):
                 seen[at] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.append(total, seen))], ["at", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(total, seen[some]))], ["at", "n"])
 
     everything = docs.select(plain(F.col(text_col)).alias("text"))
-    df = {r["at"]: r["n"] for r in everything.mapInArrow(frequencies, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    total = df.get(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = {r["id"]: (r["at"], r["n"]) for r in sample.select("id", "text").mapInArrow(vectors, f"id {kind}, at array<bigint>, n array<bigint>").toArrow().to_pylist()}
-    chosen = sample.select("id", "label").orderBy("id").toArrow().to_pylist()
-    weights = np.zeros((len(chosen), len(terms)))
-    for i, r in enumerate(chosen):
-        if r["id"] in rows:
-            at, count = rows[r["id"]]
-            weights[i, at] = (1 + np.log(count)) * idf[at]
-            weights[i] /= np.linalg.norm(weights[i])
-    label = np.array([r["label"] for r in chosen], np.float64)
-    share = np.array([size[r["label"]] / take[r["label"]] for r in chosen], np.float64)
-    return terms, idf, BlockMaxIndex([r["id"] for r in chosen], label, weights, share / share.mean() if len(share) else share)
+    counted = everything.mapInArrow(frequencies, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, np.int64)
+    df[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    weight = (1 + np.log(flat("n"))) * idf[term]
+    weight /= np.sqrt(np.bincount(row, weight**2, len(chosen)))[row]
+    label = chosen.column("label").to_numpy().astype(np.float64)
+    share = np.array([size[x] / take[x] for x in chosen.column("label").to_pylist()], np.float64)
+    copies = np.unique(chosen.column("copies").to_numpy(), return_inverse=True)[1] * 2 + label.astype(np.int64)
+    once = np.unique(term * (2 * len(chosen) + 1) + copies[row]) if len(row) else np.empty(0, np.int64)
+    of, toxic = once // (2 * len(chosen) + 1), once % (2 * len(chosen) + 1) % 2
+    n1, n0 = (max(np.count_nonzero(np.unique(copies) % 2 == c), 1) for c in (1, 0))
+    a, n = np.bincount(of, toxic, len(terms)), np.bincount(of, minlength=len(terms))
+    spread = n / (n0 + n1) * (1 / n0 + 1 / n1)
+    telling = 1 + (a / n1 - (n - a) / n0) ** 2 / spread
+    index = BlockMaxIndex(chosen.column("id").to_pylist(), label, (row, term, weight), share / share.mean() if len(share) else share, telling)
+    return terms, idf, index
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", neighbours: int = NEIGHBOURS) -> DataFrame:
     """A row per input row: id, score (0 to 1) and evidence, the nearest examples' ids, nearest first.
 
-    Vectors have (1 + ln tf) * idf of the TERMS words in which the classes of the EXAMPLES labelled documents differ
-    most; idf counts all documents. The nearest examples are exact. A text with none of the words, an empty or a null
-    one, gets the labels' share among examples without any. Labels other than 0 and 1 are not used, of several for one
+    Vectors have (1 + ln tf) * idf of all words of the EXAMPLES labelled documents; idf counts all documents. The nearest
+    examples are exact. A word of no example adds to no similarity and is left out of a text's length, which changes no
+    order. A text with none of the words, an empty or a null one, gets the labels' share among examples without any. Labels other than 0 and 1 are not used, of several for one
     document the highest is; without labels all scores are 0. Repeated rows are scored each; other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
@@ -170,12 +227,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         terms, idf, index = model.value
         for batch in (b for whole in batches for b in blocks(whole, "text")):
             scores, evidence = np.full(batch.num_rows, index.blank), [[] for _ in range(batch.num_rows)]
-            for row, at, count in term_counts(batch, "text", terms):
-                query = (1 + np.log(count)) * idf[at]
-                near, how = index.nearest(at, query / np.linalg.norm(query), neighbours)
-                if len(near):
-                    scores[row] = index.vote(near, how)
-                    evidence[row] = [index.ids[i] for i in near[:5].tolist()]
+            for some in batched(term_counts(batch, "text", terms), 256):
+                weights = [(1 + np.log(count)) * idf[at] for _, at, count in some]
+                queries = [(at, w / np.linalg.norm(w)) for (_, at, _), w in zip(some, weights, strict=True)]
+                for (row, _, _), (at, query), part in zip(some, queries, index.by_matrix(queries), strict=True):
+                    near, how = index.nearest(at, query, neighbours, part)
+                    if len(near):
+                        scores[row] = index.vote(near, how, at, query)
+                        evidence[row] = [index.ids[i] for i in near[:5].tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), pa.array(evidence, pa.list_(batch.schema.field("id").type))], [id_col, "score", "evidence"])
 
     return docs.select(F.col(id_col).alias("id"), plain(F.col(text_col)).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<{kind}>")

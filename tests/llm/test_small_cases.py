@@ -292,6 +292,24 @@ def test_toxicity_separates(spark):
     assert all(0 <= s <= 1 for s in out.values())
 
 
+def test_toxicity_neighbours_are_of_all_words(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 900, 40)) for _ in range(120)]
+    for i in (3, 50, 77):  # a word of three examples of one class, too few to tell it from chance
+        texts[i] += " zorgle"
+    texts += ["zorgle and what nobody else says", texts[9] + " more"]
+    labels = spark.createDataFrame([(i, int(i in (3, 50, 77) or i % 6 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs(spark, list(enumerate(texts))), labels).collect()}
+    assert sorted(out[120].evidence) == [3, 50, 77] and out[120].score >= 0.5
+    known = {w for t in texts[:120] for w in t.split()}
+    idf = {w: np.log((1 + len(texts)) / (1 + sum(w in t.split() for t in texts))) + 1 for w in known}
+    vector = lambda t: {w: (1 + np.log(t.split().count(w))) * idf[w] for w in set(t.split()) & known}
+    every = [vector(t) for t in texts]
+    for i, v in enumerate(every):
+        near = sorted(((-sum(v.get(w, 0) * x for w, x in e.items()) / np.linalg.norm(list(e.values())), j) for j, e in enumerate(every[:120])))
+        assert set(out[i].evidence) == {j for s, j in near[:5] if s < 0}
+
+
 def test_crc_of_pieces_is_of_32_bit_ids(spark):
     out = packing.pack_digest(docs(spark, [(1, "hello world")])).collect()
     ids = [*Tokenizer.from_file(BYTES).encode("hello world").ids, 1]
