@@ -34,63 +34,79 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
-    """The nodes (conv_id, node, parent, score, ...) of each conversation's best root-to-leaf path, with their depth.
+def keyed(df: DataFrame) -> DataFrame:
+    """df with conv_id in a struct, which joins where it is null too."""
+    return df.withColumn("conv_id", F.struct("conv_id"))
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("conv_id", F.col("conv_id.conv_id"))
+
+
+def tree_paths(nodes: DataFrame, paths: int | None = 1) -> DataFrame:
+    """The nodes (conv_id, path, node, depth) of the best root-to-leaf paths under each root, or of all if paths is None.
+
+    A path's id is its leaf. Rows with a null conv_id are one conversation.
 
     Self-joins double the step: after round k each node knows its ancestor 2**k up and the scores on the way, so a path
     of n nodes takes log2 n rounds, in which only nodes that have not reached their root take part, and no row ever
     holds a whole path. Branches rank by mean score, then by more nodes,
-    then by the lower leaf. From the best leaf the same steps, largest first, mark its ancestors. A parent that is not
+    then by the lower leaf. From the leaves that are taken the same steps, largest first, mark their ancestors. A parent that is not
     there makes a root; nodes in a loop are under no root and are left out.
     """
+    nodes = keyed(nodes)
     real = nodes.select("conv_id", F.col("node").alias("parent")).withColumn("has", F.lit(True))
     step = nodes.select("conv_id", "node", "parent", "score").join(real, ["conv_id", "parent"], "left")
-    step = cut(step.select("conv_id", "node", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("far"), F.coalesce(F.col("score"), F.lit(0.0)).alias("sum")))
+    step = cut(step.select("conv_id", "node", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("far"), F.coalesce(F.col("score"), F.lit(0.0)).alias("sum"), F.col("node").alias("root")))
     whole, climbing, limit = step.where("up is null"), step.where("up is not null"), step.count()
     hops = []
     while (1 << len(hops)) <= 2 * max(limit, 1) and not climbing.isEmpty():
         hops.append(climbing.select("conv_id", "node", "up"))
-        ahead = whole.union(climbing).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
+        ahead = whole.union(climbing).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"), F.col("root").alias("root2"))
         j = climbing.join(ahead, ["conv_id", "up"])
-        j = cut(j.select("conv_id", "node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum")))
+        j = cut(j.select("conv_id", "node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum"), F.col("root2").alias("root")))
         whole, climbing = whole.union(j.where("up is null")), j.where("up is not null")
     inner = step.where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
     leaves = whole.join(inner, ["conv_id", "node"], "left_anti")
-    best = leaves.groupBy("conv_id").agg(F.min_by("node", F.struct(-F.col("sum") / F.col("far"), -F.col("far"), "node")).alias("node"))
+    ranked = leaves.groupBy("conv_id", "node").agg(F.min(F.struct((-F.col("sum") / F.col("far")).alias("mean"), (-F.col("far")).alias("far"), "root")).alias("key"))
+    if paths is not None:
+        order = Window.partitionBy("conv_id", "key.root").orderBy("key.mean", "key.far", "node")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths)
+    best = cut(ranked.select("conv_id", F.col("node").alias("path"), "node"))
     for hop in reversed(hops):
-        best = cut(best.union(best.join(hop, ["conv_id", "node"]).select("conv_id", F.col("up").alias("node"))))
-    return best.join(whole.select("conv_id", "node", (F.col("far") - 1).alias("depth")), ["conv_id", "node"])
+        best = cut(best.union(best.join(hop, ["conv_id", "node"]).select("conv_id", "path", F.col("up").alias("node"))))
+    return unkeyed(best.join(whole.select("conv_id", "node", (F.col("far") - 1).alias("depth")), ["conv_id", "node"]).select("conv_id", "path", "node", "depth"))
 
 
-def format_paths(nodes: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """A row per conversation: conv_id, formatted (the best path's turns) and spans, the loss mask.
+def format_paths(nodes: DataFrame, loss_role: str = "assistant", paths: int | None = 1) -> DataFrame:
+    """A row per path of tree_paths: conv_id, path, formatted (the path's turns) and spans, the loss mask.
 
     spans has for each turn the first character of its masked text in formatted, from 0, and its length; both 0 where
     the turn is not of loss_role. Null roles and texts are empty. Of nodes with the same (conv_id, node), which a
     caller must number apart, all are taken. An empty table gives an empty result.
     """
-    chosen = nodes.join(tree_paths(nodes), ["conv_id", "node"])
+    chosen = unkeyed(keyed(nodes).join(keyed(tree_paths(nodes, paths)), ["conv_id", "node"]))
     head = F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), F.lit(MID))
-    t = chosen.select("conv_id", "depth", head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), (F.coalesce("role", F.lit("")) == loss_role).alias("loss"))
-    t = t.select("conv_id", "depth", F.concat("head", "body", F.lit(CLOSE)).alias("turn"), F.length("head").alias("skip"), F.length("body").alias("n"), "loss")
-    upto = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    t = chosen.select("conv_id", "path", "depth", head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), (F.coalesce("role", F.lit("")) == loss_role).alias("loss"))
+    t = t.select("conv_id", "path", "depth", F.concat("head", "body", F.lit(CLOSE)).alias("turn"), F.length("head").alias("skip"), F.length("body").alias("n"), "loss")
+    upto = Window.partitionBy("conv_id", "path").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("at", F.coalesce(F.sum(F.length("turn").cast("bigint")).over(upto), F.lit(0)) + F.col("skip"))
     held = lambda x: F.when(F.col("loss"), F.col(x).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     span = F.struct(held("at").alias("start"), held("n").alias("length"))
-    g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "turn", span.alias("span")))).alias("g"))
-    return g.select("conv_id", F.concat_ws("", "g.turn").alias("formatted"), F.col("g.span").alias("spans"))
+    g = t.groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(F.struct("depth", "turn", span.alias("span")))).alias("g"))
+    return g.select("conv_id", "path", F.concat_ws("", "g.turn").alias("formatted"), F.col("g.span").alias("spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """What can be read from format_paths' output alone: turns (role, text), and the text under the mask."""
-    pieces = formatted.select("conv_id", "spans", F.posexplode(F.split("formatted", CLOSE, -1)).alias("pos", "turn")).where(F.col("pos") < F.size("spans"))
-    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("conv_id", "pos", "turn", F.get("spans", F.col("pos")).alias("span"), F.coalesce(F.sum(F.length("turn").cast("bigint") + len(CLOSE)).over(before), F.lit(0)).alias("at"))
+    pieces = formatted.select("conv_id", "path", "spans", F.posexplode(F.split("formatted", CLOSE, -1)).alias("pos", "turn")).where(F.col("pos") < F.size("spans"))
+    before = Window.partitionBy("conv_id", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("conv_id", "path", "pos", "turn", F.get("spans", F.col("pos")).alias("span"), F.coalesce(F.sum(F.length("turn").cast("bigint") + len(CLOSE)).over(before), F.lit(0)).alias("at"))
     mid = F.instr("turn", MID)
     role = F.substring(F.col("turn"), F.lit(len(OPEN) + 1), mid - len(OPEN) - 1)
     text = F.substring(F.col("turn"), mid + len(MID), F.length("turn"))
     masked = F.when(F.col("span.length") > 0, F.substring(F.col("turn"), (F.col("span.start") - F.col("at") + 1).cast("int"), F.col("span.length").cast("int"))).otherwise("")
-    return pieces.select("conv_id", "pos", unescape(role).alias("role"), unescape(text).alias("text"), unescape(masked).alias("masked"))
+    return pieces.select("conv_id", "path", "pos", unescape(role).alias("role"), unescape(text).alias("text"), unescape(masked).alias("masked"))
 
 
 def linear(turns: DataFrame) -> DataFrame:
@@ -110,7 +126,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest(formatted: DataFrame) -> DataFrame:
     """The columns of the contract, from the formatted conversations."""
     formatted = cut(formatted)
-    said = read_back(formatted).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "masked"))).alias("g"))
+    said = read_back(formatted).groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "masked"))).alias("g"))
     lost = F.concat_ws("", "g.masked")
-    said = said.select("conv_id", F.size("g").cast("bigint").alias("n_turns"), F.sha2(F.concat_ws("", "g.turn"), 256).alias("turns_sha256"), F.length(lost).cast("bigint").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"))
-    return said.join(formatted.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars")), "conv_id")
+    said = said.select("conv_id", "path", F.size("g").cast("bigint").alias("n_turns"), F.sha2(F.concat_ws("", "g.turn"), 256).alias("turns_sha256"), F.length(lost).cast("bigint").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"))
+    length = formatted.select("conv_id", "path", F.length("formatted").cast("bigint").alias("formatted_chars"))
+    return unkeyed(keyed(said).join(keyed(length), ["conv_id", "path"])).drop("path")

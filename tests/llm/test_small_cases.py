@@ -205,6 +205,15 @@ def test_chat_round_trip_and_trees(spark):
     assert path == [(1, 0, 1), (1, 1, 3), (1, 2, 4), (2, 0, 7)]
 
 
+def test_chat_all_paths_and_roots(spark):
+    tree = [(1, 1, None, 0.0, "user", "a"), (1, 2, 1, 0.1, "assistant", "b"), (1, 3, 1, 0.9, "assistant", "c"), (1, 7, 6, 0.5, "user", "other root"), (1, 8, 7, 0.5, "assistant", "d")]
+    nodes = spark.createDataFrame(tree, "conv_id bigint, node bigint, parent bigint, score double, role string, text string")
+    turns = lambda n: sorted((r.path, r.depth, r.node) for r in chat_format.tree_paths(nodes, n).collect())
+    assert turns(1) == [(3, 0, 1), (3, 1, 3), (8, 0, 7), (8, 1, 8)]
+    assert turns(None) == [(2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 3), (8, 0, 7), (8, 1, 8)]
+    assert chat_format.digest(chat_format.format_paths(nodes, paths=None)).count() == 3
+
+
 def test_chat_long_chain(spark):
     d = spark.range(300).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     out = chat_format.digest(chat_format.format_paths(chat_format.linear(d))).first()
