@@ -214,6 +214,13 @@ def test_chat_all_paths_and_roots(spark):
     assert chat_format.digest(chat_format.format_paths(nodes, paths=None)).count() == 3
 
 
+def test_chat_null_conversation(spark):
+    d = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    out = {r.conv_id: r for r in chat_format.digest(chat_format.format_paths(chat_format.linear(d))).collect()}
+    assert {i: r.n_turns for i, r in out.items()} == {None: 2, 1: 1}
+    assert out[None].loss_sha256 == hashlib.sha256(b"a").hexdigest()
+
+
 def test_chat_long_chain(spark):
     d = spark.range(300).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     out = chat_format.digest(chat_format.format_paths(chat_format.linear(d))).first()
