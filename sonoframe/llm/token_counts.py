@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm._common import table, utf8
 
-MARK = "▁"
+#: A character that no piece holds: what follows it is encoded as if nothing stood before.
+FENCE = "\n"
 
 
 class ChunkedCounter:
-    """Counts SentencePiece tokens of a text of any length in bounded memory.
+    """Counts the tokens of a SentencePiece BPE model for a text of any length, some chunk + overlap characters at a time.
 
-    A position with a character other than a space before it and a space at it is a stable boundary: no piece of the
-    vocabulary has a space after another character (checked here for the loaded model), so no merge ever crosses it and
-    the tokens on either side don't depend on what stands beyond. Neighbouring chunks overlap; they are spliced at such
-    a position at which a token ends in one and begins in the other. Where the overlap has none, it is doubled.
+    A row of tokens is the encoding of its text if each two neighbours are the encoding of theirs: the first merge that
+    crossed a boundary of the row would be the best one of the two tokens around it alone too, as the merges inside a
+    token don't depend on what is beside it until then. So two encodings of overlapping chunks may be spliced at any
+    token that both have at the same place: each pair of neighbours is from one of them. This needs no spaces, and
+    tokens that a chunk's end has cut differ in the other chunk and so aren't common.
+
+    The next chunk starts at a boundary of the last one, behind FENCE, so that texts that repeat a few characters are
+    in step. Where two chunks have no token in common the overlap is doubled.
     """
 
     def __init__(self, model: str, chunk: int = 32_768, overlap: int = 512):
@@ -29,12 +34,24 @@ class ChunkedCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.chunk, self.overlap = chunk, overlap
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.vocab_size()))
-        self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and self._keeps_spaces()
-
-    def _keeps_spaces(self) -> bool:
+        m, n = self.model, self.model.vocab_size()
+        self.bytes = np.array([m.is_byte(i) for i in range(n)])
+        self.inner = np.array([m.is_byte(i) and 0x80 <= int(m.id_to_piece(i)[1:-1], 16) < 0xC0 for i in range(n)])
+        self.size = np.where(self.bytes, 1, [len(m.id_to_piece(i)) for i in range(n)])
+        self.lead = int(self.size[m.encode("a")].sum()) - 1  # the space that the library puts before a text
+        self.splits = self._merges() and self._keeps_text()
+
+    def _merges(self) -> bool:
+        """Whether the model is a BPE, whose scores are the ranks of merges, that spells what it lacks in bytes and has no
+        piece over FENCE."""
+        m = self.model
+        own = [i for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+        whole = all(m.get_score(i) == int(m.get_score(i)) for i in own)
+        return bool(self.bytes.sum() == 256) and whole and not any(FENCE in m.id_to_piece(i) for i in own)
+
+    def _keeps_text(self) -> bool:
         """Whether the model's normaliser leaves runs of spaces, line ends and composed letters as they are."""
-        probe = "a  b \n\tcéé ﬁ "
+        probe = "a  b \n\tcéé ﬁ "
         return self.model.decode(self.model.encode(probe)) == probe
 
     def many(self, texts: list[str]) -> list[int]:
@@ -46,49 +63,54 @@ class ChunkedCounter:
             counts[i] = self.long(texts[i])
         return counts
 
-    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Where each token of text begins and ends, in characters."""
-        pieces = self.model.encode(text, return_type="proto").pieces
-        chars = np.zeros(len(raw := text.encode()) + 1, np.int64)
-        np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=chars[1:])
-        return chars[[p.begin for p in pieces]], chars[[p.end for p in pieces]]
+    def _encode(self, text: str, first: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token of text[first:stop] begins and ends, in characters of text."""
+        ids = np.array(self.model.encode(FENCE + text[first:stop] if first else text[first:stop]), np.int64)
+        size = self.size[ids]
+        # Of a character's byte tokens all but the last are empty at its start.
+        size[:-1][self.bytes[ids[:-1]] & self.inner[ids[1:]]] = 0
+        ends = np.cumsum(size) - self.lead
+        begins = np.maximum(ends - size, 0)
+        if first:
+            begins, ends = begins[self.lead + 1 :] - 1, ends[self.lead + 1 :] - 1
+        return begins + first, ends + first
 
     def long(self, text: str) -> int:
-        total, cut, start = 0, 0, 0
-        overlap = self.overlap
-        begins, ends = self._encode(text[: self.chunk])
+        total, cut, overlap = 0, 0, self.overlap
         stop = min(self.chunk, len(text))
+        begins, ends = self._encode(text, 0, stop)
         while stop < len(text):
-            ahead = max(stop - overlap, cut)
-            following = min(ahead + self.chunk + overlap, len(text))
-            b2, e2 = self._encode(text[ahead:following])
-            at = self._splice(text, ahead, stop, ends + start, b2 + ahead)
+            before = begins[(begins > cut) & (begins <= stop - overlap)]
+            if not len(before):  # the overlap has grown over the whole chunk: take it together with what follows
+                stop = min(stop + overlap, len(text))
+                begins, ends = self._encode(text, cut, stop)
+                continue
+            ahead = int(before[-1])
+            following = min(ahead + overlap + self.chunk, len(text))
+            b2, e2 = self._encode(text, ahead, following)
+            at = self._splice(begins, ends, b2, e2)
             if at is None:
-                if ahead == cut:  # the chunk so far has no boundary: take it together with what follows
-                    following = min(max(following, stop + overlap), len(text))
-                    begins, ends = self._encode(text[cut:following])
-                    start, stop = cut, following
                 overlap *= 2
                 continue
-            total += int(np.count_nonzero((begins + start >= cut) & (begins + start < at)))
-            cut, start, stop, overlap = at, ahead, following, self.overlap
-            begins, ends = b2, e2
-        return total + int(np.count_nonzero(begins + start >= cut))
+            total += int(np.count_nonzero((begins >= cut) & (ends <= at)))
+            cut, stop, overlap, begins, ends = at, following, self.overlap, b2, e2
+        return total + int(np.count_nonzero(begins >= cut))
 
     @staticmethod
-    def _splice(text: str, ahead: int, stop: int, ends: np.ndarray, begins: np.ndarray) -> int | None:
-        """The last stable boundary inside the overlap that both encodings have."""
-        common = np.intersect1d(ends[(ends > ahead + 1) & (ends < stop)], begins)
-        for at in common[::-1].tolist():
-            if text[at] == " " and text[at - 1] not in f" {MARK}":
-                return at
-        return None
+    def _splice(b1: np.ndarray, e1: np.ndarray, b2: np.ndarray, e2: np.ndarray) -> int | None:
+        """The end of the last token that both encodings have."""
+        first, second = e1 > b1, e2 > b2
+        ends, i, j = np.intersect1d(e1[first], e2[second], return_indices=True)
+        same = np.flatnonzero(b1[first][i] == b2[second][j])
+        return int(ends[same[-1]]) if len(same) else None
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens (as sentencepiece gives them for the whole text), over_limit.
 
-    Null and empty texts have 0 tokens; repeated rows are counted each; other columns are not read. Nothing is shuffled.
+    Null and empty texts have 0 tokens; repeated rows are counted each, rows with a null id like others; other columns
+    are not read; an empty table gives an empty result. Texts over chunk characters are encoded chunk by chunk. Nothing
+    is shuffled.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

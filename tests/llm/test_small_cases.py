@@ -277,6 +277,21 @@ def test_token_counts_splice(spark):
     assert out[999].n_tokens == 0 and not out[999].over_limit
 
 
+def test_token_counts_without_spaces():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = np.random.default_rng(12)
+    parts = ["a", "ab", "xyz", "é", "漢", "字", "the", "ing", "ไทย", "😀", "0", "\n"]
+    texts = ["".join(rng.choice([parts[i] for i in rng.integers(0, len(parts), int(rng.integers(1, 5)))], int(rng.integers(1, 500)))) for _ in range(300)]
+    counter = token_counts.ChunkedCounter(PIECES, chunk=47, overlap=3)
+    assert counter.many(texts) == [len(x) for x in model.encode(texts)]
+    counter, sizes = token_counts.ChunkedCounter(PIECES, chunk=4096, overlap=64), []
+    encode = counter._encode
+    counter._encode = lambda t, a, b: (sizes.append(b - a), encode(t, a, b))[1]
+    for text in ("".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 60_000)), "xyz" * 20_000, "a" * 60_000):
+        assert counter.many([text]) == [len(model.encode(text))]
+    assert max(sizes) <= 4096 + 64 and sum(sizes) < 1.1 * 180_000
+
+
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(4)
     weights = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
