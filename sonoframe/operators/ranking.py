@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.operators.shared import cut
+
 #: Rows up to which one sort in one task is the quicker way.
 ONE_TASK = 1_000_000
 #: Bits that monotonically_increasing_id has for the row within a partition.
@@ -21,11 +21,7 @@ def with_rank(rows: DataFrame, keys: list[Column], name: str = "rank") -> DataFr
     """
     if rows.count() <= ONE_TASK:
         return rows.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
-    spark = rows.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sonoframe-checkpoint-"))
-    ranged = rows.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    ranged = cut(rows.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", ROW_BITS)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

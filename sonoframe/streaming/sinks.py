@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-
-def shared_folder(spark) -> str:
-    """A folder that all executors see: in spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sonoframe-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from sonoframe.operators.shared import shared_folder
 
 
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Take all that is there now, and return what the stream has given as a table."""
-    folder = shared_folder(stream.sparkSession)
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}")
