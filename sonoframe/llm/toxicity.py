@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import blocks, sets_of, table, word_hashes
+from sonoframe.llm._common import blocks, cut, mix, shingle_hashes, table, word_hashes
 
 #: Labelled examples in the index, half of each class where there are so many: the bound of the sample that is fitted.
 EXAMPLES = 4000
@@ -37,10 +38,10 @@ class BlockMaxIndex:
     blocks by bound are added up, then those of all whose bound isn't below the k-th similarity by then.
     """
 
-    def __init__(self, ids: list, labels: np.ndarray, weights: np.ndarray | tuple, share: np.ndarray, telling: np.ndarray | None = None):
+    def __init__(self, ids: list, labels: np.ndarray, weights: np.ndarray | tuple, share: np.ndarray, telling: np.ndarray | None = None, texts: np.ndarray | None = None):
         """weights: a normalised row per example, dense or as (row, term, weight); telling: a term's weight in votes.
 
-        share is what an example stands for, as labels are sampled by class.
+        share is what an example stands for, as labels are sampled by class; texts are hashes of the whole texts.
         """
         row, term, value = weights if isinstance(weights, tuple) else (*np.nonzero(weights), weights[np.nonzero(weights)])
         width = weights.shape[1] if telling is None else len(telling)
@@ -52,6 +53,7 @@ class BlockMaxIndex:
         lead[row[heavy[::-1]]] = term[heavy[::-1]]
         order = np.argsort(lead, kind="stable")  # like ones in a block
         self.ids, self.labels, self.share = [ids[i] for i in order], labels[order], share[order]
+        self.place = {} if texts is None else {int(h): i for i, h in enumerate(texts[order].tolist())}
         row = np.argsort(order)[row]
         by = np.lexsort((term, row))
         self.own_terms, self.own = term[by].astype(np.int32), np.searchsorted(row[by], np.arange(len(ids) + 1))
@@ -84,11 +86,13 @@ class BlockMaxIndex:
             x[i, own[own >= 0]] = query[own >= 0]
         return x @ self.matrix
 
-    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples with a similarity over 0, ties by place."""
+    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, near: np.ndarray | None = None, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the k nearest examples with a similarity over 0, ties by place; without one of them."""
         if not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
         near = self.by_matrix([(terms, query)])[0] if near is None else near
+        if without is not None:
+            near[without] = -np.inf
         kth = len(near) - min(k, len(near))
         entry, n = ranges(self.first[terms], self.first[terms + 1])
         by, block = np.repeat(query, n), self.block[entry]
@@ -114,24 +118,58 @@ class BlockMaxIndex:
         That is c / (0.05 + 1 - c) of the cosine c with words times their telling. The prior is one far example.
         """
         self.slots[terms] = query * self.telling[terms]
-        runs = zip(self.own[at].tolist(), self.own[at + 1].tolist(), strict=True)
-        shared = np.array([self.slots[self.own_terms[a:b]] @ self.own_told[a:b] for a, b in runs])
+        entry, n = ranges(self.own[at], self.own[at + 1])
+        shared = np.add.reduceat(self.slots[self.own_terms[entry]] * self.own_told[entry], np.cumsum(n) - n)
         c = np.minimum(shared / (np.linalg.norm(self.slots[terms]) * self.length[at]), 1)
         self.slots[terms] = 0
         w = self.share[at] * c / (0.05 + 1 - c)
         far = 1 / (0.05 + 1)
         return float(((w * self.labels[at]).sum() + far * self.prior) / (w.sum() + far))
 
+    def own_votes(self, places: np.ndarray, k: int) -> np.ndarray:
+        """The votes on examples by all others."""
+        out = np.full(len(places), self.blank)
+        for some in batched(range(len(places)), 256):
+            runs = [slice(self.own[places[i]], self.own[places[i] + 1]) for i in some]
+            queries = [(self.own_terms[r], self.own_told[r] / self.telling[self.own_terms[r]]) for r in runs]
+            for i, (terms, query), part in zip(some, queries, self.by_matrix(queries), strict=True):
+                at, near = self.nearest(terms, query, k, part, int(places[i]))
+                if len(at):
+                    out[i] = self.vote(at, near, terms, query)
+        return out
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the rows' words, and the rows they are in."""
-    own, rows = word_hashes(column)
-    return own, np.repeat(np.arange(len(column)), np.diff(rows))
+
+def logit(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def platt(votes: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Slope and offset by which logits of votes give the chance of label 1, fitted by Newton's steps.
+
+    Labels count as by Platt: a little inside 0 and 1, by the number of either, so that no slope is infinite. Without
+    both labels, or where the slope wouldn't rise, votes stand as they are.
+    """
+    ones, zeros = labels.sum(), len(labels) - labels.sum()
+    if not ones or not zeros:
+        return 1.0, 0.0
+    goal = np.where(labels > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    x = np.stack([logit(votes), np.ones(len(votes))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (goal - p)) - 1e-3 * w
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def term_counts(batch: pa.RecordBatch, text: str, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each row that has any: the row, which of the sorted terms, and how often."""
-    own, row = features(batch.column(text))
+    own, rows = word_hashes(batch.column(text), marks=True)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(rows))
     where = np.searchsorted(terms, own)
     hit = np.flatnonzero(terms[np.minimum(where, len(terms) - 1)] == own) if len(terms) else np.empty(0, np.int64)
     if len(hit):
@@ -142,42 +180,43 @@ def term_counts(batch: pa.RecordBatch, text: str, terms: np.ndarray) -> Iterator
 
 
 def plain(text):
-    """Lower case, and no marks around words."""
-    return F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[\\p{Punct}“”«»…]+", " ")
+    """Lower case, and no marks outside ASCII around words; those in ASCII part words when these are hashed."""
+    return F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[“”«»…]+", " ")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
     """Terms (sorted hashes of all words of the examples), their inverse document frequencies over all docs, and the index.
 
     A term's telling is 1 and the square of the standard errors by which its shares in the classes' texts differ, near
-    copies counted once. Of each class the EXAMPLES / 2 labelled documents with the least hash of their id are taken
-    (more of one where the other has fewer); a share tells how many documents of its class one stands for.
+    copies counted once. Examples are distinct texts. Of each class the EXAMPLES / 2 with the least hash of their text
+    are taken (more of one where the other has fewer), in that order, so that ids decide nothing; a share tells how many
+    documents of its class one stands for.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    size = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    half = EXAMPLES // 2
-    take = {c: min(size.get(c, 0), max(half, EXAMPLES - size.get(1 - c, 0))) for c in (0, 1)}
-    picked = None
-    for c in (0, 1):
-        part = known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(take[c])
-        picked = part if picked is None else picked.union(part)
-    picked = spark.createDataFrame(picked.toArrow())  # EXAMPLES rows at most
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "label", plain(F.col("text")).alias("text"))
-    sample = sample.dropDuplicates(["id"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", text_hash(F.col("text")))
+    labelled = rows.select("id", "h").join(known, "id").groupBy("h").agg(F.max("label").alias("label"), F.min("id").alias("id"), F.count("*").alias("n"))
+    labelled = cut(labelled)
+    size = {r.label: r for r in labelled.groupBy("label").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()}
+    texts, half = {c: size[c].texts if c in size else 0 for c in (0, 1)}, EXAMPLES // 2
+    take = {c: min(texts[c], max(half, EXAMPLES - texts[1 - c])) for c in (0, 1)}
+    picked = reduce(DataFrame.union, [labelled.where(F.col("label") == c).orderBy("h").limit(take[c]) for c in (0, 1)])
+    picked = docs.sparkSession.createDataFrame(picked.select("h", "label", "id").toArrow())  # EXAMPLES rows at most
+    sample = rows.select("h", "text").join(F.broadcast(picked), "h").dropDuplicates(["h"]).select("h", "id", "label", plain(F.col("text")).alias("text"))
 
     kind = docs.schema[id_col].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's distinct words and their counts, with its least shingle: near copies mostly have the same."""
         for batch in (b for whole in batches for b in blocks(whole, "text")):
-            least = np.array([x[0] if len(x) else 0 for x in sets_of(batch.column("text"), 5)], np.uint64)
-            own, rows = word_hashes(batch.column("text"))
-            words = [np.unique(own[a:b], return_counts=True) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            own, rows_ = word_hashes(batch.column("text"), marks=True)
+            shingles, at = shingle_hashes(own, rows_, 5)
+            runs = zip(rows_[:-1], rows_[1:], at[:-1], at[1:], strict=True)
+            least = np.array([shingles[c:d].min() if d > c else mix(np.append(own[a:b], 0)).sum() for a, b, c, d in runs], np.uint64)
+            words = [np.unique(own[a:b], return_counts=True) for a, b in zip(rows_[:-1], rows_[1:], strict=True)]
             lists = [pa.array([w[i].view(np.int64) for w in words], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(least.view(np.int64)), *lists], ["id", "label", "copies", "term", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "id", "label")), pa.array(least.view(np.int64)), *lists], ["h", "id", "label", "copies", "term", "n"])
 
-    chosen = sample.mapInArrow(vectors, f"id {kind}, label int, copies bigint, term array<bigint>, n array<bigint>").toArrow().sort_by("id").combine_chunks()
+    chosen = sample.mapInArrow(vectors, f"h bigint, id {kind}, label int, copies bigint, term array<bigint>, n array<bigint>").toArrow().sort_by("h").combine_chunks()
     flat = lambda c: chosen.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(chosen)), np.array([len(x) for x in chosen.column("term")], np.int64))
     terms, term = np.unique(flat("term").view(np.uint64), return_inverse=True)
@@ -199,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     weight = (1 + np.log(flat("n"))) * idf[term]
     weight /= np.sqrt(np.bincount(row, weight**2, len(chosen)))[row]
     label = chosen.column("label").to_numpy().astype(np.float64)
-    share = np.array([size[x] / take[x] for x in chosen.column("label").to_pylist()], np.float64)
+    share = np.array([size[x].n / take[x] for x in chosen.column("label").to_pylist()], np.float64)
     copies = np.unique(chosen.column("copies").to_numpy(), return_inverse=True)[1] * 2 + label.astype(np.int64)
     once = np.unique(term * (2 * len(chosen) + 1) + copies[row]) if len(row) else np.empty(0, np.int64)
     of, toxic = once // (2 * len(chosen) + 1), once % (2 * len(chosen) + 1) % 2
@@ -207,37 +246,59 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     a, n = np.bincount(of, toxic, len(terms)), np.bincount(of, minlength=len(terms))
     spread = n / (n0 + n1) * (1 / n0 + 1 / n1)
     telling = 1 + (a / n1 - (n - a) / n0) ** 2 / spread
-    index = BlockMaxIndex(chosen.column("id").to_pylist(), label, (row, term, weight), share / share.mean() if len(share) else share, telling)
+    index = BlockMaxIndex(chosen.column("id").to_pylist(), label, (row, term, weight), share / share.mean() if len(share) else share, telling, chosen.column("h").to_numpy())
     return terms, idf, index
 
 
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", neighbours: int = NEIGHBOURS) -> DataFrame:
     """A row per input row: id, score (0 to 1) and evidence, the nearest examples' ids, nearest first.
 
     Vectors have (1 + ln tf) * idf of all words of the EXAMPLES labelled documents; idf counts all documents. The nearest
     examples are exact. A word of no example adds to no similarity and is left out of a text's length, which changes no
-    order. A text with none of the words, an empty or a null one, gets the labels' share among examples without any. Labels other than 0 and 1 are not used, of several for one
-    document the highest is; without labels all scores are 0. Repeated rows are scored each; other columns are not read.
+    order. An example with the very same text is left out, so that no label enters its own row's score. Votes are
+    calibrated by Platt's sigmoid, fitted to the votes of all others on each example.
+
+    A text with none of the words, an empty or a null one, gets the labels' share among examples without any. Labels
+    other than 0 and 1 are not used, of several for one text the highest is; without labels all scores are 0. Ids, null
+    ones too, decide nothing; repeated rows are scored each; an empty table gives an empty result; other columns are not
+    read.
     """
-    sc = docs.sparkSession.sparkContext
+    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    model = sc.broadcast(fit(docs, labels, id_col, text_col, label_col))
+    fitted = fit(docs, labels, id_col, text_col, label_col)
+    model = sc.broadcast(fitted)  # EXAMPLES texts at most
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value[2].own_votes(batch.column(0).to_numpy(), neighbours))], ["id", "vote"])
+
+    index = fitted[2]
+    votes = spark.range(0, len(index.ids), 1, 12).mapInArrow(own, "id bigint, vote double").toArrow().sort_by("id") if len(index.ids) else None
+    slope, offset = platt(votes.column("vote").to_numpy(), index.labels, index.share) if votes is not None else (1.0, 0.0)
+    chance = lambda v: 1 / (1 + np.exp(-(slope * logit(v) + offset)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf, index = model.value
         for batch in (b for whole in batches for b in blocks(whole, "text")):
-            scores, evidence = np.full(batch.num_rows, index.blank), [[] for _ in range(batch.num_rows)]
+            votes, evidence = np.full(batch.num_rows, index.blank), [[] for _ in range(batch.num_rows)]
+            same = [index.place.get(h) for h in batch.column("h").to_pylist()]
             for some in batched(term_counts(batch, "text", terms), 256):
                 weights = [(1 + np.log(count)) * idf[at] for _, at, count in some]
                 queries = [(at, w / np.linalg.norm(w)) for (_, at, _), w in zip(some, weights, strict=True)]
                 for (row, _, _), (at, query), part in zip(some, queries, index.by_matrix(queries), strict=True):
-                    near, how = index.nearest(at, query, neighbours, part)
+                    near, how = index.nearest(at, query, neighbours, part, same[row])
                     if len(near):
-                        scores[row] = index.vote(near, how, at, query)
+                        votes[row] = index.vote(near, how, at, query)
                         evidence[row] = [index.ids[i] for i in near[:5].tolist()]
+            scores = chance(votes) if len(index.ids) else votes
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), pa.array(evidence, pa.list_(batch.schema.field("id").type))], [id_col, "score", "evidence"])
 
-    return docs.select(F.col(id_col).alias("id"), plain(F.col(text_col)).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<{kind}>")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text_hash(text).alias("h"), plain(text).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<{kind}>")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

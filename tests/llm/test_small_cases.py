@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -337,10 +341,108 @@ def test_toxicity_neighbours_are_of_all_words(spark):
     vector = lambda t: {w: (1 + np.log(t.split().count(w))) * idf[w] for w in set(t.split()) & known}
     every = [vector(t) for t in texts]
     for i, v in enumerate(every):
-        near = sorted(((-sum(v.get(w, 0) * x for w, x in e.items()) / np.linalg.norm(list(e.values())), j) for j, e in enumerate(every[:120])))
+        near = sorted(((-sum(v.get(w, 0) * x for w, x in e.items()) / np.linalg.norm(list(e.values())), j) for j, e in enumerate(every[:120]) if j != i))
         assert set(out[i].evidence) == {j for s, j in near[:5] if s < 0}
 
 
+def toxic_table(seed, n=160):
+    """Texts with odd words, near copies, repeated texts and labels that mostly follow four words."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        words = [f"W{rng.integers(0, 300)}" for _ in range(int(rng.integers(3, 40)))]
+        if i % 5 == 0:
+            words[1:2] = list(rng.choice(["Idiot,", "scum", "moron!", "“trash”"], 2))
+        rows.append(" ".join(words))
+    rows += [rows[5], rows[7] + " more", "", None, "...", rows[10].upper()]
+    labels = [(i, int(i % 5 == 0) if i != 35 else 0) for i in range(n) if i % 3]
+    return list(enumerate(rows)), labels
+
+
+def brute_toxicity(rows, labels, k):
+    """score of every row, by the definitions alone: no index, no arrays of terms."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[“”«»…]", " ", (t or "").lower()))
+    texts = dict(rows)
+    known = {}
+    for i, label in labels:
+        known.setdefault(texts[i] or "", []).append(label)
+    bags = {t: Counter(words(t)) for t in known}
+    label = {t: max(v) for t, v in known.items()}
+    count = {c: sum(len(known[t]) for t in known if label[t] == c) for c in (0, 1)}
+    share = {t: count[label[t]] / sum(x == label[t] for x in label.values()) for t in known}
+    mean = sum(share.values()) / len(share)
+    share = {t: x / mean for t, x in share.items()}
+    every = [set(words(t)) for _, t in rows]
+    vocabulary = {w for b in bags.values() for w in b}
+    idf = {w: math.log((1 + len(rows)) / (1 + sum(w in x for x in every))) + 1 for w in vocabulary}
+    vector = lambda b: {w: (1 + math.log(n)) * idf[w] for w, n in b.items() if w in idf}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    unit = lambda v: {w: x / norm(v) for w, x in v.items()}
+    least = lambda t: min((tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)), key=lambda g: shingle(g), default=("whole", *words(t)))
+
+    def shingle(g):
+        return int(toxicity.shingle_hashes(toxicity.word_hashes(pa.array([" ".join(g)]), True)[0], np.array([0, 5]), 5)[0][0])
+
+    group = {t: (least(t), label[t]) for t in known}
+    groups = set(group.values())
+    n1, n0 = (max(sum(g[1] == c for g in groups), 1) for c in (1, 0))
+    telling = {}
+    for w in vocabulary:
+        held = {group[t] for t in bags if w in bags[t]}
+        a, n = sum(g[1] for g in held), len(held)
+        telling[w] = 1 + (a / n1 - (n - a) / n0) ** 2 / (n / (n0 + n1) * (1 / n0 + 1 / n1))
+    prior = sum(share[t] * label[t] for t in known) / sum(share.values())
+    blank = [t for t in known if not bags[t]]
+    none = (sum(share[t] * label[t] for t in blank) + prior) / (sum(share[t] for t in blank) + 1)
+    vectors = {t: unit(vector(b)) for t, b in bags.items()}
+
+    def vote(t):
+        q = unit(vector(Counter(words(t))))
+        near = sorted(((sum(q.get(w, 0) * x for w, x in v.items()), e) for e, v in vectors.items() if e != (t or "")), key=lambda x: -x[0])[:k]
+        near = [x for x in near if x[0] > 1e-9]
+        if not near:
+            return none
+        told = {w: x * telling[w] for w, x in q.items()}
+        up, total = prior / 1.05, 1 / 1.05
+        for _, e in near:
+            v = {w: x * telling[w] for w, x in vectors[e].items()}
+            c = min(sum(told.get(w, 0) * x for w, x in v.items()) / norm(told) / norm(v), 1)
+            up, total = up + share[e] * c / (1.05 - c) * label[e], total + share[e] * c / (1.05 - c)
+        return up / total
+
+    order = list(known)
+    slope, offset = toxicity.platt(np.array([vote(t) for t in order]), np.array([label[t] for t in order], float), np.array([share[t] for t in order]))
+    return {i: 1 / (1 + math.exp(-(slope * toxicity.logit(vote(t)) + offset))) for i, t in rows}
+
+
+def test_toxicity_is_brute_force_and_blind_to_ids(spark):
+    rows, labels = toxic_table(3)
+    score = lambda r, y: {x.doc_id: x.score for x in toxicity.score(docs(spark, r), spark.createDataFrame(y, "doc_id bigint, toxic int"), neighbours=200).collect()}
+    out = score(rows, labels)
+    assert out == pytest.approx(brute_toxicity(rows, labels, 200), abs=1e-6)
+    swapped = {i: 7919 * (i + 3) % 100_003 for i, _ in rows}
+    again = score([(swapped[i], t) for i, t in rows], [(swapped[i], y) for i, y in labels])
+    assert {i: again[swapped[i]] for i in out} == out
+
+
+def test_toxicity_leaves_its_own_label_out(spark):
+    rows, labels = toxic_table(9)
+    score = lambda y: {x.doc_id: x.score for x in toxicity.score(docs(spark, rows), spark.createDataFrame(y, "doc_id bigint, toxic int")).collect()}
+    one = next(i for i, y in labels if y)
+    plain, flipped = score(labels), score([(i, 1 - y if i == one else y) for i, y in labels])
+    moved = sorted(abs(plain[i] - flipped[i]) for i in plain)
+    assert (plain[one] >= 0.5) == (flipped[one] >= 0.5) and abs(plain[one] - flipped[one]) <= moved[-1]
+
+
+def test_platt_is_monotone_and_calibrated():
+    rng = np.random.default_rng(1)
+    chance = rng.random(4000)
+    labels = (rng.random(4000) < chance).astype(float)
+    slope, offset = toxicity.platt(1 / (1 + np.exp(-3 * toxicity.logit(chance) - 1)), labels, np.ones(4000))
+    assert slope == pytest.approx(1 / 3, abs=0.03) and offset == pytest.approx(-1 / 3, abs=0.1)
+    assert toxicity.platt(np.array([0.2]), np.array([1.0]), np.ones(1)) == (1.0, 0.0)
+
+
 def test_crc_of_pieces_is_of_32_bit_ids(spark):
     out = packing.pack_digest(docs(spark, [(1, "hello world")])).collect()
     ids = [*Tokenizer.from_file(BYTES).encode("hello world").ids, 1]
