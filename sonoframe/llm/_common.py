@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonoframe.operators.shared import cut, stored  # noqa: F401
+
 #: Bytes of text that the numpy helpers take at once; their scratch arrays hold about 60 bytes for each.
 BLOCK_BYTES = 1 << 20
 
@@ -19,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder of spark.checkpoint.dir; where that is unset (tests), in one of our own."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sonoframe-checkpoint-"))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder of spark.checkpoint.dir, or of our own where that is unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sonoframe-stored-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- Arrow batches
 
 
@@ -168,12 +151,39 @@ def word_hashes(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.n
     With marks, marks part words as white space does.
     """
     data, at = utf8(column)
-    start, end, rows = word_bounds(data, at, _MARKS if marks else _SPACE)
+    breaks = _MARKS if marks else _SPACE
+    if len(data) > 2 * BLOCK_BYTES:
+        return _long_hashes(data, at, breaks)
+    start, end, rows = word_bounds(data, at, breaks)
     if not len(start):
         return np.empty(0, np.uint64), rows
     return range_hash(prefix_hash(data), start, end), rows
 
 
+def _long_hashes(data: np.ndarray, at: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of BLOCK_BYTES at a time: a word that goes on in the next block takes up its hash from there."""
+    raws, sizes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    goes_on = False
+    for first in range(0, len(data), BLOCK_BYTES):
+        own = data[first : first + BLOCK_BYTES]
+        marks = at[np.searchsorted(at, first) : np.searchsorted(at, first + len(own))] - first
+        start, end, _ = word_bounds(own, np.append(marks, len(own)), breaks)
+        prefix = prefix_hash(own)
+        raw = (prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start]
+        size = (end - start).astype(np.uint64)
+        skip = 0
+        if goes_on and len(start) and not start[0] and not (len(marks) and not marks[0]):
+            raws[-1][-1:] += raw[:1] * np.uint64(pow(_BASE, int(sizes[-1][-1]), 1 << 64))
+            sizes[-1][-1:] += size[:1]
+            skip = 1
+        if len(start) > skip:
+            raws.append(raw[skip:])
+            sizes.append(size[skip:])
+            starts.append(start[skip:] + first)
+        goes_on = bool(len(end)) and int(end[-1]) == len(own)
+    return mix(np.concatenate(raws) + np.concatenate(sizes) * _GOLD), np.searchsorted(np.concatenate(starts), at)
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of n words within each row, and the rows' offsets among them."""
     counts = np.maximum(np.diff(rows) - (n - 1), 0)

@@ -18,6 +18,8 @@ INDEX_BYTES = 8 << 20
 #: Hash functions. A band has one value, so one equal value makes a candidate.
 VALUES = 128
 SMALLEST = 8
+#: Shingles of a long document whose windows are looked up at once; their values take 128 bytes each.
+SPAN = 1 << 16
 
 
 class Index:
@@ -55,9 +57,16 @@ class Index:
         return some[self.every[np.minimum(where, len(self.every) - 1)] == shingles[some]]
 
     def candidates(self, shingles: np.ndarray) -> list[int]:
-        """Items that share a MinHash value with one of the document's windows.
+        """Items that share a MinHash value with one of the document's windows, SPAN windows' starts at a time."""
+        largest = self.classes[-1][0]
+        span = max(SPAN, largest)
+        found: set[int] = set()
+        for first in range(0, len(shingles), span):
+            found |= self._candidates(shingles[first : first + span + 2 * largest])
+        return sorted(found)
 
-        For class u windows have three neighbouring blocks of u/2 shingles, so that a passage of an item's length lies
+    def _candidates(self, shingles: np.ndarray) -> set[int]:
+        """For class u windows have three neighbouring blocks of u/2 shingles, so that a passage of an item's length lies
         within one, and the window's similarity to an item that is contained in it to 0.8 is 0.25 at least.
         """
         flat = (shingles >> np.uint64(17)).astype(np.uint32)
@@ -78,7 +87,7 @@ class Index:
                 first, last = np.searchsorted(values, seen, "left"), np.searchsorted(values, seen, "right")
                 for a, b in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True):
                     found.update(items[a:b].tolist())
-        return sorted(found)
+        return found
 
 
 def contained(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ from sonoframe.llm._common import blocks, mix, prefix_hash, range_hash, table, u
 GRAM = 50
 #: Low bits of a sort key that hold the place; the rest orders the strings.
 PLACE_BITS = 28
+#: Bytes of a long text whose strings are sampled at once; at most 1 << PLACE_BITS less a string's length.
+PIECE_BYTES = 4 << 20
 #: Contexts of one sample string that are sorted in one task; those of a more frequent string are dealt by hash.
 LARGE = 4096
 #: Bytes of contexts sorted at once, and rows held of one sample string before it counts as a large one.
@@ -59,6 +61,16 @@ def cover(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ..
     return row, range_hash(prefix, chosen, chosen + GRAM), first, last, mix(range_hash(prefix, first, last + length) + (chosen - first).astype(np.uint64))
 
 
+def pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """data and at as they are, or of one row over PIECE_BYTES its parts with where they begin; each string is in one."""
+    if len(at) != 2 or len(data) <= PIECE_BYTES:
+        yield data, at, 0
+        return
+    for first in range(0, len(data) - length + 1, PIECE_BYTES):
+        part = data[first : first + PIECE_BYTES + length - 1]
+        yield part, np.array([0, len(part)]), first
+
+
 def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start in the row and hash of each string of length bytes in the rows data[at[i]:at[i+1]]."""
     count = np.maximum(np.diff(at) - length + 1, 0)
@@ -92,9 +104,9 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, length: int) -> DataFrame
         for batch in batches:
             parts, before = [], 0
             for block in blocks(batch, "text"):
-                row, *rest = cover(*utf8(block.column("text")), length)
-                _, at = utf8(block.column("text"))
-                parts.append((row + before, rest[0], rest[1] - at[row], rest[2] - at[row], rest[3]))
+                for data, at, offset in pieces(*utf8(block.column("text")), length):
+                    row, *rest = cover(data, at, length)
+                    parts.append((row + before, rest[0], rest[1] - at[row] + offset, rest[2] - at[row] + offset, rest[3]))
                 before += block.num_rows
             if not parts:
                 continue
@@ -267,7 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     in the same one; matches never cross documents. Null texts are empty; texts under length bytes are kept whole;
     of repeated rows, as of exact copies, every byte that such a string covers goes. An empty table gives an empty
     result. With whole_characters, characters of which only some bytes would go go whole, so that kept stays valid
-    UTF-8. Texts may have up to 256 MB. docs should read the same rows in the same order each time, as files and
+    UTF-8. A long text's strings are sampled PIECE_BYTES at a time. Rows with a null id are kept like others. docs should read the same rows in the same order each time, as files and
     checkpoints do: which of several copies in a batch stands for the others follows from their order.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -276,7 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         F.xxhash64(F.col(id_col)).alias("k"), F.coalesce(F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")), F.lit(0)).alias("h"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in others)).alias("row") if others else F.struct(F.lit(True).alias("only")).alias("row"),
     )
-    stored = keyed.repartition("k", "h")
+    stored = keyed
     spans = repeated_spans(keyed, stored, length)
 
     def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
