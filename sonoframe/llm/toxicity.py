@@ -156,11 +156,14 @@ def platt(votes: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[flo
     goal = np.where(labels > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.stack([logit(votes), np.ones(len(votes))], axis=1)
     w = np.array([1.0, 0.0])
-    for _ in range(50):
+    loss = lambda w: (share * (np.logaddexp(0, x @ w) - goal * (x @ w))).sum() + 5e-4 * w @ w
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (share * (goal - p)) - 1e-3 * w
         step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope)
-        w = w + np.clip(step, -2, 2)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-10:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
