@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm._common import blocks, mix, table, word_hashes
 
-#: Bytes of text in a block and in the share of it that meets in a bucket of the count table.
+#: Bytes of text in a block.
 BLOCK = 4 << 20
+#: 1 << FAN_BITS buckets are dealt to by one sender, and as many senders are taken together at each level of the table.
+FAN_BITS = 8
 
 
 def grams(words: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]:
@@ -71,6 +73,12 @@ def others(n: int, row: np.ndarray, real: np.ndarray, number: np.ndarray, here:
     return out
 
 
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """df dealt by keys, over more partitions than the session has where there are many groups of about BLOCK bytes."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(groups // 16, *keys) if groups // 16 > usual else df.repartition(*keys)
+
+
 def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unseen: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, n_words, n_order_1 ... n_order_N, score and mean_score (null without words).
 
@@ -81,7 +89,9 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
 
     Every block of documents sends the hashes of its distinct n-grams to the hash buckets of the count table, sorted and
     packed; each bucket sums its counts and sends the blocks theirs; a block then joins them to its n-grams and sums up
-    each document's. Lengths 1 and 2 go first. A longer n-gram is only asked for where both n-grams one shorter in it
+    each document's. A block has 1 << FAN_BITS messages at any size of the corpus: where there are more blocks than that,
+    as many are summed up by bucket first, and the sums go on, as one sender's, to as many smaller buckets each, until
+    a bucket hears no more senders than that. So messages are as many as blocks, times the levels. Lengths 1 and 2 go first. A longer n-gram is only asked for where both n-grams one shorter in it
     are in other documents too, as it can't be otherwise. An n-gram comes once from each block, so frequent ones make no
     large bucket. Words are runs without
     white space. Null and empty texts have no words; repeated rows are documents of their own; an empty table gives an
@@ -125,9 +135,6 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
         words_, rows_ = np.concatenate(words) if words else np.empty(0, np.uint64), np.concatenate(rows)
         return grams(words_, rows_, order), rows_
 
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-
     def lengths(step: int) -> slice:
         """The n-gram lengths (less 1) that round step asks for."""
         return slice(0, 2) if step == 0 else slice(step + 1, step + 2)
@@ -157,18 +164,70 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
             narrow(n_grams, counts, step + 1)
         return n_grams, counts, rows
 
+    def message(sender: int, every: np.ndarray, count: np.ndarray, level: int) -> pa.Table:
+        """A row for each bucket of the level: its share of sorted hashes, as differences, and their counts."""
+        bucket = (every >> np.uint64(64 - FAN_BITS * level)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*cuts.tolist(), len(every)][1:]
+        return pa.table(
+            [pa.array(bucket[cuts]), pa.array([sender] * len(cuts), pa.int64()), pa.array([packed(np.diff(every[a:b], prepend=np.uint64(0)), ">u8") for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([packed(count[a:b], ">u8") for a, b in zip(cuts, ends, strict=True)], pa.binary())],
+            ["bucket", "sender", "hashes", "counts"],
+        )
+
     def requests(block: int, n_grams: list[np.ndarray], step: int) -> pa.Table:
         every = np.sort(np.concatenate(n_grams[lengths(step)]))
         every = every[np.searchsorted(every, 1) :]
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-        count = np.diff(np.append(first, len(every)))
-        every = every[first]
-        cuts = np.searchsorted(bucket_of(every), np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(cuts)).tolist()
-        return pa.table(
-            [pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([packed(np.diff(every[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)), ">u8") for b in some], pa.binary()), pa.array([packed(count[cuts[b] : cuts[b + 1]], ">u4") for b in some], pa.binary())],
-            ["bucket", "block", "hashes", "counts"],
-        )
+        return message(block, every[first], np.diff(np.append(first, len(every))), 1)
+
+    def summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Of all messages of a group: distinct hashes, their counts, each sent hash's number, and where messages end."""
+        hashes = [np.cumsum(unpacked(x.as_py(), ">u8").astype(np.uint64), dtype=np.uint64) for x in group.column("hashes")]
+        counts = np.concatenate([unpacked(x.as_py(), ">u8") for x in group.column("counts")]).astype(np.int64)
+        flat = np.concatenate(hashes)
+        order_ = np.argsort(flat)
+        new = np.append(True, flat[order_][1:] != flat[order_][:-1])
+        number = np.empty(len(flat), np.int64)
+        number[order_] = np.cumsum(new) - 1
+        return flat[order_][new], np.add.reduceat(counts[order_], np.flatnonzero(new)), number, np.cumsum([len(h) for h in hashes]).tolist()
+
+    def reply(group: pa.Table, totals: np.ndarray, ends: list[int], step: int) -> pa.Table:
+        out = [packed(totals[a:b], ">u8") for a, b in zip([0, *ends], ends)]
+        return pa.table([group.column("bucket"), group.column("sender"), pa.array(out, pa.binary()), pa.array([step] * len(out), pa.int64())], ["bucket", "sender", "totals", "step"])
+
+    def answers(step: int):
+        def run(group: pa.Table) -> pa.Table:
+            _, total, number, ends = summed(group)
+            return reply(group, total[number], ends, step)
+
+        return run
+
+    def upwards(level: int):
+        def run(group: pa.Table) -> pa.Table:
+            every, total, _, _ = summed(group)
+            return message(group.column("node")[0].as_py(), every, total, level + 1)
+
+        return run
+
+    def downwards(step: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            _, _, number, ends = summed(left)
+            right = right.sort_by("bucket")
+            total = np.concatenate([unpacked(x.as_py(), ">u8") for x in right.column("totals")]).astype(np.int64)
+            return reply(left, total[number], ends, step)
+
+        return run
+
+    def resolved(asked: DataFrame, senders: int, level: int, step: int) -> DataFrame:
+        """Each message's totals over the whole corpus, from senders numbered below senders."""
+        schema = "bucket bigint, sender bigint, totals binary, step bigint"
+        if senders <= 1 << FAN_BITS:
+            return asked.groupBy("bucket").applyInArrow(answers(step), schema)
+        asked = spread(asked.withColumn("node", F.shiftright("sender", FAN_BITS)), senders >> FAN_BITS, "bucket", "node")
+        above = asked.groupBy("bucket", "node").applyInArrow(upwards(level), "bucket bigint, sender bigint, hashes binary, counts binary")
+        above = resolved(above, (senders - 1 >> FAN_BITS) + 1, level + 1, step)
+        above = spread(above.select(F.col("bucket").alias("own"), F.shiftright("bucket", FAN_BITS).alias("bucket"), F.col("sender").alias("node"), "totals"), senders >> FAN_BITS, "bucket", "node")
+        return asked.groupBy("bucket", "node").cogroup(above.withColumnRenamed("bucket", "under").withColumnRenamed("own", "bucket").groupBy("under", "node")).applyInArrow(downwards(step), schema)
 
     def ask(group: pa.Table) -> pa.Table:
         n_grams, _ = hashed(texts(group.column("docs")))
@@ -181,22 +240,6 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
 
         return run
 
-    def answers(step: int):
-        def run(group: pa.Table) -> pa.Table:
-            hashes = [np.cumsum(unpacked(x.as_py(), ">u8").astype(np.uint64), dtype=np.uint64) for x in group.column("hashes")]
-            counts = np.concatenate([unpacked(x.as_py(), ">u4") for x in group.column("counts")]).astype(np.int64)
-            flat = np.concatenate(hashes)
-            order_ = np.argsort(flat)
-            new = np.append(True, flat[order_][1:] != flat[order_][:-1])
-            total_ = np.add.reduceat(counts[order_], np.flatnonzero(new))
-            back = np.empty(len(flat), np.int64)
-            back[order_] = total_[np.cumsum(new) - 1]
-            ends = np.cumsum([len(h) for h in hashes])
-            out = [packed(back[e - len(h) : e], ">u8") for h, e in zip(hashes, ends.tolist(), strict=True)]
-            return pa.table([group.column("bucket"), group.column("block"), pa.array(out, pa.binary()), pa.array([step] * len(out), pa.int64())], ["bucket", "block", "totals", "step"])
-
-        return run
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_ = texts(left.column("docs"))
         _, counts, rows = known(docs_, right, rounds)
@@ -221,13 +264,14 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
         )
 
     rounds = max(order - 1, 1)
-    by_block = stored.mapInArrow(store, "block bigint, docs binary").repartition("block")
-    asked = by_block.groupBy("block").applyInArrow(ask, "bucket bigint, block bigint, hashes binary, counts binary")
+    by_block = spread(stored.mapInArrow(store, "block bigint, docs binary"), parts, "block")
+    sent = "bucket bigint, sender bigint, hashes binary, counts binary"
+    asked = by_block.groupBy("block").applyInArrow(ask, sent)
     answered = None
     for step in range(rounds):
         if step:
-            asked = by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_longer(step), "bucket bigint, block bigint, hashes binary, counts binary")
-        new = asked.groupBy("bucket").applyInArrow(answers(step), "bucket bigint, block bigint, totals binary, step bigint").repartition("block")
+            asked = by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_longer(step), sent)
+        new = spread(resolved(asked, parts, 1, step).withColumnRenamed("sender", "block"), parts, "block")
         answered = new if answered is None else answered.union(new)
     schema = f"`{id_col}` {kind}, n_words bigint, {', '.join(f'n_order_{k + 1} bigint' for k in range(order))}, score double, mean_score double"
     return by_block.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)

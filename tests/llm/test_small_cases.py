@@ -68,6 +68,18 @@ def test_lm_scores_without_words_are_null(spark):
     assert rows[2].score == pytest.approx(third + np.log(1 / 1) + np.log(0.4**2 * 1 / 3))
 
 
+def test_lm_scores_do_not_depend_on_blocks_and_levels(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) if x < 400)) for i in range(120)]
+    found = lambda: {r.doc_id: tuple(r) for r in lm_scoring.stupid_backoff(docs(spark, rows)).collect()}
+    one = found()
+    monkeypatch.setattr(lm_scoring, "BLOCK", 800)  # some 30 blocks, three levels of four
+    monkeypatch.setattr(lm_scoring, "FAN_BITS", 2)
+    many = found()
+    assert {i: r[:-2] for i, r in one.items()} == {i: r[:-2] for i, r in many.items()}
+    assert all(one[i][-1] == pytest.approx(many[i][-1]) for i in one)
+
+
 def test_decontaminate_ignores_short_items_and_finds_long(spark):
     items = spark.createDataFrame([(1, "too short an item"), (2, " ".join(f"w{i}" for i in range(40))), (3, None)], "item_id bigint, text string")
     long = " ".join(f"f{i}" for i in range(5000))
