@@ -173,17 +173,26 @@ def peaks(curve: np.ndarray, least: float) -> np.ndarray:
     return np.flatnonzero((curve[1:-1] > curve[:-2]) & (curve[1:-1] >= curve[2:]) & (curve[1:-1] >= least)) + 1
 
 
-def attack_of(x: np.ndarray, rate: int, onset: float, before: float | None) -> float:
-    """Where the sound of an onset begins: the level's climb over a fifth of its way out of the valley before."""
-    first = max(0.0, onset - 0.05, (onset + before) / 2 if before is not None else 0.0)
-    a, b = int(first * rate), int(onset * rate)
-    part = np.abs(x[a : b + 32])
-    if len(part) <= 32:
+def attack_of(x: np.ndarray, rate: int, onset: float, before: float | None, hop: int) -> float:
+    """Where the sound of an onset begins: the level's climb over a fifth of its way out of the valley before.
+
+    It is looked for from the middle between the onsets, 50 ms before at most, to a hop after the onset, as the peak of
+    the level may follow it; it is never after the onset.
+    """
+    at = int(onset * rate)
+    first = max(0, at - int(0.05 * rate), (int(before * rate) + at) // 2 if before is not None else 0)
+    last = min(len(x), at + hop)
+    if last <= first + 1 or len(x) < 32:
         return onset
-    smooth = np.convolve(part, np.ones(32) / 32, "valid")
+    part = np.abs(x[first : last + 31])
+    smooth = np.zeros(last - first)  # frames without 32 after them have no level
+    whole = np.convolve(part, np.ones(32) / 32, "valid") if len(part) >= 32 else smooth[:0]
+    smooth[: len(whole)] = whole[: len(smooth)]
     valley = int(smooth[: max(1, int(0.6 * len(smooth)))].argmin())
+    if smooth.max() <= smooth[valley]:
+        return onset
     over = np.flatnonzero(smooth[valley:] >= smooth[valley] + 0.2 * (smooth.max() - smooth[valley]))
-    return (a + valley + int(over[0])) / rate if len(over) else onset
+    return min(first + valley + int(over[0]), at) / rate
 
 
 def rhythm(s: Sound, tempo_range: tuple[float, float] = (30.0, 300.0)) -> dict:
@@ -193,7 +202,7 @@ def rhythm(s: Sound, tempo_range: tuple[float, float] = (30.0, 300.0)) -> dict:
     curve = s.flux()
     onsets = peaks(curve, curve.mean() + curve.std())
     times = (onsets * s.seconds).tolist()
-    attacks = [attack_of(s.x, s.rate, t, times[i - 1] if i else None) for i, t in enumerate(times)]
+    attacks = [attack_of(s.x, s.rate, t, times[i - 1] if i else None, round(s.seconds * s.rate)) for i, t in enumerate(times)]
     out |= {"onset_times": times, "attack_times": attacks, "onset_count": len(times)}
     low, high = int(60 / tempo_range[1] / s.seconds), int(60 / tempo_range[0] / s.seconds)
     centred = curve - curve.mean()
@@ -265,10 +274,14 @@ def envelopes(x: np.ndarray, rate: int, bins: int = 400) -> dict:
 
 
 def heights(totals: list[float], pixels: int, least: int = 16) -> list[int]:
-    """Pixels of each band by its share, least at the least, which add up exactly: differences of rounded sums."""
-    spare, whole = pixels - least * len(totals), sum(totals)
-    ends = [least * (i + 1) + round(spare * (sum(totals[: i + 1]) / whole if whole > 0 else (i + 1) / len(totals))) for i in range(len(totals))]
-    return [b - a for a, b in zip([0, *ends], ends)]
+    """Pixels of each band by its share, least at the least, which add up exactly: differences of rounded sums. Equal
+    ones, the first a pixel more, where the least don't fit or nothing sounds."""
+    n, whole = len(totals), sum(totals)
+    spare = pixels - least * n
+    if spare < 0 or whole <= 0:
+        return [pixels // n + (i < pixels % n) for i in range(n)]
+    ends = [least * (i + 1) + round(spare * sum(t / whole for t in totals[: i + 1])) for i in range(n - 1)]
+    return [b - a for a, b in zip([0, *ends], [*ends, pixels])]
 
 
 def svg(x: np.ndarray, rate: int, onsets: list[float] = (), beats: list[float] = (), label: str = "", width: int = 1024, height: int = 256) -> str:

@@ -39,11 +39,52 @@ def note_frequency(note: Column) -> Column:
     return 440.0 * F.pow(F.lit(2.0), (note - 69) / 12.0)
 
 
-def pitch_label(hz: Column, confidence: Column, least: float = 0.4) -> Column:
-    """Note name and octave, null below the least confidence or without a pitch."""
-    midi = F.floor(69 + 12 * F.log2(hz / 440.0) + 0.5)
-    name = F.get(F.array(*map(F.lit, NOTES)), F.pmod(midi, F.lit(12)).cast("int"))
-    return F.when((confidence >= least) & (hz > 0), F.concat(name, (F.floor(midi / 12) - 1).cast("string")))
+def pitch_label(hz: Column, confidence: Column, pitch_class: Column, least: float = 0.4) -> Column:
+    """The class's name and the octave of the note at or below hz; null below the least confidence, without a pitch or
+    outside the twelve classes."""
+    midi = (69 + 12 * F.log2(hz / 440.0)).cast("int")
+    name = F.get(F.array(*map(F.lit, NOTES)), pitch_class)
+    return F.when((confidence >= least) & (hz > 0) & pitch_class.between(0, 11), F.concat(name, (F.floor(midi / 12) - 1).cast("string")))
+
+
+def accent(confidence: Column, pitch_class: Column, centroid: Column, least: float = 0.4, neutral: tuple[int, int, int] = (180, 180, 200)) -> Column:
+    """A sound's colour, as (red, green, blue) of 0 to 255: its pitch class around the wheel, else its centroid from blue
+    (low) to orange, else neutral."""
+    own = (confidence >= least) & pitch_class.between(0, 11)
+    by_level = ~own & (centroid > 0)
+    hue = F.when(own, pitch_class / 12.0).otherwise(0.6 - 0.5 * F.greatest(F.least(centroid, F.lit(1.0)), F.lit(0.0)))
+    strength, value = F.when(own, 0.55).otherwise(0.45), F.when(own, 0.85).otherwise(0.80)
+
+    def part(shift: int) -> Column:
+        """One of the three: the value less what the hue's distance on the wheel takes off."""
+        k = F.pmod(shift + hue * 6, F.lit(6.0))
+        return F.bround(255 * (value - value * strength * F.greatest(F.least(k, 4 - k, F.lit(1.0)), F.lit(0.0)))).cast("int")
+
+    return F.array(*(F.when(own | by_level, part(shift)).otherwise(other) for shift, other in zip((5, 3, 1), neutral, strict=True)))
+
+
+def rhythmic(tempo: Column, beat_times: Column) -> Column:
+    """Whether a sound can be put on a grid: it has a tempo and two beats or more."""
+    return (tempo > 0) & (F.size(beat_times) >= 2)
+
+
+def stratum_heights(totals: Column, pixels: int, least: int = 16) -> Column:
+    """functions.analysis.heights on an array of totals: pixels of each band by its share, which add up exactly."""
+    n, whole = F.size(totals), F.aggregate(totals, F.lit(0.0), lambda a, t: a + t)
+    spare = pixels - least * n
+
+    def end(i: Column) -> Column:
+        share = F.aggregate(F.slice(totals, 1, i + 1), F.lit(0.0), lambda a, t: a + t / whole)
+        return F.when(i == n - 1, F.lit(pixels)).otherwise(least * (i + 1) + F.bround(spare * share)).cast("int")
+
+    equal = F.transform(totals, lambda _, i: (F.floor(F.lit(pixels) / n) + F.when(i < F.lit(pixels) % n, 1).otherwise(0)).cast("int"))
+    by_share = F.transform(totals, lambda _, i: end(i) - F.when(i > 0, end(i - 1)).otherwise(0))
+    return F.when((spare < 0) | (whole <= 0), equal).otherwise(by_share)
+
+
+def file_name(ended: Column, suffix: str = ".wav") -> Column:
+    """A recording's name: the time at which it ended, to the millisecond, so that two in a second differ."""
+    return F.concat(F.date_format(ended, "yyyy-MM-dd_HH-mm-ss-SSS"), F.lit(suffix))
 
 
 def pan_gains(weights: Column) -> Column:

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from sonoframe.functions.scalar import log_normalize
 
 
-def levels(frames: DataFrame, key: str, value: str, frame_rms: str | None = None) -> DataFrame:
-    """Peak, root mean square, crest factor (also in dB) and noise floor (5th percentile of the frames' RMS)."""
+def levels(frames: DataFrame, key: str, at: str, value: str, width: int = 2048) -> DataFrame:
+    """Peak, root mean square, crest factor (also in dB) and noise floor of values numbered by at, from 0.
+
+    The noise floor is the 5th percentile, between neighbours, of the root mean squares of whole frames of width values;
+    of a sound shorter than one, of all it has. Frames are summed up where the values are; a row for each is shuffled.
+    """
     v = F.col(value)
-    g = frames.groupBy(key).agg(F.max(F.abs(v)).alias("peak"), F.sqrt(F.avg(v * v)).alias("rms"), F.percentile(F.col(frame_rms or value), F.lit(0.05)).alias("noise_floor"))
+    f = frames.groupBy(key, F.floor(F.col(at) / width).alias("_frame")).agg(F.count("*").alias("_n"), F.max(F.abs(v)).alias("_top"), F.sum(v * v).alias("_power"))
+    whole = F.when(F.col("_n") == width, F.sqrt(F.col("_power") / width))
+    g = f.groupBy(key).agg(F.max("_top").alias("peak"), F.sqrt(F.sum("_power") / F.sum("_n")).alias("rms"), F.percentile(whole, F.lit(0.05)).alias("_floor"))
     crest = F.when(F.col("rms") > 1e-10, F.col("peak") / F.col("rms")).otherwise(0.0)
-    return g.select(key, "peak", "rms", crest.alias("crest_factor"), F.when(crest > 1e-10, 20 * F.log10(crest)).otherwise(0.0).alias("crest_factor_db"), "noise_floor")
+    return g.select(key, "peak", "rms", crest.alias("crest_factor"), F.when(crest > 1e-10, 20 * F.log10(crest)).otherwise(0.0).alias("crest_factor_db"), F.coalesce("_floor", "rms").alias("noise_floor"))
 
 
 def attack_release(frames: DataFrame, key: str, at: str, rms: str, seconds_per_frame: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,13 +81,13 @@ def time_map(sources: Column, targets: Column, length: Column, stretched: Column
     return F.concat(kept, F.array(F.struct(length.alias("source"), stretched.alias("target"))))
 
 
-def energy_profile(frames: DataFrame, key: str, slot: str, value: str) -> DataFrame:
-    """(key, energy): the root mean square of value per slot from 0 to the highest, divided by the largest of them.
+def energy_profile(frames: DataFrame, key: str, at: str, value: str, slot: int) -> DataFrame:
+    """(key, energy): the root mean square of value in each whole slot of slot frames, divided by the largest of them.
 
-    frames has a row per sample frame with its slot; slots without frames are 0. Slots are pre-aggregated where the
-    frames are, so only one row per slot is shuffled.
+    Frames are numbered by at, from 0. What is left after the last whole slot isn't counted, but a sound shorter than one
+    is one. Slots are pre-aggregated where the frames are, so only one row per slot is shuffled.
     """
-    by = frames.groupBy(key, slot).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
-    by = by.withColumn("top", F.max("rms").over(Window.partitionBy(key)))
-    by = by.groupBy(key).agg(F.max(slot).cast("int").alias("last"), F.map_from_entries(F.collect_list(F.struct(F.col(slot).cast("int"), F.when(F.col("top") > 0, F.col("rms") / F.col("top")).otherwise(0.0)))).alias("m"))
-    return by.select(key, F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("energy"))
+    by = frames.groupBy(key, F.floor(F.col(at) / slot).cast("int").alias("_slot")).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("_rms"), F.count("*").alias("_n"))
+    by = by.where((F.col("_n") == slot) | (F.col("_slot") == 0))
+    g = by.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_slot", "_rms"))).alias("_s"), F.max("_rms").alias("_top"))
+    return g.select(key, F.transform("_s", lambda x: F.when(F.col("_top") > 0, x["_rms"] / F.col("_top")).otherwise(0.0)).alias("energy"))

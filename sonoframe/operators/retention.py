@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.operators.ranking import ROW_BITS
+from sonoframe.operators.shared import cut
+
 
 def newest_within(rows: DataFrame, age: str, size: str, budget: int, partition: str | None = None) -> DataFrame:
     """The newest rows whose sizes fit the budget together; the newest is kept even if it alone does not.
@@ -19,16 +22,17 @@ def newest_within(rows: DataFrame, age: str, size: str, budget: int, partition:
     return total.where((F.col("_sum") <= budget) | (F.col("_sum") == F.col(size))).drop("_sum")
 
 
-def running_total(rows: DataFrame, age: str, size: str, ranges: int = 256) -> DataFrame:
-    """_sum: the sizes of a row and all newer ones. Ages are numbers; equal ones count together in no fixed order."""
-    ends = rows.agg(F.min(age).alias("low"), F.max(age).alias("high")).first()
-    low, high = ends.low or 0, ends.high or 0
-    width = max((high - low) / ranges, 1e-9)
-    r = rows.withColumn("_range", F.least(F.floor((F.col(age) - low) / width), F.lit(ranges - 1)).cast("int"))
-    sums = r.groupBy("_range").agg(F.sum(size).alias("_s"))  # ranges rows at most
-    newer = sums.withColumn("_newer", F.coalesce(F.sum("_s").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_newer")
-    within = F.sum(size).over(Window.partitionBy("_range").orderBy(F.desc(age)).rowsBetween(Window.unboundedPreceding, 0))
-    return r.join(F.broadcast(newer), "_range").withColumn("_sum", within + F.col("_newer")).drop("_range", "_newer")
+def running_total(rows: DataFrame, age: str, size: str) -> DataFrame:
+    """_sum: the sizes of a row and all newer ones; of equal ages in no fixed order.
+
+    Rows are sorted by range, so that a burst of ages is spread as well; only the ranges' sums, one for each, meet.
+    """
+    ranged = cut(rows.orderBy(F.desc(age)).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_id", ROW_BITS))
+    sums = ranged.groupBy("_range").agg(F.sum(size).alias("_s"))
+    newer = sums.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_newer"))
+    within = F.sum(size).over(Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(newer), "_range").withColumn("_sum", within + F.col("_newer")).drop("_range", "_newer", "_id")
 
 
 def families_within(rows: DataFrame, parent: str, inserted: str, size: str, budget: int) -> DataFrame:

@@ -8,54 +8,43 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Channel orders of the layouts, and the ITU-R BS.775 rule that each channel missing in a smaller layout is
-#: spread over others at -3 dB; LFE is dropped.
+#: Channel orders of the layouts, and the ITU-R BS.775 rule: a channel that a smaller layout lacks goes at
+#: -3 dB to the first of these that it has; LFE is dropped.
 LAYOUTS = {1: ["M"], 2: ["L", "R"], 4: ["L", "R", "Ls", "Rs"], 6: ["L", "R", "C", "LFE", "Ls", "Rs"], 8: ["L", "R", "C", "LFE", "Ls", "Rs", "Lb", "Rb"]}
-SPREAD = {"C": ["L", "R"], "Ls": ["L"], "Rs": ["R"], "Lb": ["Ls"], "Rb": ["Rs"], "LFE": []}
+FOLDED = {"C": [["L", "R"]], "Ls": [["L"]], "Rs": [["R"]], "Lb": [["Ls"], ["L"]], "Rb": [["Rs"], ["R"]], "LFE": []}
 HALF = 1 / math.sqrt(2)
 
 
 def matrix(source: int, target: int) -> np.ndarray:
-    """target x source gains. Up: like to like, mono to left and right; down: each missing channel by SPREAD in turn."""
-    if source == target:
-        return np.eye(source)
-    if source not in LAYOUTS or target not in LAYOUTS:
-        out = np.zeros((target, source))
-        out[:: 1 if source == 1 else target + 1] = 1 if source == 1 else 0
-        for i in range(min(source, target)):
-            out[i, i] = 1
-        return out
-    have, want = LAYOUTS[source], LAYOUTS[target]
-
-    def gains(channel: str) -> dict[str, float]:
-        if channel in want:
-            return {channel: 1.0}
-        if channel == "M":
-            return {c: 1.0 for c in ("L", "R") if c in want}
-        if target == 1:
-            return {"M": {"L": 0.5, "R": 0.5, "C": HALF, "Ls": 0.5 * HALF, "Rs": 0.5 * HALF, "Lb": 0.25, "Rb": 0.25, "LFE": 0.0}[channel]}
-        out: dict[str, float] = {}
-        for next_ in SPREAD.get(channel, []):
-            for c, g in gains(next_).items():
-                out[c] = out.get(c, 0) + g * HALF
-        return out
-
+    """target x source gains. Up: channel to channel, the others silent; down by FOLDED, to mono by way of stereo. A
+    layout that isn't known keeps its first channels."""
+    if source <= target or source not in LAYOUTS or target not in LAYOUTS:
+        return np.eye(target, source)
+    if target == 1:
+        return np.full((1, 2), HALF) @ matrix(source, 2)
+    want = LAYOUTS[target]
     out = np.zeros((target, source))
-    for j, channel in enumerate(have):
-        for c, g in gains(channel).items():
-            out[want.index(c), j] += g
+    for j, channel in enumerate(LAYOUTS[source]):
+        if channel in want:
+            out[want.index(channel), j] = 1
+            continue
+        for others in FOLDED[channel]:
+            if set(others) <= set(want):
+                out[[want.index(c) for c in others], j] = HALF
+                break
     return out
 
 
-def pan_matrix(source: int, weights: list[float]) -> np.ndarray:
-    """Mono to outputs by the root of each weight's share; more channels are first mixed to the outputs' layout."""
+def pan_matrix(source: int, weights: list[float], outputs: int | None = None) -> np.ndarray:
+    """Gains by the root of each weight's share, for a layout of as many channels as weights: mono goes out by them,
+    more channels are first mixed to that layout. It is then mixed to outputs, where these are other than that."""
     total = sum(weights)
-    gains = np.sqrt(np.array(weights) / total) if total > 0 else np.zeros(len(weights))
-    mono = matrix(source, 1) if source != 1 else np.eye(1)
-    return gains[:, None] @ mono
+    gains = np.sqrt(np.array(weights, float) / total) if total > 0 else np.zeros(len(weights))
+    out = gains[:, None] if source == 1 else gains[:, None] * matrix(source, len(weights))
+    return out if outputs in (None, len(weights)) else matrix(len(weights), outputs) @ out
 
 
 def route(m: np.ndarray, outputs: list[int], device: int) -> np.ndarray:
@@ -106,3 +95,14 @@ def decoder(directions: list[tuple[float, float] | None], shape: str = "max_re")
             a, e = map(math.radians, d)
             out[i, 1:] = SHAPES[shape] / active * np.array([math.sin(a) * math.cos(e), math.sin(e), math.cos(a) * math.cos(e)])
     return out
+
+
+def mixed(voices: DataFrame, frame: str, value: str, gain: str) -> DataFrame:
+    """(frame, mixed, voices): all voices' values at their gains summed per frame, where they are before the shuffle."""
+    return voices.groupBy(frame).agg(F.sum(F.col(value) * F.col(gain)).alias("mixed"), F.count("*").alias("voices"))
+
+
+def released(position: Column, stopped: Column, length: int) -> Column:
+    """A voice's gain at a position: 1 until it is stopped, then half a cosine down to 0 over length frames."""
+    after = F.greatest(F.least((position - stopped) / length, F.lit(1.0)), F.lit(0.0))
+    return F.when(stopped.isNull() | (position < stopped), 1.0).otherwise((1 + F.cos(F.lit(math.pi) * after)) / 2)

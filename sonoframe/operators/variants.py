@@ -46,6 +46,11 @@ def missing(wanted: DataFrame, variants: DataFrame, running: DataFrame | None =
     return wanted.dropDuplicates(["sample_id", "spec_hash"]).join(keys, ["sample_id", "spec_hash"], "left_anti")
 
 
+def without_parents(variants: DataFrame, gone: DataFrame, on: str = "sample_id") -> DataFrame:
+    """Variants whose sound isn't among those that are gone."""
+    return variants.join(gone.select(on).distinct(), on, "left_anti")
+
+
 def served(wanted: DataFrame, variants: DataFrame, base_hash: str) -> DataFrame:
     """For each wanted sound its variant, else its base variant, else null: the raw sound is played."""
     v = variants.select("sample_id", "spec_hash")

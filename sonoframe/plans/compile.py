@@ -139,3 +139,13 @@ def assigned(assignments: list[Assignment], picks: dict[tuple[int, int], tuple[A
     every = every.withColumn("best", F.min("spec").over(first)).where("spec = best").withColumn("found", F.count("*").over(first))
     out = wanted.join(every, "assignment").where(F.col("rank") == F.least(F.col("pick").cast("bigint"), F.col("found")))
     return out.select("channel", "note", "assignment", "sample_id", "rank")
+
+
+def looked_up(events: DataFrame, picks: dict[tuple[int, int], tuple[Assignment, int]]) -> DataFrame:
+    """events (channel, note, ...) that have an assignment, with its name and pick.
+
+    A map has 16 x 128 entries at most, so it is broadcast.
+    """
+    rows = [(c, n, a.name, int(p)) for (c, n), (a, p) in picks.items()]
+    known = events.sparkSession.createDataFrame(rows, "channel int, note int, assignment string, pick int")
+    return events.join(F.broadcast(known), ["channel", "note"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.operators import frames, retention
 from sonoframe.operators.detector import Detector, ambient, ordered, segments
-from sonoframe.plans.registry import query, table
+from sonoframe.plans.registry import ORACLE_SQL, query, table
 
 NUMBERED = "f as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value, ts, event_type, event_id from events)"
 
@@ -17,10 +17,11 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("i", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint"))
 
 
-@query("""select user_id, round(max(abs(value)), 6) as peak, round(sqrt(avg(value * value)), 6) as rms, round(max(abs(value)) / sqrt(avg(value * value)), 6) as crest_factor,
- round(20 * log10(max(abs(value)) / sqrt(avg(value * value))), 6) as crest_factor_db, round(quantile_cont(value, 0.05), 6) as noise_floor from events group by user_id""")
+@query(f"""with {NUMBERED}, w as (select user_id, i // 4 as w, sqrt(avg(value * value)) as r, count(*) as n from f group by 1, 2), q as (select user_id, quantile_cont(r, 0.05) as q from w where n = 4 group by 1),
+ l as (select user_id, max(abs(value)) as peak, sqrt(avg(value * value)) as rms from f group by 1)
+ select user_id, round(peak, 6) as peak, round(rms, 6) as rms, round(peak / rms, 6) as crest_factor, round(20 * log10(peak / rms), 6) as crest_factor_db, round(coalesce(q, rms), 6) as noise_floor from l left join q using (user_id)""")
 def level_stats(spark, d):
-    out = frames.levels(table(spark, d, "events").select("user_id", "value"), "user_id", "value")
+    out = frames.levels(numbered(spark, d), "user_id", "i", "value", 4)
     return out.select("user_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
@@ -42,13 +43,12 @@ def spectral_slope(spark, d):
     return out.select("user_id", F.round("slope", 6).alias("slope"))
 
 
-@query(f"""with {NUMBERED}, r as (select user_id, i // 5 as slot, sqrt(avg(value * value)) as rms from f group by 1, 2), m as (select *, max(rms) over (partition by user_id) as top from r)
+@query(f"""with {NUMBERED}, r as (select user_id, i // 5 as slot, sqrt(avg(value * value)) as rms, count(*) as n from f group by 1, 2), k as (select * from r where n = 5 or slot = 0), m as (select *, max(rms) over (partition by user_id) as top from k)
  select user_id, cast(slot as int) as slot, round(rms / top, 6) as energy from m""")
 def grid_energy_profile(spark, d):
     from sonoframe.operators.grid import energy_profile
 
-    f = numbered(spark, d).withColumn("slot", F.floor(F.col("i") / 5))
-    return energy_profile(f, "user_id", "slot", "value").select("user_id", F.posexplode("energy").alias("slot", "energy")).withColumn("energy", F.round("energy", 6))
+    return energy_profile(numbered(spark, d), "user_id", "i", "value", 5).select("user_id", F.posexplode("energy").alias("slot", "energy")).withColumn("energy", F.round("energy", 6))
 
 
 @query(f"""with {NUMBERED}, c as (select *, count(*) over (partition by user_id) as n from f), b as (select user_id, value,
@@ -143,9 +143,10 @@ def controller_parameter(spark, d):
     return out.select("user_id", F.round(controller(F.pmod(F.floor("value").cast("bigint"), F.lit(128)), 20, 200), 6).alias("parameter"))
 
 
-@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem)")
+@query("select doc_id, text from documents where doc_id not in (select doc_id from labels)")
 def anti_known(spark, d):
-    return retention.unknown(table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    """Sounds (documents) that no record (label) knows yet."""
+    return retention.unknown(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"), "doc_id")
 
 
 @query("""with a as (select n_name as name, 1 as library from nation), b as (select r_name as name, 2 as library from region) select * from a union all select * from b where name not in (select name from a)""")
@@ -192,7 +193,7 @@ def segment_detect(spark, d):
     return segments(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", DETECTOR)
 
 
-@query()
+@query(ORACLE_SQL["segment_detect"])
 def segment_detect_stream(spark, d):
     """The same detector as a stream over the same chunks; tests/test_detector.py holds it against segment_detect."""
     from sonoframe.streaming.detect import segments as streamed

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.operators import grid
+from sonoframe.operators.ranking import with_rank
 from sonoframe.plans import compile as plan
 from sonoframe.plans.registry import query, table
 from sonoframe.plans.spec import Assignment, Reader, note_map
@@ -119,10 +120,10 @@ def default_order(spark, d):
     return plan.ranked(spec(where={"min_onsets": 45}), samples(spark, d)).select("sample_id", "rank")
 
 
-@query(f"""with {SAMPLES}, {SLOTS}, b as (select s.sample_id, s.duration, len(p.energy) * 4 / 16e0 as beats from samples s left join profiles p using (sample_id) where s.sample_id % 40 < 3)
+@query(f"""with {SAMPLES}, {SLOTS}, b as (select s.sample_id, s.duration, len(p.energy) * 4 / 16e0 as beats from samples s left join profiles p using (sample_id))
  select sample_id, cast(row_number() over (order by beats asc nulls last, duration desc, sample_id) as int) as rank_up, cast(row_number() over (order by beats desc nulls last, duration desc, sample_id) as int) as rank_down from b""")
 def nulls_last_both_ways(spark, d):
-    s = samples(spark, d).where("sample_id % 40 < 3")
+    s = samples(spark, d)
     up = plan.ranked(spec(order=["quantized_beats_asc", "duration_desc"]), s, variants(spark, d)).select("sample_id", F.col("rank").alias("rank_up"))
     down = plan.ranked(spec(order=["quantized_beats_desc", "duration_desc"]), s, variants(spark, d)).select("sample_id", F.col("rank").alias("rank_down"))
     return up.join(down, "sample_id")
@@ -152,10 +153,8 @@ def rank_distribution(spark, d):
 def beat_match(spark, d):
     s = spec(order={"by": "beat_match", "dir": "desc", "pattern": [1, 0, 0.5]})
     rows, _ = plan.matches(s, samples(spark, d), variants(spark, d))
-    rows = rows.withColumn("key_0", F.round("key_0", 9))
-    from pyspark.sql import Window
-
-    return rows.select("sample_id", F.round("key_0", 6).alias("score"), F.row_number().over(Window.orderBy(F.desc("key_0"), "sample_id")).alias("rank"))
+    rows = with_rank(rows.select("sample_id", F.round("key_0", 9).alias("key_0")), [F.desc("key_0"), F.asc("sample_id")])
+    return rows.select("sample_id", F.round("key_0", 6).alias("score"), "rank")
 
 
 @query("""with r as (select unnest([3, 6, 8, 16, 5, 7]) as resolution), e as (select resolution, [cast((i * 37 + resolution) % 11 as double) for i in range(0, 13)] as energy from r),
@@ -216,7 +215,7 @@ def weighted_group_similarity(spark, d):
     return top(s.withColumn("score", F.round("score", 9)), 5).withColumn("score", F.round("score", 6))
 
 
-@query(f"""with {SIMILARITY}, c as (select ref, sample_id, score from similarity where ref <> 'ref4' and sample_id >= 50 union all select ref, sample_id, score from similarity where ref = 'ref4' and sample_id >= 50)
+@query(f"""with {SIMILARITY}, c as (select ref, sample_id, score from similarity where ref <> 'ref4' union all select ref, sample_id, score from similarity where ref = 'ref4')
  select ref, count(*) as n, round(sum(score), 6) as total, max(sample_id) as last from c where sample_id % 9 <> 0 group by ref""")
 def index_upkeep(spark, d):
     """Samples added, a reference added, samples removed: the index as if made at once."""
@@ -224,7 +223,7 @@ def index_upkeep(spark, d):
 
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     refs = v.where("vec_id < 5").select(F.concat(F.lit("ref"), F.col("vec_id").cast("string")).alias("ref"), "v")
-    every = v.where("vec_id >= 50").select(F.col("vec_id").alias("sample_id"), "v")
+    every = v.select(F.col("vec_id").alias("sample_id"), "v")
     index = scored(refs.where("ref <> 'ref4'"), every.where("sample_id < 300"))
     index = add_samples(index, refs.where("ref <> 'ref4'"), every)
     index = add_references(index, refs, every)

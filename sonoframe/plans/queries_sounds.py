@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from sonoframe.functions import scalar
-from sonoframe.operators import grid, retention, routing
+from sonoframe.operators import grid, retention, routing, variants
+from sonoframe.plans import compile as plan
+from sonoframe.plans import spec
+from sonoframe.plans.queries_selection import SAMPLES, samples
 from sonoframe.plans.registry import query, table
+from sonoframe.sources import library, sidecars
 
 
 @query("select p_partkey, round(case when p_retailprice <= 950 then 0 when p_retailprice >= 1900 then 1 else ln(p_retailprice / 950) / ln(2) end, 9) as v from part")
@@ -16,10 +21,10 @@ def log_normalize(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(scalar.log_normalize(F.col("p_retailprice"), 950, 1900), 9).alias("v"))
 
 
-@query("select p_partkey, cast(pow(2, round_even(log2(p_partkey * 100 * 2048.0e0 / 44100), 0)) as int) as n_fft, cast(pow(2, round_even(log2(p_partkey * 100 * 2048.0e0 / 44100), 0)) as int) // 4 as hop from part where p_partkey >= 80")
+@query("select p_partkey, cast(pow(2, round_even(log2((p_partkey * 100 + 8000) * 2048.0e0 / 44100), 0)) as int) as n_fft, cast(pow(2, round_even(log2((p_partkey * 100 + 8000) * 2048.0e0 / 44100), 0)) as int) // 4 as hop from part")
 def analysis_window(spark, d):
-    n = scalar.analysis_window(F.col("p_partkey") * 100)
-    return table(spark, d, "part").where("p_partkey >= 80").select("p_partkey", n.alias("n_fft"), F.floor(n / 4).cast("int").alias("hop"))
+    n = scalar.analysis_window(F.col("p_partkey") * 100 + 8000)
+    return table(spark, d, "part").select("p_partkey", n.alias("n_fft"), F.floor(n / 4).cast("int").alias("hop"))
 
 
 @query("select p_partkey, round(20 * log10(greatest(p_retailprice / 2000, 1e-10)), 9) as db, round(pow(10, p_size / -20.0e0), 9) as gain from part")
@@ -31,7 +36,8 @@ def decibels(spark, d):
  concat((['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[note % 12 + 1], note // 12 - 1) as label from n""")
 def note_table(spark, d):
     hz = scalar.note_frequency(F.col("note"))
-    return spark.range(128).select(F.col("id").cast("int").alias("note")).select("note", F.round(hz, 6).alias("hz"), scalar.pitch_label(hz, F.lit(1.0)).alias("label"))
+    notes = spark.range(128).select(F.col("id").cast("int").alias("note"))
+    return notes.select("note", F.round(hz, 6).alias("hz"), scalar.pitch_label(hz * 1.0001, F.lit(1.0), F.col("note") % 12).alias("label"))
 
 
 @query("""with w as (select s_suppkey, [s_suppkey % 3 * 1.0e0, s_suppkey % 5 * 1.0e0, s_nationkey * 1.0e0] as w from supplier), t as (select s_suppkey, w, list_sum(w) as t from w)
@@ -75,9 +81,9 @@ def grid_snap(spark, d):
     return s.select("user_id", F.posexplode("s").alias("i", "target")).select("user_id", "i", F.round("target", 6).alias("target"))
 
 
-@query("""with g as (select s_suppkey, 60.0e0 / (60 + s_nationkey) / 4 as step, s_acctbal as len from supplier where s_acctbal > 0 and s_acctbal < 1000), p as (select s_suppkey, step, unnest(range(0, cast(floor(len / step) as bigint) + 2)) as i from g) select s_suppkey, count(*) as n, round(max(i * step), 6) as last from p group by 1""")
+@query("""with g as (select s_suppkey, 60.0e0 / (60 + s_nationkey) / 4 as step, s_acctbal as len from supplier where s_acctbal > 0), p as (select s_suppkey, step, unnest(range(0, cast(floor(len / step) as bigint) + 2)) as i from g) select s_suppkey, count(*) as n, round(max(i * step), 6) as last from p group by 1""")
 def quantize_grid(spark, d):
-    s = table(spark, d, "supplier").where("s_acctbal > 0 and s_acctbal < 1000")
+    s = table(spark, d, "supplier").where("s_acctbal > 0")
     g = s.select("s_suppkey", grid.grid_times(F.col("s_acctbal"), 60.0 + F.col("s_nationkey"), F.lit(16)).alias("g"))
     return g.select("s_suppkey", F.size("g").cast("bigint").alias("n"), F.round(F.array_max("g"), 6).alias("last"))
 
@@ -103,12 +109,12 @@ def variant_key(spark, d):
     return table(spark, d, "part").select("p_partkey", scalar.variant_key(F.md5("p_name"), "13", 44100, steps).alias("key"))
 
 
-@query("""select d.doc_id, n.note as note from documents d cross join (select cast(unnest(range(60, 64)) as int) as note) n left join labels l on l.doc_id = d.doc_id and l.quality = n.note % 2 where l.doc_id is null and d.n_chars > 2000""")
+@query("""select d.doc_id as sample_id, n.note as note from documents d cross join (select cast(unnest(range(60, 64)) as int) as note) n left join labels l on l.doc_id = d.doc_id and l.quality = n.note % 2 where l.doc_id is null""")
 def missing_variants(spark, d):
     """Wanted variants (a document at four notes) that aren't there yet: only their keys are joined."""
-    notes = F.explode(F.sequence(F.lit(60), F.lit(63)))
-    wanted = table(spark, d, "documents").where("n_chars > 2000").select("doc_id", notes.alias("note")).withColumn("quality", F.col("note") % 2)
-    return wanted.join(table(spark, d, "labels").select("doc_id", "quality"), ["doc_id", "quality"], "left_anti").select("doc_id", "note")
+    wanted = variants.requested(table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.md5("text").alias("audio_md5")), '[{"repitch":{}}]', notes=[60, 61, 62, 63])
+    there = wanted.join(table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), "quality"), "sample_id").where("note % 2 = quality")
+    return variants.missing(wanted, there).select("sample_id", "note")
 
 
 @query("select l.doc_id from labels l where not (quality = 1 and toxic = 1)")
@@ -118,69 +124,96 @@ def invalidated_variants(spark, d):
     return retention.without_step(table(spark, d, "labels").withColumn("steps", steps), "stretch").select("doc_id")
 
 
-@query("select distinct o_custkey, o_orderpriority from orders where o_orderstatus = 'F'")
+@query("select distinct o_custkey as sample_id, o_orderpriority as spec_hash from orders where (o_custkey, o_orderpriority) not in (select o_custkey, o_orderpriority from orders where o_orderstatus = 'F')")
 def distinct_variants(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").dropDuplicates()
+    """What orders ask for, each variant once, less those that are being made (status F)."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderpriority").alias("spec_hash"), "o_orderstatus")
+    return variants.missing(o, o.limit(0), o.where("o_orderstatus = 'F'")).select("sample_id", "spec_hash")
 
 
-@query("select v.doc_id, v.quality from labels v semi join (select doc_id from documents where n_chars >= 1000) using (doc_id)")
+@query("select doc_id, quality from labels where doc_id not in (select doc_id from documents where n_chars < 1000)")
 def cascade_delete(spark, d):
     """Variants whose sound was evicted go with it."""
-    gone = table(spark, d, "documents").where("n_chars < 1000").select("doc_id")
-    return table(spark, d, "labels").select("doc_id", "quality").join(gone, "doc_id", "left_anti")
+    return variants.without_parents(table(spark, d, "labels"), table(spark, d, "documents").where("n_chars < 1000"), "doc_id").select("doc_id", "quality")
 
 
-@query("select event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') || '-000.wav' as file, strftime(ts, '%Y-%m-%d_%H-%M-%S') || '-000.wav.analysis.json' as sidecar from events")
+@query("select event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S-%g') || '.wav' as file, strftime(ts, '%Y-%m-%d_%H-%M-%S-%g') || '.wav.analysis.json' as sidecar from events")
 def file_names(spark, d):
-    name = F.concat(F.date_format("ts", "yyyy-MM-dd_HH-mm-ss"), F.lit("-000.wav"))
-    return table(spark, d, "events").select("event_id", name.alias("file"), F.concat(name, F.lit(".analysis.json")).alias("sidecar"))
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", scalar.file_name(ts).alias("file"), scalar.file_name(ts, ".wav" + sidecars.SUFFIX).alias("sidecar"))
 
 
-@query("""with m as (select unnest([36, 38, 42, 46]) as note, unnest(['kick', 'snare', 'hat', 'hat']) as name) select event_id, name from (select event_id, 36 + event_id % 12 as n from events) e join m on m.note = e.n""")
+KIT = """
+assignments:
+  - {name: kick, channel: 10, notes: 36, select: {where: {name: kick}}, process: [{saturate: {drive: {cc: 74, min: 0, max: 12}}}]}
+  - {name: snares, channel: 10, notes: [38, 40], select: [{where: {name: snare}}, {where: {name: rim}, pick: 2}]}
+  - {name: hats, channel: 10, notes: 42..44, select: {order: quietest}, process: [{filter_low: {freq: {cc: 71, min: 200, max: 9000, channel: 3}}}, reverse]}
+  - {name: late, channel: 10, notes: [36, 50], select: {where: {reference: BD}}}
+"""
+
+
+@query("""with m as (select * from (values (36, 'late', 1), (38, 'snares', 1), (40, 'snares', 1), (42, 'hats', 1), (43, 'hats', 2), (44, 'hats', 3), (50, 'late', 2)) as m(note, assignment, pick))
+ select event_id, assignment, pick from (select event_id, 36 + event_id % 16 as note from events) e join m using (note)""")
 def note_lookup(spark, d):
-    """Each event's note to its assignment; the map is small and its size fixed, so it is broadcast."""
-    m = spark.createDataFrame([(36, "kick"), (38, "snare"), (42, "hat"), (46, "hat")], "note bigint, name string")
-    e = table(spark, d, "events").select("event_id", (36 + F.col("event_id") % 12).alias("note"))
-    return e.join(F.broadcast(m), "note").select("event_id", "name")
+    """Each event's note to its assignment and pick: of two for a note the last counts, notes of a list take their ranks."""
+    picks = spec.note_map(spec.read_map(KIT)[0])
+    e = table(spark, d, "events").select("event_id", F.lit(10).alias("channel"), (36 + F.col("event_id") % 16).cast("int").alias("note"))
+    return plan.looked_up(e, picks).select("event_id", "assignment", "pick")
 
 
-@query("select p_partkey from part where upper(p_brand) in (select upper('brand#' || n_nationkey) from nation)")
+@query("select distinct p_brand as name from part where upper(p_brand) in (select upper('brand#' || n_nationkey) from nation)")
 def reference_validation(spark, d):
-    """Assignments (parts) whose reference (brand) exists, in whatever case."""
-    known = table(spark, d, "nation").select(F.upper(F.concat(F.lit("brand#"), F.col("n_nationkey").cast("string"))).alias("ref"))
-    return table(spark, d, "part").withColumn("ref", F.upper("p_brand")).join(known, "ref", "left_semi").select("p_partkey")
+    """Assignments (brands) whose reference exists, in whatever case; the whole assignment goes where it doesn't."""
+    known = {f"BRAND#{r.n_nationkey}" for r in table(spark, d, "nation").select("n_nationkey").collect()}
+    brands = sorted(r.p_brand for r in table(spark, d, "part").select("p_brand").distinct().collect())
+    text = "assignments:\n" + "".join(f"  - {{name: '{b}', channel: 1, notes: 60, select: {{where: {{reference: '{b.lower()}'}}}}}}\n" for b in brands)
+    return spark.createDataFrame([(a.name,) for a in spec.read_map(text, references=known)[0]], "name string")
 
 
-@query("select distinct event_type, user_id % 16 as channel from events")
+@query("select * from (values (10, 74), (3, 71)) as c(channel, cc)")
 def mapped_controllers(spark, d):
-    return table(spark, d, "events").select("event_type", (F.col("user_id") % 16).alias("channel")).distinct()
+    """The controllers that a map's processors follow: their own channel, else the assignment's."""
+    return spark.createDataFrame(sorted(spec.controllers_of(spec.read_map(KIT)[0])), "channel int, cc int")
 
 
 @query("select cast(floor(epoch(ts) / 60) as bigint) as frame, round(sum(value * 0.5), 6) as mixed, count(*) as voices from events group by 1")
 def voice_mix(spark, d):
     """Voices summed per frame; sums are taken where the voices are before anything is shuffled."""
-    e = table(spark, d, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60e6).cast("bigint").alias("frame"), "value")
-    return e.groupBy("frame").agg(F.round(F.sum(F.col("value") * 0.5), 6).alias("mixed"), F.count("*").alias("voices"))
+    e = table(spark, d, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60e6).cast("bigint").alias("frame"), "value", F.lit(0.5).alias("gain"))
+    return routing.mixed(e, "frame", "value", "gain").withColumn("mixed", F.round("mixed", 6))
 
 
-@query("""with t as (select c_nationkey as k, sum(c_acctbal + 1000) as v from customer group by 1), r as (select k, sum(v) over (order by k) as upto, sum(v) over () as whole, row_number() over (order by k) as n, count(*) over () as m from t),
- e as (select k, cast(4 * n + round_even(1000 - 4 * m, 0) * 0 + round_even((1000 - 4 * m) * upto / whole, 0) as bigint) as stop from r) select k, stop - coalesce(lag(stop) over (order by k), 0) as height from e""")
+@query("""with t as (select c_nationkey as k, sum(greatest(c_acctbal, 0)) as v from customer group by 1), r as (select k, sum(v) over (order by k) as upto, sum(v) over () as whole, row_number() over (order by k) as n, count(*) over () as m from t),
+ e as (select k, case when n = m then 1000 else 16 * n + cast(round_even((1000 - 16 * m) * (upto / whole), 0) as bigint) end as stop from r) select k, cast(stop - coalesce(lag(stop) over (order by k), 0) as int) as height from e""")
 def stratum_heights(spark, d):
-    """1000 pixels shared out by size, 4 at least each, adding up exactly: differences of rounded running sums."""
-    from pyspark.sql import Window
+    """1000 pixels shared out by size, 16 at least each, adding up exactly."""
+    t = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("v"))
+    g = t.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("g"))  # one row for each of a sound's bands
+    h = g.select("g", scalar.stratum_heights(F.col("g.v"), 1000).alias("h")).select(F.explode(F.arrays_zip(F.col("g.k").alias("k"), F.col("h").alias("height"))).alias("z"))
+    return h.select("z.k", "z.height")
+
 
-    t = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(F.col("c_acctbal") + 1000).alias("v"))
-    order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n, m = F.count("*").over(order), F.count("*").over(every)
-    stop = (4 * n + F.bround((1000 - 4 * m) * F.sum("v").over(order) / F.sum("v").over(every))).cast("bigint")
-    e = t.select("k", stop.alias("stop"))
-    return e.select("k", (F.col("stop") - F.coalesce(F.lag("stop").over(Window.orderBy("k")), F.lit(0))).alias("height"))
+@query("select k, cast(i as int) as i, cast(100 // n + case when i < 100 % n then 1 else 0 end as int) as height from (select r_regionkey as k, r_regionkey + 7 as n from region) cross join range(0, 12) t(i) where i < n")
+def equal_heights(spark, d):
+    """Where the least heights don't fit all are equal, the first a pixel more."""
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.transform(F.sequence(F.lit(1), F.col("r_regionkey") + 7), lambda i: i * 1.0).alias("t"))
+    return r.select("k", F.posexplode(scalar.stratum_heights(F.col("t"), 100)).alias("i", "height"))
 
 
-@query("select p_partkey, printf('%s %.2f (%d)', p_name, p_retailprice, p_size) as text from part")
+@query(f"""with {SAMPLES} select sample_id, printf('%s %.2fs  tempo %.1f (%d onsets)  pitch %.1f Hz (%.2f)  rms %.3f', name, duration, tempo_bpm, onset_count, dominant_pitch_hz, pitch_confidence, round(rms, 3)) as text from samples""")
 def described(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.format_string("%s %.2f (%d)", "p_name", "p_retailprice", "p_size").alias("text"))
+    return library.described(samples(spark, d))
+
+
+@query("""with c as (select p_partkey, p_size / 50.0e0 as sure, p_partkey % 14 - 1 as class, (p_partkey % 11) / 10.0e0 as centroid from part), h as (select *, sure >= 0.4 and class between 0 and 11 as own from c),
+ v as (select *, case when own then class / 12.0e0 else 0.6 - 0.5 * centroid end as hue, case when own then 0.55e0 else 0.45e0 end as sat, case when own then 0.85e0 else 0.8e0 end as val from h),
+ w as (select *, cast(floor(hue * 6) as int) % 6 as side, hue * 6 - floor(hue * 6) as f, val * (1 - sat) as p, val * (1 - sat * (hue * 6 - floor(hue * 6))) as q, val * (1 - sat * (1 - (hue * 6 - floor(hue * 6)))) as t from v),
+ x as (select *, [val, q, p, p, t, val][side + 1] as r, [t, val, val, q, p, p][side + 1] as g, [p, p, t, val, val, q][side + 1] as b from w)
+ select p_partkey, cast(case when own or centroid > 0 then round_even(255 * r, 0) else 180 end as int) as r, cast(case when own or centroid > 0 then round_even(255 * g, 0) else 180 end as int) as g, cast(case when own or centroid > 0 then round_even(255 * b, 0) else 200 end as int) as b from x""")
+def accent_colour(spark, d):
+    c = scalar.accent(F.col("p_size") / 50.0, F.col("p_partkey") % 14 - 1, F.col("p_partkey") % 11 / 10.0)
+    a = table(spark, d, "part").select("p_partkey", c.alias("c"))
+    return a.select("p_partkey", *(F.get("c", F.lit(i)).alias(n) for i, n in enumerate("rgb")))
 
 
 @query("""with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 6 hours then 1 when lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
@@ -200,12 +233,13 @@ def fuma_to_ambix(spark, d):
     return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(c) for i, c in enumerate("wyzx")))
 
 
-@query(f"""with f as (select s_suppkey, s_acctbal as w, s_nationkey * 1.0e0 as y, 3.0e0 as z, s_suppkey * 1.0e0 as x from supplier)
- select s_suppkey, round(w, 6) as w, round({math.cos(0.5)!r} * y + {math.sin(0.5)!r} * x, 6) as y, round(z, 6) as z, round({math.cos(0.5)!r} * x - {math.sin(0.5)!r} * y, 6) as x from f""")
+@query(f"""with f as (select s_suppkey, s_acctbal as w, s_nationkey * 1.0e0 as y, 3.0e0 as z, s_suppkey * 1.0e0 as x from supplier), a as (select s_suppkey, w, {math.cos(0.3)!r} * y - {math.sin(0.3)!r} * z as y, {math.sin(0.3)!r} * y + {math.cos(0.3)!r} * z as z, x from f),
+ b as (select s_suppkey, w, y, -{math.sin(0.2)!r} * x + {math.cos(0.2)!r} * z as z, {math.cos(0.2)!r} * x + {math.sin(0.2)!r} * z as x from a)
+ select s_suppkey, round(w, 6) as w, round({math.cos(0.5)!r} * y + {math.sin(0.5)!r} * x, 6) as y, round(z, 6) as z, round({math.cos(0.5)!r} * x - {math.sin(0.5)!r} * y, 6) as x from b""")
 def ambisonic_rotation(spark, d):
-    """Turned by half a radian to the left."""
+    """Turned about x, then y, then z."""
     f = F.array(F.col("s_acctbal"), F.col("s_nationkey") * 1.0, F.lit(3.0), F.col("s_suppkey") * 1.0)
-    m = table(spark, d, "supplier").select("s_suppkey", routing.applied(routing.rotation(0.5, 0.0, 0.0), f).alias("m"))
+    m = table(spark, d, "supplier").select("s_suppkey", routing.applied(routing.rotation(0.5, 0.2, 0.3), f).alias("m"))
     return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(c) for i, c in enumerate("wyzx")))
 
 
@@ -233,5 +267,70 @@ def time_map(spark, d):
 @query("select p_partkey from part where case when p_size % 5 = 0 then 0 else 60 + 2 * p_size end > 0 and p_size >= 2")
 def rhythmic_gate(spark, d):
     """Sounds with a tempo and two beats or more: those that can be put on a grid."""
-    s = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, 0).otherwise(60 + 2 * F.col("p_size")).alias("tempo"), "p_size")
-    return s.where("tempo > 0 and p_size >= 2").select("p_partkey")
+    beats = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: i * 0.5)
+    s = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, 0).otherwise(60 + 2 * F.col("p_size")).alias("tempo"), beats.alias("beats"))
+    return s.where(scalar.rhythmic(F.col("tempo"), F.col("beats"))).select("p_partkey")
+
+
+HALF = math.sqrt(0.5)
+#: Gains that aren't on the diagonal: from, to, output, input (from 0), gain; and the layouts' sizes.
+GAINS = [(2, 1, 0, 0, HALF), (2, 1, 0, 1, HALF), (4, 2, 0, 2, HALF), (4, 2, 1, 3, HALF), (6, 2, 0, 2, HALF), (6, 2, 1, 2, HALF), (6, 2, 0, 4, HALF), (6, 2, 1, 5, HALF), (6, 1, 0, 0, HALF), (6, 1, 0, 1, HALF), (6, 1, 0, 2, 1.0), (6, 1, 0, 4, 0.5), (6, 1, 0, 5, 0.5),
+         (6, 4, 0, 2, HALF), (6, 4, 1, 2, HALF), (6, 4, 2, 4, 1.0), (6, 4, 3, 5, 1.0), (8, 2, 0, 2, HALF), (8, 2, 1, 2, HALF), (8, 2, 0, 4, HALF), (8, 2, 1, 5, HALF), (8, 2, 0, 6, HALF), (8, 2, 1, 7, HALF), (8, 6, 4, 6, HALF), (8, 6, 5, 7, HALF)]
+
+
+@query(f"""with p as (select * from (values (2, 1), (4, 2), (6, 2), (6, 1), (6, 4), (8, 2), (8, 6), (1, 2), (2, 6), (6, 6)) as p(source, target)), g as (select * from (values {", ".join(map(str, GAINS))}) as g(source, target, o, i, gain)),
+ a as (select source, target, cast(unnest(range(0, target)) as int) as o from p), b as (select source, target, o, cast(unnest(range(0, source)) as int) as i from a)
+ select source, target, o, i, round(coalesce(cast(g.gain as double), case when o = i and (source, target) not in ((2, 1), (6, 1)) and not ((source, target) = (6, 4) and i > 1) then 1 else 0 end), 9) as gain from b left join g using (source, target, o, i)""")
+def mix_matrices(spark, d):
+    """Every layout to smaller and larger ones."""
+    pairs = [(2, 1), (4, 2), (6, 2), (6, 1), (6, 4), (8, 2), (8, 6), (1, 2), (2, 6), (6, 6)]
+    rows = [(a, b, o, i, round(float(g), 9)) for a, b in pairs for o, r in enumerate(routing.matrix(a, b)) for i, g in enumerate(r)]
+    return spark.createDataFrame(rows, "source int, target int, o int, i int, gain double")
+
+
+@query(f"""with s as (select s_suppkey, s_acctbal as l, s_nationkey * 1.0e0 as r from supplier) select s_suppkey, round(sqrt(0.75e0) * l, 6) as c1, 0.0e0 as c2, round(0.5e0 * r, 6) as c4, round(sqrt(0.75e0) * l * {HALF!r} + 0.5e0 * r * {HALF!r}, 6) as mono from s""")
+def panned_and_routed(spark, d):
+    """Stereo weighted three to one, sent to channels 4 and 1 of a device; and folded to mono."""
+    frame = F.array(F.col("s_acctbal"), F.col("s_nationkey") * 1.0)
+    pan = routing.pan_matrix(2, [3.0, 1.0])
+    m = table(spark, d, "supplier").select("s_suppkey", routing.applied(routing.route(pan, [1, 4], 4), frame).alias("m"), routing.applied(routing.pan_matrix(2, [3.0, 1.0], 1), frame).alias("mono"))
+    return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(f"c{i + 1}") for i in (0, 1, 3)), F.round(F.get("mono", F.lit(0)), 6).alias("mono"))
+
+
+@query("""with w as (select p_partkey as sample_id, p_size % 3 as how from part), v as (select p_partkey as sample_id, 'exact' as h from part where p_partkey % 2 = 0 union all select p_partkey, 'base' from part where p_partkey % 3 = 0)
+ select sample_id, case when sample_id % 2 = 0 then 'exact' when sample_id % 3 = 0 then 'base' end as found from w""")
+def served_variants(spark, d):
+    """Each sound's variant, else its base, else none."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"))
+    there = p.where("sample_id % 2 = 0").withColumn("spec_hash", F.lit("exact")).union(p.where("sample_id % 3 = 0").withColumn("spec_hash", F.lit("base")))
+    return variants.served(p.withColumn("spec_hash", F.lit("exact")), there, "base").select("sample_id", "found")
+
+
+@query("select p_partkey as sample_id, p_size % 3 <> 0 and p_size % 3 <> 1 as stays, p_size % 3 = 0 as again from part")
+def tempo_change(spark, d):
+    """Stretched variants are made again for a new tempo, padded ones go, others stay."""
+    step = F.when(F.col("p_size") % 3 == 0, "stretch_quantize").when(F.col("p_size") % 3 == 1, "pad_quantize").otherwise("reverse")
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("spec_hash"), F.array(F.lit("saturate"), step).alias("steps"))
+    stays, again = variants.after_tempo_change(v)
+    out = v.select("sample_id").join(stays.select("sample_id", F.lit(True).alias("stays")), "sample_id", "left").join(again.select("sample_id", F.lit(True).alias("again")), "sample_id", "left")
+    return out.select("sample_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("stays", "again")))
+
+
+@query("with r as (select p_partkey, sum(p_size) over (order by p_partkey desc) as s from part) select p_partkey from r where s <= 10000")
+def variants_on_disk(spark, d):
+    """The most recently used that fit a budget on disk."""
+    v = table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("last_used"), F.col("p_size").alias("bytes"))
+    return variants.on_disk(v, 10_000).select("p_partkey")
+
+
+@query("select p_partkey as sample_id, spec, case spec when 'a' then '[{\"reverse\":{}}]' else '[{\"saturate\":{\"drive\":' || case when p_size % 2 = 0 then '6.0' else '3.0' end || '}}]' end as steps from part cross join (values ('a'), ('b')) as s(spec)")
+def stored_variants(spark, d):
+    """Appended in two batches, by the key's first digits, and read back by key."""
+    from sonoframe.operators.shared import shared_folder
+
+    path = f"{shared_folder(spark)}/variants-{uuid.uuid4().hex}"
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size")
+    drive = F.when(F.col("p_size") % 2 == 0, "6.0").otherwise("3.0")
+    for name, steps in (("a", F.lit('[{"reverse":{}}]')), ("b", F.concat(F.lit('[{"saturate":{"drive":'), drive, F.lit("}}]")))):
+        variants.append(p.select("sample_id", F.lit(name).alias("spec"), steps.alias("steps"), F.sha2(F.concat(F.col("sample_id").cast("string"), F.lit(name)), 256).alias("spec_hash")), path)
+    return spark.read.parquet(path).where("prefix = substring(spec_hash, 1, 2)").select("sample_id", "spec", "steps")

@@ -289,7 +289,7 @@ class Reader:
             raise self.fail("a process entry is a name or a mapping")
         name, given = (raw, None) if isinstance(raw, str) else next(iter(raw.items()))
         name = str(name)
-        if self.strict and name not in PROCESSORS | OLD_PROCESSORS.keys():
+        if self.strict and name not in PROCESSORS | OLD_PROCESSORS.keys() | USER_PROCESSORS:
             raise self.fail(f"unknown processor {name!r}")
         name, implied = OLD_PROCESSORS.get(name, (name, {}))
         if given is None or isinstance(given, bool):
@@ -312,6 +312,8 @@ class Reader:
         return raw
 
 
+#: Names of processors added by users; functions.dsp has what they do.
+USER_PROCESSORS: set[str] = set()
 #: Scorers added by users: name to (function of the samples' row giving a Column, whether rows without one are dropped).
 USER_SCORERS: dict[str, tuple[Any, bool]] = {}
 
@@ -366,7 +368,13 @@ def note_map(assignments: list[Assignment]) -> dict[tuple[int, int], tuple[Assig
     """
     out = {}
     for a in assignments:
-        spread = len(a.notes) > 1 and not a.select[0].pick_given and not any(s.name == "repitch" for s in a.process)
+        spread = len(a.notes) > 1 and not any(s.pick_given for s in a.select) and not any(s.name == "repitch" for s in a.process)
         for i, note in enumerate(a.notes):
             out[a.channel, note] = (a, i + 1 if spread else a.select[0].pick)
     return out
+
+
+def controllers_of(assignments: list[Assignment]) -> set[tuple[int, int]]:
+    """(channel, controller) of all that processors follow; a controller without a channel is on the assignment's."""
+    values = [(a, v) for a in assignments for step in a.process for _, v in step.params if isinstance(v, Controller)]
+    return {(a.channel if v.channel is None else v.channel, v.cc) for a, v in values}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.functions import dsp
+from sonoframe.functions import analysis, dsp
 from sonoframe.operators import routing
 from sonoframe.sources import audio
 
@@ -91,8 +91,9 @@ def test_pitch_and_time():
     starts = np.flatnonzero(np.diff((moved[:, 0] > 0).astype(int)) == 1) / RATE
     assert np.diff(starts)[0] == pytest.approx(0.26, abs=0.13)
     assert len(dsp.stretch_quantize(x, RATE, tempo=120, attacks=[0.11, 0.37])) > 0
-    own, to = dsp.quantise_plan([0.5, 0.61, 0.63], 120, 16, 2.0)
-    assert np.diff(to).min() > 0 and to == pytest.approx([round(t / 0.125) * 0.125 for t in to])
+    assert dsp.snapped([0.002, 0.112, 0.132], 0.125) == pytest.approx([0, 0.125, 0.25])
+    assert dsp.snapped([0.002, 0.112], 0.125, 0.5) == pytest.approx([0.001, 0.1185])
+    assert dsp.pad_quantize(x, RATE, attacks=[0.11]) is x and dsp.stretch_quantize(x, RATE, attacks=[0.11, 0.37]) is x
 
 
 def test_vocoder_follows_the_voice():
@@ -122,8 +123,8 @@ def test_trim_and_resample():
 
 
 def test_matrices():
-    assert routing.matrix(1, 2).tolist() == [[1], [1]] and (routing.matrix(2, 2) == np.eye(2)).all()
-    assert routing.matrix(6, 2)[:, 3].tolist() == [0, 0] and routing.matrix(8, 2)[0, 6] == pytest.approx(0.5)
+    assert routing.matrix(1, 2).tolist() == [[1], [0]] and (routing.matrix(2, 2) == np.eye(2)).all()
+    assert routing.matrix(6, 2)[:, 3].tolist() == [0, 0] and routing.matrix(8, 2)[0, 6] == pytest.approx(0.5**0.5)
     assert (routing.pan_matrix(1, [1, 1]) ** 2).sum() == pytest.approx(1) and not routing.pan_matrix(1, [0, 0]).any()
     assert routing.route(np.eye(2), [4, 2], 4).tolist() == [[0, 0], [0, 1], [0, 0], [1, 0]]
     with pytest.raises(ValueError):
@@ -147,3 +148,69 @@ def test_derive_variants(spark, tmp_path):
     asked = found.select(F.xxhash64("path").alias("sample_id"), F.sha2(F.lit(steps), 256).alias("spec_hash"), "sample_rate", "bit_depth", "channels", "pcm", F.lit(steps).alias("steps"))
     out = dsp.derive(asked).collect()
     assert len(out) == 3 and all(r.duration == pytest.approx(0.5) and 0.9 < r.level.peak < 1.0 for r in out)
+
+
+def test_distortion_keeps_its_sign_and_levels():
+    x = np.array([[0.5], [-0.25], [0.9]])
+    folded = np.abs(np.mod(x * 2 + 1, 4) - 2) - 1
+    assert dsp.distort(x, RATE, "fold", drive=20 * np.log10(2), tone=1.0) == pytest.approx(folded * 0.9 / np.abs(folded).max())
+    assert dsp.distort(np.array([[0.3], [0.26]]), RATE, "bit_crush", drive=0.0, tone=1.0, bits=2)[:, 0] == pytest.approx([0.3, 0.3])
+    assert dsp.distort(np.zeros((4, 1)), RATE).tolist() == [[0]] * 4
+
+
+def test_reshape_starts_at_the_attack():
+    x = np.zeros((2000, 1))
+    x[500:] = 0.5
+    y = dsp.reshape(x, 1000, attack=5.0, release=1.0)
+    assert y[500, 0] == 0 and 0 < y[502, 0] < 0.5 and y[504, 0] == pytest.approx(0.5)
+    rising = np.linspace(0, 1, 1000)[:, None]
+    y = dsp.reshape(rising, 1000, decay=50.0, sustain=0.2, release=1.0, attacks=[0.1])
+    assert y[900, 0] == rising[900, 0]  # without an attack the sound's own is kept up to its peak
+
+
+def test_transient_keeps_the_peak_and_gate_delays():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((4096, 1)) * np.exp(-np.arange(4096) / 300)[:, None] * 0.1
+    assert np.abs(dsp.transient(x, RATE, gain=4.0)).max() == pytest.approx(np.abs(x).max())
+    step = np.r_[np.zeros(10), np.ones(10)][:, None]
+    late = dsp.gate(step, 1000, threshold=-20.0, attack=0.0, release=0.0, hold=0.0, lookahead=3.0)
+    assert late[:13].max() == 0 and late[13:, 0].tolist() == [1] * 7
+
+
+def test_thresholds_are_of_the_record():
+    quiet = np.full((200, 1), 0.01)
+    loud = quiet * 90
+    record = {"peak": 0.01, "noise_floor": 0.0001, "attack": 0.0, "release": 0.0}
+    assert np.abs(dsp.compress(loud, 1000, analysis=record)).max() < np.abs(dsp.compress(loud, 1000)).max()
+
+
+def test_registered_processor_is_read_and_run(monkeypatch):
+    from sonoframe.plans import spec
+
+    monkeypatch.setattr(spec, "USER_PROCESSORS", set())
+    monkeypatch.setattr(dsp, "PROCESSORS", dict(dsp.PROCESSORS))
+    dsp.register_processor("halve", lambda x, rate, by=2.0, **_: x / by)
+    steps = spec.Reader("mine").process([{"halve": {"by": 3.0}}])
+    assert [s.name for s in steps] == ["halve"]
+    assert dsp.chain(np.array([[0.3]]), RATE, [(s.name, dict(s.params)) for s in steps]) == pytest.approx(0.3)
+    with pytest.raises(ValueError):
+        dsp.register_processor("reverse", lambda x, rate, **_: x)
+
+
+def test_stretch_has_segments_and_a_tail_by_the_tempi():
+    x, marks = np.random.default_rng(1).standard_normal((RATE, 1)), {}
+    y = dsp.stretch_quantize(x, RATE, tempo=60.0, grid=4, attacks=[0.1, 0.6], bpm=120.0, marks=marks)
+    own = RATE / RATE - 0.098
+    assert marks["bounds"][1][0] == RATE and len(y) == pytest.approx(RATE + (own - 0.502) * 2 * RATE, abs=2)
+    assert marks["bounds"][-1][1] == len(y)
+    assert len(dsp.grid_energy(y, RATE, 60.0, 4)) == len(y) // RATE
+
+
+def test_attack_is_looked_for_past_the_onset():
+    x = np.r_[np.zeros(4000), np.linspace(0, 1, 800), np.ones(4000)]
+    late = analysis.attack_of(x, 44100, 4200 / 44100, None, 512)
+    assert 4000 / 44100 <= late <= 4200 / 44100
+
+
+def test_equal_heights_where_the_least_do_not_fit():
+    assert analysis.heights([5, 1, 1, 1], 40) == [10, 10, 10, 10] and analysis.heights([0, 0, 0], 100) == [34, 33, 33]
