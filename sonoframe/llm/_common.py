@@ -150,7 +150,11 @@ def word_hashes(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.n
 
     With marks, marks part words as white space does.
     """
-    data, at = utf8(column)
+    return hashed_words(*utf8(column), marks)
+
+
+def hashed_words(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of the rows data[at[i]:at[i+1]]."""
     breaks = _MARKS if marks else _SPACE
     if len(data) > 2 * BLOCK_BYTES:
         return _long_hashes(data, at, breaks)

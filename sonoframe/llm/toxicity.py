@@ -8,10 +8,11 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import blocks, cut, mix, shingle_hashes, table, word_hashes
+from sonoframe.llm._common import blocks, cut, hashed_words, mix, shingle_hashes, table, utf8
 
 #: Labelled examples in the index, half of each class where there are so many: the bound of the sample that is fitted.
 EXAMPLES = 4000
@@ -57,14 +58,15 @@ class BlockMaxIndex:
         row = np.argsort(order)[row]
         by = np.lexsort((term, row))
         self.own_terms, self.own = term[by].astype(np.int32), np.searchsorted(row[by], np.arange(len(ids) + 1))
-        self.own_told, self.slots = value[by] * self.telling[term[by]], np.zeros(width)
-        self.length = np.sqrt(np.bincount(row[by], self.own_told**2, len(ids)))
+        self.own_weight = value[by]
+        self.length = np.sqrt(np.bincount(row, (value * self.telling[term]) ** 2, len(ids)))
         common = np.flatnonzero(often >= max(2, len(ids) / COMMON))
         self.column = np.full(width, -1, np.int32)
         self.column[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), len(ids)))
         some = self.column[term] >= 0
         self.matrix[self.column[term[some]], row[some]] = value[some]
+        self.told = np.ascontiguousarray((self.matrix * self.telling[common, None]).T)
         row, term, value = row[~some], term[~some], value[~some]
         by = np.lexsort((row, term))
         self.row, self.weight = row[by].astype(np.int32), value[by]
@@ -86,42 +88,48 @@ class BlockMaxIndex:
             x[i, own[own >= 0]] = query[own >= 0]
         return x @ self.matrix
 
-    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, near: np.ndarray | None = None, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples with a similarity over 0, ties by place; without one of them."""
+    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, near: np.ndarray | None = None, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the k nearest examples with a similarity over 0, without one of them: places (ties by place), similarities,
+        and what they share with the query where each word counts as it is telling."""
         if not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.int64), np.empty(0), np.empty(0)
         near = self.by_matrix([(terms, query)])[0] if near is None else near
         if without is not None:
             near[without] = -np.inf
+        told = np.zeros(len(near))
         kth = len(near) - min(k, len(near))
         entry, n = ranges(self.first[terms], self.first[terms + 1])
-        by, block = np.repeat(query, n), self.block[entry]
-        bound = np.maximum.reduceat(near, self.blocks) + np.bincount(block, self.most[entry] * by, len(self.blocks))
+        by, block = np.repeat(np.stack([query, query * self.telling[terms] ** 2]), n, axis=1), self.block[entry]
+        bound = np.maximum.reduceat(near, self.blocks) + np.bincount(block, self.most[entry] * by[0], len(self.blocks))
         first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound)[: FIRST + k // BLOCK]] = True
-        near = self.added(near, first, block, entry, by)
+        first[np.argpartition(bound, -min(FIRST, len(bound)))[-FIRST:]] = True
+        self.add(near, told, first, block, entry, by)
         least = np.partition(near, kth)[kth] - 1e-12
-        near = np.round(self.added(near, ~first & (bound >= least), block, entry, by), 12)
-        some = np.flatnonzero((near > 0) & (near >= np.partition(near, kth)[kth]))
-        keep = some[np.argsort(-near[some], kind="stable")[:k]]
-        return keep, near[keep]
-
-    def added(self, near: np.ndarray, chosen: np.ndarray, block: np.ndarray, entry: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """near with the postings of the chosen blocks, each weighted by its entry's."""
+        self.add(near, told, ~first & (bound >= least), block, entry, by)
+        some = np.flatnonzero((near > 0) & (near >= np.partition(near, kth)[kth] - 1e-12))
+        sizes = np.round(near[some], 12)
+        keep = np.argsort(-sizes, kind="stable")[:k]
+        at, sizes = some[keep], sizes[keep]
+        column = self.column[terms]
+        some = column >= 0
+        own = np.zeros(len(self.matrix))
+        own[column[some]] = query[some] * self.telling[terms[some]]
+        return at, sizes, told[at] + self.told[at] @ own
+
+    def add(self, near: np.ndarray, told: np.ndarray, chosen: np.ndarray, block: np.ndarray, entry: np.ndarray, by: np.ndarray) -> None:
+        """Add the postings of the chosen blocks, each weighted by its entry's two weights, to near and told."""
         some = np.flatnonzero(chosen[block])
         at, n = ranges(self.start[entry[some]], self.start[entry[some] + 1])
-        return near + np.bincount(self.row[at], self.weight[at] * np.repeat(by[some], n), len(near))
+        row, weight, by = self.row[at], self.weight[at], np.repeat(by[:, some], n, axis=1)
+        near += np.bincount(row, weight * by[0], len(near))
+        told += np.bincount(row, weight * by[1], len(near))
 
-    def vote(self, at: np.ndarray, near: np.ndarray, terms: np.ndarray, query: np.ndarray) -> float:
+    def vote(self, at: np.ndarray, shared: np.ndarray, terms: np.ndarray, query: np.ndarray) -> float:
         """Labels weighted by what the examples stand for and by nearness where each word counts as it is telling.
 
         That is c / (0.05 + 1 - c) of the cosine c with words times their telling. The prior is one far example.
         """
-        self.slots[terms] = query * self.telling[terms]
-        entry, n = ranges(self.own[at], self.own[at + 1])
-        shared = np.add.reduceat(self.slots[self.own_terms[entry]] * self.own_told[entry], np.cumsum(n) - n)
-        c = np.minimum(shared / (np.linalg.norm(self.slots[terms]) * self.length[at]), 1)
-        self.slots[terms] = 0
+        c = np.minimum(shared / (np.linalg.norm(query * self.telling[terms]) * self.length[at]), 1)
         w = self.share[at] * c / (0.05 + 1 - c)
         far = 1 / (0.05 + 1)
         return float(((w * self.labels[at]).sum() + far * self.prior) / (w.sum() + far))
@@ -131,11 +139,11 @@ class BlockMaxIndex:
         out = np.full(len(places), self.blank)
         for some in batched(range(len(places)), 256):
             runs = [slice(self.own[places[i]], self.own[places[i] + 1]) for i in some]
-            queries = [(self.own_terms[r], self.own_told[r] / self.telling[self.own_terms[r]]) for r in runs]
+            queries = [(self.own_terms[r], self.own_weight[r]) for r in runs]
             for i, (terms, query), part in zip(some, queries, self.by_matrix(queries), strict=True):
-                at, near = self.nearest(terms, query, k, part, int(places[i]))
+                at, _, shared = self.nearest(terms, query, k, part, int(places[i]))
                 if len(at):
-                    out[i] = self.vote(at, near, terms, query)
+                    out[i] = self.vote(at, shared, terms, query)
         return out
 
 
@@ -169,9 +177,23 @@ def platt(votes: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[flo
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the rows' words, in lower case and parted by white space, ASCII marks and “”«»…, and the rows' offsets."""
+    data, at = utf8(pc.utf8_lower(column.fill_null("")))
+    data = data.copy()
+    for lead, after in ((b"\xe2\x80", b"\x9c\x9d\xa6"), (b"\xc2", b"\xab\xbb")):
+        first = np.flatnonzero(data[: max(len(data) - len(lead), 0)] == lead[0])
+        for k, byte in enumerate(lead[1:], 1):
+            first = first[data[first + k] == byte]
+        first = first[np.isin(data[first + len(lead)], np.frombuffer(after, np.uint8))]
+        for k in range(len(lead) + 1):
+            data[first + k] = 0x20
+    return hashed_words(data, at, marks=True)
+
+
 def term_counts(batch: pa.RecordBatch, text: str, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each row that has any: the row, which of the sorted terms, and how often."""
-    own, rows = word_hashes(batch.column(text), marks=True)
+    own, rows = words(batch.column(text))
     row = np.repeat(np.arange(batch.num_rows), np.diff(rows))
     where = np.searchsorted(terms, own)
     hit = np.flatnonzero(terms[np.minimum(where, len(terms) - 1)] == own) if len(terms) else np.empty(0, np.int64)
@@ -182,11 +204,6 @@ def term_counts(batch: pa.RecordBatch, text: str, terms: np.ndarray) -> Iterator
             yield int(pair[a] // len(terms)), pair[a:b] % len(terms), n[a:b]
 
 
-def plain(text):
-    """Lower case, and no marks outside ASCII around words; those in ASCII part words when these are hashed."""
-    return F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[“”«»…]+", " ")
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
     """Terms (sorted hashes of all words of the examples), their inverse document frequencies over all docs, and the index.
 
@@ -204,19 +221,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     take = {c: min(texts[c], max(half, EXAMPLES - texts[1 - c])) for c in (0, 1)}
     picked = reduce(DataFrame.union, [labelled.where(F.col("label") == c).orderBy("h").limit(take[c]) for c in (0, 1)])
     picked = docs.sparkSession.createDataFrame(picked.select("h", "label", "id").toArrow())  # EXAMPLES rows at most
-    sample = rows.select("h", "text").join(F.broadcast(picked), "h").dropDuplicates(["h"]).select("h", "id", "label", plain(F.col("text")).alias("text"))
+    sample = rows.select("h", "text").join(F.broadcast(picked), "h").dropDuplicates(["h"]).select("h", "id", "label", "text")
 
     kind = docs.schema[id_col].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's distinct words and their counts, with its least shingle: near copies mostly have the same."""
         for batch in (b for whole in batches for b in blocks(whole, "text")):
-            own, rows_ = word_hashes(batch.column("text"), marks=True)
+            own, rows_ = words(batch.column("text"))
             shingles, at = shingle_hashes(own, rows_, 5)
             runs = zip(rows_[:-1], rows_[1:], at[:-1], at[1:], strict=True)
             least = np.array([shingles[c:d].min() if d > c else mix(np.append(own[a:b], 0)).sum() for a, b, c, d in runs], np.uint64)
-            words = [np.unique(own[a:b], return_counts=True) for a, b in zip(rows_[:-1], rows_[1:], strict=True)]
-            lists = [pa.array([w[i].view(np.int64) for w in words], pa.list_(pa.int64())) for i in (0, 1)]
+            each = [np.unique(own[a:b], return_counts=True) for a, b in zip(rows_[:-1], rows_[1:], strict=True)]
+            lists = [pa.array([w[i].view(np.int64) for w in each], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "id", "label")), pa.array(least.view(np.int64)), *lists], ["h", "id", "label", "copies", "term", "n"])
 
     chosen = sample.mapInArrow(vectors, f"h bigint, id {kind}, label int, copies bigint, term array<bigint>, n array<bigint>").toArrow().sort_by("h").combine_chunks()
@@ -233,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(total, seen[some]))], ["at", "n"])
 
-    everything = docs.select(plain(F.col(text_col)).alias("text"))
+    everything = docs.select(F.col(text_col).cast("string").alias("text"))
     counted = everything.mapInArrow(frequencies, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms) + 1, np.int64)
     df[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
@@ -293,15 +310,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 weights = [(1 + np.log(count)) * idf[at] for _, at, count in some]
                 queries = [(at, w / np.linalg.norm(w)) for (_, at, _), w in zip(some, weights, strict=True)]
                 for (row, _, _), (at, query), part in zip(some, queries, index.by_matrix(queries), strict=True):
-                    near, how = index.nearest(at, query, neighbours, part, same[row])
+                    near, _, shared = index.nearest(at, query, neighbours, part, same[row])
                     if len(near):
-                        votes[row] = index.vote(near, how, at, query)
+                        votes[row] = index.vote(near, shared, at, query)
                         evidence[row] = [index.ids[i] for i in near[:5].tolist()]
             scores = chance(votes) if len(index.ids) else votes
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), pa.array(evidence, pa.list_(batch.schema.field("id").type))], [id_col, "score", "evidence"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), text_hash(text).alias("h"), plain(text).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<{kind}>")
+    return docs.select(F.col(id_col).alias("id"), text_hash(text).alias("h"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<{kind}>")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
