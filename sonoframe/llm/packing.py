@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import table
+from sonoframe.llm._common import mix, table
 
 #: Documents whose remainders are packed together; bounds the memory of a packing task.
 SHARD_DOCS = 4096
@@ -87,8 +89,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
 
     Returns a row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset. A document's whole multiples of capacity are sequences of their own, dealt over all tasks; its remainder is
-    packed cost-balanced with those of about SHARD_DOCS other documents. Null texts are empty (one piece with end_id alone); repeated rows
-    are packed each; an empty table gives no rows; other columns are not read.
+    packed cost-balanced with those of about SHARD_DOCS other documents. Null texts are empty (one piece with end_id
+    alone); repeated rows are packed each, rows with a null id like others; an empty table gives no rows; other columns
+    are not read. docs should have the same rows in a partition each time, as files and checkpoints do.
     """
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -96,12 +99,17 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer, ranks)
         small = codec.whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        partition, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             texts = batch.column(1)
             for i in range(0, batch.num_rows, 512):
                 rows, starts, lengths, whole, shard, ids = [], [], [], [], [], []
-                keys = batch.column(2).slice(i, 512).to_pylist()
-                for k, (text, key) in enumerate(zip(texts.slice(i, 512).to_pylist(), keys, strict=True), i):
+                keys, copy = batch.column(2).slice(i, 512).to_pylist(), []
+                for key in keys:
+                    copy.append(seen[key])
+                    seen[key] += 1
+                keys = mix(np.array(keys, np.int64).view(np.uint64) + mix(np.array(copy, np.uint64) + np.uint64(partition << 32))) >> np.uint64(1)
+                for k, (text, key) in enumerate(zip(texts.slice(i, 512).to_pylist(), keys.tolist(), strict=True), i):
                     own = np.append(codec.ids(text or ""), np.uint32(end_id)).astype("<u2" if small else "<u4")
                     for start in range(0, len(own), capacity):
                         part = own[start : start + capacity]
@@ -141,7 +149,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
         )
 
     text = F.col(text_col).cast("string")
-    # Shards follow from a row's content alone, so that a task that is run again deals its rows as it did before.
+    # Shards follow from a row's content, its partition and its number among the partition's equal rows: many copies are
+    # dealt over all shards, and a task that is run again deals its rows as it did before, in whatever order they come.
     pieces = docs.select(F.col(id_col), text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key")).mapInArrow(tokens, f"`{id_col}` {kind}, start bigint, length bigint, doc_tokens bigint, shard bigint, small boolean, ids binary")
     return pieces.groupBy("shard").applyInArrow(place, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 

@@ -144,6 +144,15 @@ def test_packing_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    d = spark.range(0, 2000, 1, 3).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(PROSE).alias("text"))
+    n = len(Tokenizer.from_file(BYTES).encode(PROSE).ids) + 1
+    pieces = packing.pack(d, BYTES, public_tokenizers.path("byte_bpe_50k.tiktoken")).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("shard")).agg(F.sum("length").alias("n")).collect()
+    assert sum(p.n for p in pieces) == 2000 * n
+    assert len(pieces) == 40 and max(p.n for p in pieces) < 100 * n
+
+
 def test_packing_balances_cost():
     lengths = np.array([1500] * 8 + [250] * 20 + [96] * 8)
     pieces = packing.assign(lengths, 2048)
@@ -319,7 +328,7 @@ def test_toxicity_index_is_exact():
         terms = np.flatnonzero(query)
         if not len(terms):
             continue
-        _, near = index.nearest(terms, query[terms], 10)
+        _, near, _ = index.nearest(terms, query[terms], 10)
         every = np.sort((weights @ query)[(weights @ query) > 0])[::-1][:10]
         assert near == pytest.approx(every)
 
@@ -393,7 +402,7 @@ def brute_toxicity(rows, labels, k):
     least = lambda t: min((tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)), key=lambda g: shingle(g), default=("whole", *words(t)))
 
     def shingle(g):
-        return int(toxicity.shingle_hashes(toxicity.word_hashes(pa.array([" ".join(g)]), True)[0], np.array([0, 5]), 5)[0][0])
+        return int(toxicity.shingle_hashes(toxicity.words(pa.array([" ".join(g)]))[0], np.array([0, 5]), 5)[0][0])
 
     group = {t: (least(t), label[t]) for t in known}
     groups = set(group.values())
