@@ -80,8 +80,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         repeat_words(F.col("w")).alias("n_repeat_words"),
         F.size(F.filter("w", lambda x: x.isin(*LONE))).cast("bigint").alias("n_lone"),
         (n_chars - F.length(_lacking(t, "!"))).cast("bigint").alias("n_shouts"),
-        (n_chars - F.length(F.regexp_replace(t, "\\p{Lu}", ""))).cast("bigint").alias("n_upper"),
-        (n_chars - F.length(F.regexp_replace(t, "\\p{Ll}", ""))).cast("bigint").alias("n_lower"),
+        F.length(F.regexp_replace(t, "\\P{Lu}+", "")).cast("bigint").alias("n_upper"),
+        F.length(F.regexp_replace(t, "\\P{Ll}+", "")).cast("bigint").alias("n_lower"),
     )
     return d.select(id_col, "n_words", "word_chars", "n_symbols", (F.col("lines.n") - F.col("lines.distinct")).alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").alias("n_lines"), F.col("lines.ended").alias("n_ends"), "n_lone", "n_shouts", "n_upper", "n_lower")
 
