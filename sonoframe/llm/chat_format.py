@@ -98,15 +98,20 @@ def format_paths(nodes: DataFrame, loss_role: str = "assistant", paths: int | No
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What can be read from format_paths' output alone: turns (role, text), and the text under the mask."""
-    pieces = formatted.select("conv_id", "path", "spans", F.posexplode(F.split("formatted", CLOSE, -1)).alias("pos", "turn")).where(F.col("pos") < F.size("spans"))
+    """What can be read from format_paths' output alone: turns (role, text), the text under the mask, and all's length.
+
+    Rows stay where format_paths has put them, by (conv_id, path), so that nothing is shuffled again.
+    """
+    pieces = formatted.select("conv_id", "path", F.length("formatted").cast("bigint").alias("chars"), F.split("formatted", CLOSE, -1).alias("turn"), F.col("spans").alias("span"))
+    pieces = pieces.select("conv_id", "path", "chars", F.posexplode(F.arrays_zip("turn", "span")).alias("pos", "of")).where("of.span is not null")
+    pieces = pieces.select("conv_id", "path", "pos", "chars", "of.turn", "of.span")
     before = Window.partitionBy("conv_id", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("conv_id", "path", "pos", "turn", F.get("spans", F.col("pos")).alias("span"), F.coalesce(F.sum(F.length("turn").cast("bigint") + len(CLOSE)).over(before), F.lit(0)).alias("at"))
+    pieces = pieces.select("conv_id", "path", "pos", "turn", "chars", "span", F.coalesce(F.sum(F.length("turn").cast("bigint") + len(CLOSE)).over(before), F.lit(0)).alias("at"))
     mid = F.instr("turn", MID)
     role = F.substring(F.col("turn"), F.lit(len(OPEN) + 1), mid - len(OPEN) - 1)
     text = F.substring(F.col("turn"), mid + len(MID), F.length("turn"))
     masked = F.when(F.col("span.length") > 0, F.substring(F.col("turn"), (F.col("span.start") - F.col("at") + 1).cast("int"), F.col("span.length").cast("int"))).otherwise("")
-    return pieces.select("conv_id", "path", "pos", unescape(role).alias("role"), unescape(text).alias("text"), unescape(masked).alias("masked"))
+    return pieces.select("conv_id", "path", "pos", "chars", unescape(role).alias("role"), unescape(text).alias("text"), unescape(masked).alias("masked"))
 
 
 def linear(turns: DataFrame) -> DataFrame:
@@ -125,9 +130,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """The columns of the contract, from the formatted conversations."""
-    formatted = cut(formatted)
-    said = read_back(formatted).groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "masked"))).alias("g"))
+    turn = F.struct("pos", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "masked")
+    said = read_back(formatted).groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(turn)).alias("g"), F.first("chars").alias("formatted_chars"))
     lost = F.concat_ws("", "g.masked")
-    said = said.select("conv_id", "path", F.size("g").cast("bigint").alias("n_turns"), F.sha2(F.concat_ws("", "g.turn"), 256).alias("turns_sha256"), F.length(lost).cast("bigint").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"))
-    length = formatted.select("conv_id", "path", F.length("formatted").cast("bigint").alias("formatted_chars"))
-    return unkeyed(keyed(said).join(keyed(length), ["conv_id", "path"])).drop("path")
+    return said.select("conv_id", F.size("g").cast("bigint").alias("n_turns"), F.sha2(F.concat_ws("", "g.turn"), 256).alias("turns_sha256"), F.length(lost).cast("bigint").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), "formatted_chars")
