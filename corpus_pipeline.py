@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
 from sonoframe.llm._common import cut, stored, table
 
 
+def row_key() -> Column:
+    """What names a row by its id and text, as an id may be null or stand for several texts."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and rows without a doc_id, which name none."""
-    kept = quality.judge(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """Rows whose text the quality rules reject go, each by its own verdict."""
+    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), "text"), id_col="row")
+    return judged.where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, once if its row is repeated."""
-    kept = ngram_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each class of near duplicates the row with the least id (of its texts under that id, that with the least hash)
+    stays, once if it is repeated; a null id counts as the greatest. Rows of one id with unlike texts are unlike rows."""
+    keyed = docs.withColumn("_key", row_key())
+    found = ngram_join.near_duplicates(keyed.select("_key", "text"), id_col="_key").select("_key", "class_id").distinct()
+    ranked = found.join(keyed.select("_key", "doc_id"), "_key").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("least"))
+    return keyed.join(ranked.select("least._key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +37,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 or more of a benchmark item's shingles go."""
-    found = decontaminate.contained(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(cut(found.select("doc_id").distinct()), "doc_id", "left_anti")
+    """Rows whose text holds 0.8 or more of a benchmark item's shingles go."""
+    keyed = docs.withColumn("_key", row_key())
+    found = decontaminate.contained(keyed.select("_key", "text"), table(spark, sf_dir, "benchmark"), id_col="_key")
+    return keyed.join(cut(found.select("_key").distinct()), "_key", "left_anti").drop("_key")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
