@@ -34,8 +34,12 @@ def requested(samples: DataFrame, steps: str, rate: int = 44100, notes: list[int
         rows = rows.withColumn("note", F.explode(F.array(*map(F.lit, notes))))
     else:
         rows = rows.withColumn("note", F.lit(None).cast("int"))
-    key = F.sha2(F.concat_ws("\x1f", "audio_md5", F.lit(VERSION), F.lit(str(rate)), "steps", F.col("note").cast("string")), 256)
-    return rows.withColumn("spec_hash", key)
+    return spec_hash(rows, rate)
+
+
+def spec_hash(rows: DataFrame, rate: int = 44100) -> DataFrame:
+    """rows (audio_md5, steps, note) with the key of the variant that they ask for."""
+    return rows.withColumn("spec_hash", F.sha2(F.concat_ws("\x1f", "audio_md5", F.lit(VERSION), F.lit(str(rate)), "steps", F.col("note").cast("string")), 256))
 
 
 def missing(wanted: DataFrame, variants: DataFrame, running: DataFrame | None = None) -> DataFrame:

@@ -149,3 +149,36 @@ def looked_up(events: DataFrame, picks: dict[tuple[int, int], tuple[Assignment,
     rows = [(c, n, a.name, int(p)) for (c, n), (a, p) in picks.items()]
     known = events.sparkSession.createDataFrame(rows, "channel int, note int, assignment string, pick int")
     return events.join(F.broadcast(known), ["channel", "note"])
+
+
+def variant_requests(assignments: list[Assignment], picks: dict[tuple[int, int], tuple[Assignment, int]], samples: DataFrame, variants: DataFrame | None = None, similarity: DataFrame | None = None, controls: dict[tuple[int, int], int] | None = None, rate: int = 44100) -> DataFrame:
+    """The distinct variants (sample_id, note, steps, spec_hash) that a whole map will ask for: those of the picks of all
+    its notes, at the note where a sound is repitched. Notes without steps ask for none. samples have audio_md5.
+    """
+    from sonoframe.operators.variants import canonical, spec_hash
+
+    spark = samples.sparkSession
+    steps = [(a.name, canonical(a.process, controls, a.channel), any(s.name == "repitch" for s in a.process)) for a in assignments if a.process]
+    chains = spark.createDataFrame(steps, "assignment string, steps string, by_note boolean")
+    rows = assigned(assignments, picks, samples, variants, similarity).join(F.broadcast(chains), "assignment")
+    rows = rows.withColumn("note", F.when(F.col("by_note"), F.col("note"))).select("sample_id", "note", "steps").distinct()
+    return spec_hash(rows.join(samples.select("sample_id", "audio_md5"), "sample_id"), rate).select("sample_id", "note", "steps", "spec_hash")
+
+
+def default_requests(samples: DataFrame, tempo: float, grid: int, rate: int = 44100) -> DataFrame:
+    """Each rhythmic sound's variant at the set's own tempo and grid; none where the tempo is 0."""
+    from sonoframe.functions.scalar import rhythmic
+    from sonoframe.operators.variants import canonical, requested
+    from sonoframe.plans.spec import Step
+
+    step = Step("stretch_quantize", (("tempo", tempo), ("grid", grid)))
+    own = samples.where(rhythmic(F.col("rhythm.tempo_bpm"), F.col("rhythm.beat_times"))) if tempo > 0 else samples.limit(0)
+    return requested(own, canonical((step,)), rate)
+
+
+def pitched_requests(samples: DataFrame, notes: list[int], rate: int = 44100) -> DataFrame:
+    """Each steadily pitched sound's variants at the notes."""
+    from sonoframe.operators.variants import canonical, requested
+    from sonoframe.plans.spec import Step
+
+    return requested(samples.where(stable_pitch()), canonical((Step("repitch", ()),)), rate, notes)

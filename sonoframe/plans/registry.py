@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from sonoframe.plans import queries_frames, queries_selection, queries_signals, queries_sounds  # noqa: E402, F401
+from sonoframe.plans import queries_files, queries_frames, queries_selection, queries_signals, queries_sounds  # noqa: E402, F401

@@ -91,8 +91,8 @@ def resample(x: np.ndarray, rate: int, wanted: int) -> np.ndarray:
     return np.einsum("nk,nkc->nc", gain, x[np.clip(taps, 0, len(x) - 1)].astype(np.float64)).astype(x.dtype if x.dtype.kind == "f" else np.float64)
 
 
-def read_wavs(spark: SparkSession, path: str) -> DataFrame:
-    """(PCM) of every WAV file under path. Files that can't be read have no row."""
+def decoded(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
+    """(PCM, error) of every WAV file under path whose name fits pattern; error says why a file can't be read, and is null where it can."""
     import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,13 +101,23 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
             for where, data in zip(batch.path, batch.content, strict=True):
                 try:
                     pcm, rate, depth = decode(data)
-                except (wave.Error, EOFError, ValueError):
-                    continue
-                rows.append((where, rate, depth, pcm.shape[1], len(pcm), pcm.tobytes(), hashlib.md5(data).hexdigest()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PCM.split(", ")])
+                    rows.append((where, rate, depth, pcm.shape[1], len(pcm), pcm.tobytes(), hashlib.md5(data).hexdigest(), None))
+                except (wave.Error, EOFError, ValueError) as e:
+                    rows.append((where, 0, 0, 0, 0, None, hashlib.md5(data).hexdigest(), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in PCM.split(", ")), "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
-    return files.mapInPandas(run, PCM)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(run, PCM + ", error string")
+
+
+def read_wavs(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
+    """(PCM) of every WAV file under path that can be read; unreadable() has the others."""
+    return decoded(spark, path, pattern).where("error is null").drop("error")
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the WAV files under path that can't be read."""
+    return decoded(spark, path).where("error is not null").select("path", "error")
 
 
 def frames_of(pcm: bytes, depth: int, channels: int) -> np.ndarray:

@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonoframe.functions.analysis import analyse_sounds
 from sonoframe.operators.detector import Detector, advance, fresh
 from sonoframe.operators.retention import merged
+from sonoframe.operators.shared import stored
 from sonoframe.plans.spec import read_map
 from sonoframe.sources import audio, sidecars
 
@@ -97,6 +99,23 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.select("path", "content", "md5").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
 
 
+def load_or_analyse(spark: SparkSession, path: str, versions: tuple[str, ...] = ("13",), write: bool = False) -> DataFrame:
+    """Samples (without sample_id) of the sounds under path: from their sidecars, and analysed where a sound has none that
+    fits its content and version. With write the new sidecars are stored beside the sounds, for the next time.
+
+    Sidecars are held against files by their hashes; only the sounds that lack one are decoded and analysed.
+    """
+    known = sidecars.decoded(sidecars.raw(spark, path), versions)
+    files = sidecars.audio_files(spark, path)
+    known = known.join(files.select(F.col("path").alias("filepath"), F.col("md5").alias("audio_md5")), ["filepath", "audio_md5"], "left_semi")
+    lacking = sidecars.missing(files, known).select("path")
+    made = sidecars.of_analysis(analyse_sounds(audio.read_wavs(spark, path).join(lacking, "path", "left_semi")))
+    if write:
+        made = stored(made, "analysed")
+        write_files(sidecars.as_files(made), path)
+    return known.unionByName(sidecars.decoded(made, versions))
+
+
 def library(spark: SparkSession, directories: list[str], files: list[str] = (), versions: tuple[str, ...] = ("13",)) -> DataFrame:
     """Samples of directories, then single sounds by their path; of a name given twice the first counts."""
     places = [*directories, *(f + sidecars.SUFFIX for f in files)]
@@ -105,8 +124,12 @@ def library(spark: SparkSession, directories: list[str], files: list[str] = (),
 
 
 def reference_by_path(spark: SparkSession, path: str, versions: tuple[str, ...] = ("13",)) -> DataFrame:
-    """One sound as a reference that is named by its whole path."""
-    return sidecars.decoded(sidecars.raw(spark, path + sidecars.SUFFIX), versions).withColumn("ref", F.upper(F.lit(path)))
+    """One sound as a reference that is named by its whole path: its sidecar, or analysed if it has none that fits."""
+    folder, _, name = path.rpartition("/")
+    known = sidecars.decoded(sidecars.raw(spark, folder), versions)
+    known = known.where(F.url_decode(F.element_at(F.split(F.replace("filepath", F.lit("+"), F.lit("%2B")), "/"), -1)) == name)
+    sound = audio.read_wavs(spark, folder, name).join(known.select(F.col("filepath").alias("path")), "path", "left_anti")
+    return known.unionByName(sidecars.decoded(sidecars.of_analysis(analyse_sounds(sound)), versions)).withColumn("ref", F.upper(F.lit(path)))
 
 
 class MapFile:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonoframe.functions.scalar import analysis_window
 from sonoframe.operators.ranking import with_rank
+from sonoframe.operators.retention import newest_within
 
 SPECTRAL = "spectral_flatness double, attack double, release double, spectral_centroid double, spectral_bandwidth double, zcr double, harmonic_ratio double, spectral_contrast double, voiced_fraction double, log_attack_time double, spectral_flux double, spectral_rolloff double, spectral_slope double"
 BLOCKS = {
@@ -75,15 +77,19 @@ def references(spark: SparkSession, path: str, versions: tuple[str, ...] = ("13"
     return s.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
-def instruments(spark: SparkSession, path: str, versions: tuple[str, ...] = ("13",), audio: DataFrame | None = None) -> DataFrame:
-    """Samples of a library. With audio (path, md5) given, only those whose file is there, with the same content.
+def instruments(spark: SparkSession, path: str, versions: tuple[str, ...] = ("13",), audio: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """Samples of a library. With audio (path, length, md5) given, only those whose file is there, with the same content;
+    with a budget too, of these the last loaded whose files fit that many bytes.
 
     Sidecars without a sound are left out, never deleted.
     """
     s = decoded(raw(spark, path), versions)
-    if audio is not None:
-        s = s.join(audio.select(F.col("path").alias("filepath"), F.col("md5").alias("audio_md5")), ["filepath", "audio_md5"], "left_semi")
-    return numbered(s)
+    if audio is None:
+        return numbered(s)
+    files = audio.select(F.col("path").alias("filepath"), F.col("md5").alias("audio_md5"), F.col("length").alias("_bytes"))
+    if budget is None:
+        return numbered(s.join(files, ["filepath", "audio_md5"], "left_semi"))
+    return newest_within(numbered(s.join(files, ["filepath", "audio_md5"])), "sample_id", "_bytes", budget).drop("_bytes")
 
 
 def audio_files(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
@@ -96,9 +102,40 @@ def missing(audio: DataFrame, samples: DataFrame) -> DataFrame:
     return audio.join(samples.select(F.col("filepath").alias("path"), F.col("audio_md5").alias("md5")), ["path", "md5"], "left_anti")
 
 
-def save(samples: DataFrame, path: str) -> None:
-    """Samples as a Parquet table, which the analytics read instead of the sidecars."""
-    samples.write.mode("overwrite").parquet(path)
+def save(samples: DataFrame, path: str, batch: int | None = None) -> None:
+    """Samples as a Parquet table, which the analytics read instead of the sidecars.
+
+    Without batch they replace it; with one they are added under it, in a folder of its own, so that a batch that is
+    written again replaces itself alone. saved() then has each sound's last.
+    """
+    if batch is None:
+        samples.write.mode("overwrite").parquet(path)
+    else:
+        samples.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """The table that batches were added to: of a sound (filepath) the row of its last batch."""
+    s = spark.read.parquet(path)
+    last = s.groupBy("filepath").agg(F.max("batch").alias("batch"))
+    return s.join(last, ["filepath", "batch"], "left_semi").drop("batch")
+
+
+def of_analysis(analysed: DataFrame) -> DataFrame:
+    """Sounds as functions.analysis.analyse_sounds gives them, in the columns of raw()."""
+    window = analysis_window(F.col("sample_rate"))
+    params = F.struct(window.alias("n_fft"), F.floor(window / 4).cast("int").alias("hop_length"), "sample_rate").alias("params")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    blocks = [F.col(b) for b in ("spectral", "rhythm", "pitch", "timbre", "level", "band_energy")]
+    whole = ["analysis_version", "audio_md5", "sample_rate", "bit_depth", "channels", null("channel_format", "string"), "duration", null("captured_at", "string")]
+    return analysed.select(*whole, params, *blocks, null("preview", f"struct<{BLOCKS['preview']}>"), F.concat("path", F.lit(SUFFIX)).alias("sidecar"))
+
+
+def as_files(raw_: DataFrame) -> DataFrame:
+    """(path, content, md5): rows in the columns of raw() as sidecar files, for library.write_files."""
+    text = F.to_json(F.struct(*(F.col(c) for c in raw_.columns if c != "sidecar")))
+    files = raw_.select(F.col("sidecar").alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return files.withColumn("md5", F.md5("content"))
 
 
 def envelope(encoded, bins: int = 400, clamp: bool = False):

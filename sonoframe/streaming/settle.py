@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def settled(arrivals: DataFrame, key: str, value: str, quiet_ms: int) -> DataFrame:
+def settled(arrivals: DataFrame, key: str, value: str, quiet_ms: int, order: str | None = None) -> DataFrame:
     """(key, value): each key's last value, quiet_ms after its last arrival; every arrival starts the wait anew.
 
+    Of a micro-batch's arrivals the last is that of the greatest order, or of the greatest value where none is given.
+
     For files that are still being written (value: their size) and for controllers that are still being turned.
     """
     kinds = {c: arrivals.schema[c].dataType.simpleString() for c in (key, value)}
@@ -22,12 +24,9 @@ def settled(arrivals: DataFrame, key: str, value: str, quiet_ms: int) -> DataFra
             state.remove()
             yield out
             return
-        last = None
-        for batch in batches:
-            if len(batch):
-                last = batch[value].iloc[-1]
-        if last is not None:
-            state.update((last,))
+        rows = pd.concat(list(batches))
+        if len(rows):
+            state.update((rows.sort_values([c for c in (order, value) if c])[value].iloc[-1],))
         state.setTimeoutDuration(quiet_ms)
 
-    return arrivals.select(key, value).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {value} {kinds[value]}", f"{value} {kinds[value]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return arrivals.select(key, value, *([order] if order else [])).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {value} {kinds[value]}", f"{value} {kinds[value]}", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -14,7 +14,7 @@ from test_detector import sidecar
 from sonoframe.operators.detector import Detector
 from sonoframe.sources import audio, library, sidecars
 from sonoframe.streaming.settle import settled
-from sonoframe.streaming.sinks import integrate
+from sonoframe.streaming.sinks import Backlog, Retrying, integrate
 
 RATE = 8000
 
@@ -95,3 +95,48 @@ def test_watched_folder(spark, tmp_path):
     (tmp_path / "in" / "x.wav.analysis.json").write_text(json.dumps(sidecar()))
     stream = watch_folder(spark, str(tmp_path / "in"), sidecars.SIDECAR)
     assert run_once(stream.select("duration", F.lit(1).alias("one")), "seen").collect()[0].duration == 0.5
+
+
+def test_reference_by_path_is_analysed_where_it_has_no_sidecar(spark, recording):
+    ref = library.reference_by_path(spark, f"{recording}/a.wav").first()
+    assert ref.ref.endswith("/A.WAV") and ref.duration == pytest.approx(4.0) and ref.level.peak == pytest.approx(8000 / 32768)
+
+
+def test_settled_takes_the_last_by_order(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 3, 1), ("a", 1, 9), ("a", 2, 5)], "key string, value int, at int")
+    rows.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    seen = []
+    query = settled(live, "key", "value", 200, "at").writeStream.outputMode("append").foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "log")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(100):
+            if seen:
+                break
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert [tuple(r) for r in seen] == [("a", 1)]
+
+
+def test_retries_wait_with_the_next_batches(spark, tmp_path):
+    loaded, tries = [], []
+
+    def load(rows):
+        tries.append(sorted(r.path for r in rows.collect()))
+        ok = rows.where("path <> 'late'" if len(tries) < 3 else "true").where("path <> 'never'")
+        loaded.extend(r.path for r in ok.collect())
+        return rows.join(ok, "path", "left_anti")
+
+    step = Retrying(load, "path", str(tmp_path / "waiting"), attempts=3)
+    batch = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    for number, names in enumerate([["a", "late", "never"], ["b"], [], [], []]):
+        step(batch(*names), number)
+    assert loaded == ["a", "b", "late"] and tries == [["a", "late", "never"], ["b", "late", "never"], ["late", "never"], ["never"], []]
+
+
+def test_backlog_warns_and_clears():
+    said = []
+    b = Backlog(said.append)
+    for came, done in ((10, 10), (90, 10), (0, 10), (5, 10)):
+        b.heard(came, done)
+    assert len(said) == 2 and "9.0 times" in said[0] and said[1] == "all rows are taken in"
