@@ -76,7 +76,7 @@ ws as (select c, s, right(c, k) as cc, k from (select c, s, unnest(range(0, leas
 l as (select ws.c, ws.s, list({{'g': coalesce(m.g, 0)::double, 'ag': coalesce(mt.ag, 0)::double, 'b': coalesce(m.b, 0)::double, 'ab': coalesce(mt.ab, 0)::double}} order by k) as f from ws left join m on m.c = ws.cc and m.s = ws.s left join mt on mt.c = ws.cc group by ws.c, ws.s),
 sc as (select c, s, ln({chance('g', 'ag')}) - ln({chance('b', 'ab')}) as score from l),
 ts as (select text, avg(score) as score from ag join sc using (c, s) group by text),
-held as (select round(least(greatest(score, -9), 9), 2) as score, coalesce(sum(n) filter (ruled = 'allow'), 0) as good, coalesce(sum(n) filter (ruled = 'block'), 0) as bad from t join ts using (text) where ruled is not null and fold = 0 group by 1),
+held as (select round(least(greatest(score, -9), 9), 2) as score, count(*) filter (ruled = 'allow') as good, count(*) filter (ruled = 'block') as bad from t join ts using (text) where ruled is not null and fold = 0 group by 1),
 cum as (select score, coalesce(lag(score) over (order by score), score) as before, coalesce(sum(good) over (order by score rows between unbounded preceding and 1 preceding), 0) / sum(good) over () + (sum(bad) over () - coalesce(sum(bad) over (order by score rows between unbounded preceding and 1 preceding), 0)) / sum(bad) over () as error, sum(good) over () as g, sum(bad) over () as b from held),
 lim as (select case when (select count(distinct good) from known) < 2 then -1e308 else coalesce((select (before + score) / 2 from cum where g > 0 and b > 0 and error < 1 order by error, score limit 1), 0) end as lim)
 select page_id, host, path, rule, coalesce(ruled, case when ts.score < lim then 'block' else 'allow' end) as verdict, round(case when ruled is null then ts.score end, 6) as score from u left join ts using (text), lim

@@ -76,7 +76,7 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, smooth: float = SMO
 
     URLs that a rule decides train two smoothed variable-order Markov models, of the allowed and of the blocked; one
     fold in FOLDS of their texts (host and path) is left out to set the threshold, the difference of length-normalised
-    log-likelihoods that balances the errors on it best. Other URLs are allowed from that threshold on, and where there
+    log-likelihoods that balances the errors on it best. Both count each text once, however many rows have it. Other URLs are allowed from that threshold on, and where there
     are not texts of both classes. Null URLs have an empty host and path; repeated rows are judged each; an empty table
     gives an empty result; other columns are not read.
     """
@@ -84,14 +84,14 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, smooth: float = SMO
     u = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     u = u.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), symbols(F.concat("host", "path")).alias("text"))
     texts = cut(u.groupBy("text", "ruled").agg(F.count("*").alias("n"))).withColumn("fold", F.pmod(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint"), F.lit(FOLDS)))
-    known = texts.where("ruled is not null and fold > 0").select("text", (F.col("ruled") == "allow").alias("good"), "n")
-    model = counts(known.select("text", "good"), order)
+    known = texts.where("ruled is not null and fold > 0").select("text", (F.col("ruled") == "allow").alias("good"))
+    model = counts(known, order)
     asked = texts.where("ruled is null or fold = 0").select("text").distinct()
     pieces = asked.select("text", F.explode(grams(F.col("text"), order)).alias("g")).groupBy("text", "g.context", "g.symbol").agg(F.count("*").alias("times"))
     scores = gram_scores(model, pieces.select("context", "symbol").distinct(), order, smooth)
     scored = pieces.join(scores, ["context", "symbol"]).groupBy("text").agg((F.sum(F.col("times") * F.col("score")) / F.sum("times")).alias("score"))
     scored = cut(scored)
-    held = texts.where("ruled is not null and fold = 0").join(scored, "text").select(F.round(F.least(F.greatest("score", F.lit(-9.0)), F.lit(9.0)), 2).alias("score"), "ruled", "n")
+    held = texts.where("ruled is not null and fold = 0").join(scored, "text").select(F.round(F.least(F.greatest("score", F.lit(-9.0)), F.lit(9.0)), 2).alias("score"), "ruled", F.lit(1).alias("n"))
     both = known.select("good").distinct().count() == 2
     limit = threshold(held) if both else float("-inf")
     out = u.join(scored, "text", "left")
