@@ -14,9 +14,11 @@ from sonoframe.llm._common import blocks, components, cut, groups, mix, sets_of,
 BANDS, ROWS = 32, 5
 #: Hash values compared before each decision.
 STEP = 16
-#: Documents on each side of one task that compares MinHash values, and of one that compares shingles; larger buckets
-#: and components are dealt out as pairs of blocks.
-PRUNE_BLOCK, BLOCK = 512, 256
+#: Least and most documents on each side of one task that compares MinHash values, and of one that compares shingles;
+#: larger buckets and components are dealt out as pairs of blocks, up to FEW of them on a side before blocks grow.
+PRUNE_BLOCK, BLOCK, FEW = (512, 4096), (256, 2048), 16
+#: Shingles in a block of texts, whatever its number of documents.
+BLOCK_SHINGLES = 1 << 19
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +84,16 @@ def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int], same:
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def dealt(rows: DataFrame, key: str, size: str, own: str, block: int) -> DataFrame:
-    """Give each row its tasks (key, lo, hi): one for a small group, else one for each pair of blocks with its own."""
-    n = F.ceil(F.col(size) / block)
+def dealt(rows: DataFrame, key: str, size: str, own: str, block: tuple[int, int], weight: str | None = None) -> DataFrame:
+    """Give each row its tasks (key, lo, hi): one for a small group, else one for each pair of blocks with its own.
+
+    A row goes out once for each block of its group, so blocks grow with the group up to the most that a task can hold;
+    weight is the group's shingles, of which a block holds about BLOCK_SHINGLES at most.
+    """
+    least, most = block
+    n = F.ceil(F.col(size) / F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.col(size) / FEW))))
+    if weight is not None:
+        n = F.greatest(n, F.ceil(F.col(weight) / BLOCK_SHINGLES))
     rows = rows.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64(own), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
@@ -172,6 +181,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
             data, _ = utf8(group.column("sig"))
             sig = data.reshape(-1, k)
             left, right, same = sides(group)
+            if not (len(left) and len(right)):  # a block without documents
+                continue
             band = group.column("task")[0].as_py() & BANDS - 1
             keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
             a, b = survivors(sig[left], sig[right], least, same, (keys[left], keys[right]))
@@ -183,17 +194,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     order = ["task", "lo", "hi"]
     edges = tasks.select(*order, "block", "rep", "sig", "keys").repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(prune, f"a {kind}, b {kind}")
     parts = components(edges)
-    sizes = parts.groupBy("label").agg(F.count("*").alias("m"))
-    parts = parts.join(sizes, "label").select(F.col("id").alias("rep"), "label", "m")
-    parts = parts.join(classes.select("rep", "copies"), "rep")
+    parts = parts.withColumnRenamed("id", "rep").join(classes.select("rep", "copies", "n"), "rep")
+    sizes = parts.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
+    parts = parts.drop("n").join(sizes, "label")
     texts = own.join(parts, own["id"] == parts["rep"])
-    work = dealt(texts.select("label", "m", "rep", "copies", "text"), "label", "m", "rep", BLOCK)
+    work = dealt(texts.select("label", "m", "weight", "rep", "copies", "text"), "label", "m", "rep", BLOCK, "weight")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, order):
             names = group.column("rep").to_numpy()
             group = group.take(pa.array(np.flatnonzero(np.append(True, names[1:] != names[:-1])))).combine_chunks()
             left, right, same = sides(group)
+            if not (len(left) and len(right)):
+                continue
             sets = sets_of(group.column("text").combine_chunks(), n)
             size = np.array([len(x) for x in sets])
             copies = group.column("copies").to_numpy()

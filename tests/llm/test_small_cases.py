@@ -254,8 +254,10 @@ def test_chat_long_chain(spark):
 
 
 def test_near_duplicates_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "PRUNE_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", (2, 4))
+    monkeypatch.setattr(ngram_join, "PRUNE_BLOCK", (2, 4))
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
     rng = np.random.default_rng(8)
     base = [[f"w{i}_{j}" for j in range(int(rng.integers(30, 120)))] for i in range(12)]
     texts = []
