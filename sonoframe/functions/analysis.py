@@ -115,7 +115,11 @@ def pitch_track(s: Sound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.where(dip.any(1), dip.argmax(1), mean.argmin(1))
     sure = np.clip(1 - mean[np.arange(len(mean)), at], 0, 1)
     loud = total[:, n] > 1e-8 * n
-    return s.rate / (at + low), (sure > 0.85) & loud, np.where(loud, sure, 0.0)
+    rows, inner = np.arange(len(mean)), np.clip(at, 1, mean.shape[1] - 2)
+    left, own, right = (mean[rows, inner + k] for k in (-1, 0, 1))
+    bend = left - 2 * own + right
+    between = np.where((bend > 0) & (inner == at), 0.5 * (left - right) / np.where(bend > 0, bend, 1), 0.0)  # on a parabola
+    return s.rate / (at + low + np.clip(between, -0.5, 0.5)), (sure > 0.85) & loud, np.where(loud, sure, 0.0)
 
 
 def mel_bank(s: Sound) -> np.ndarray:
@@ -192,27 +196,32 @@ def attack_of(x: np.ndarray, rate: int, onset: float, before: float | None, hop:
     if smooth.max() <= smooth[valley]:
         return onset
     over = np.flatnonzero(smooth[valley:] >= smooth[valley] + 0.2 * (smooth.max() - smooth[valley]))
-    return min(first + valley + int(over[0]), at) / rate
+    return min(first + valley + (int(over[0]) if len(over) else len(smooth)), at) / rate
 
 
 def rhythm(s: Sound, tempo_range: tuple[float, float] = (30.0, 300.0)) -> dict:
     out: dict = {"tempo_bpm": 0.0, "beat_times": [], "pulse_peak_times": [], "onset_times": [], "attack_times": [], "pulse_curve": [], "onset_count": 0}
     if len(s.x) < 2 * s.n or s.x.std() < 1e-9:
         return out
-    curve = s.flux()
+    curve, late = s.flux(), s.n // (2 * s.hop)
     onsets = peaks(curve, curve.mean() + curve.std())
-    times = (onsets * s.seconds).tolist()
-    attacks = [attack_of(s.x, s.rate, t, times[i - 1] if i else None, round(s.seconds * s.rate)) for i, t in enumerate(times)]
+    seconds = lambda at: np.minimum((np.asarray(at) + late) * s.seconds, len(s.x) / s.rate).tolist()
+    # A frame's middle is its time, and its level rises as soon as a sound enters it, half a frame before.
+    times = seconds(onsets)
+    attacks = [attack_of(s.x, s.rate, t, times[i - 1] if i else None, s.hop) for i, t in enumerate(times)]
     out |= {"onset_times": times, "attack_times": attacks, "onset_count": len(times)}
     low, high = int(60 / tempo_range[1] / s.seconds), int(60 / tempo_range[0] / s.seconds)
     centred = curve - curve.mean()
-    auto = np.correlate(centred, centred, "full")[len(curve) - 1 :]
+    auto = np.convolve(np.correlate(centred, centred, "full")[len(curve) - 1 :], [0.25, 0.5, 0.25], "same")
     if len(auto) > low + 2 and len(times) > 1:
-        lags = np.arange(max(low, 1), min(high, len(auto)))
+        lags = np.arange(max(low, 1), min(high, len(auto) - 1))
         prior = np.exp(-0.5 * np.log2(60 / (lags * s.seconds) / 120) ** 2)
         lag = int(lags[(auto[lags] * prior).argmax()])
+        before, top, after = auto[lag - 1 : lag + 2]
+        bend = before - 2 * top + after
+        lag = lag + (0.5 * (before - after) / bend if bend < 0 else 0.0)  # between frames, on the parabola through three
         pulse = np.maximum(0, np.cos(2 * np.pi * (np.arange(len(curve)) - onsets[0]) / lag)) * (curve.max() > 0)
-        out |= {"tempo_bpm": 60 / (lag * s.seconds), "beat_times": (np.arange(onsets[0], len(curve), lag) * s.seconds).tolist(), "pulse_curve": pulse.astype(np.float32).tolist(), "pulse_peak_times": (peaks(pulse, 0.5) * s.seconds).tolist()}
+        out |= {"tempo_bpm": 60 / (lag * s.seconds), "beat_times": seconds(np.arange(onsets[0], len(curve) - late, lag)), "pulse_curve": pulse.astype(np.float32).tolist(), "pulse_peak_times": seconds(peaks(pulse, 0.5))}
     return out
 
 

@@ -532,11 +532,11 @@ def register_processor(name: str, run: Callable[..., np.ndarray]) -> None:
     PROCESSORS[name] = run
 
 
-def chain(x: np.ndarray, rate: int, steps: list[tuple[str, dict[str, Any]]], **known: Any) -> np.ndarray:
+def chain(x: np.ndarray, rate: int, steps: list[tuple[str, dict[str, Any]]], processors: dict[str, Callable[..., np.ndarray]] | None = None, **known: Any) -> np.ndarray:
     """The steps in order, after the peak is brought to 0.9; known (analysis, attacks, onsets, hz, bpm, marks) goes to all."""
     x = at_peak(x, 0.9)
     for name, params in steps:
-        x = PROCESSORS[name](x, rate, **(known | params))
+        x = (processors or PROCESSORS)[name](x, rate, **(known | params))
     return x
 
 
@@ -567,6 +567,7 @@ def derive(requests: DataFrame, carriers: DataFrame | None = None) -> DataFrame:
     from sonoframe.sources.audio import frames_of, resample, to_float, to_mono
 
     requests = with_carriers(requests, carriers) if carriers is not None else requests
+    own = dict(PROCESSORS)  # with those that users have added, which workers wouldn't know
     field = lambda r, block, name: (getattr(r, block, None) or {}).get(name)
 
     def known(r) -> dict[str, Any]:
@@ -588,7 +589,7 @@ def derive(requests: DataFrame, carriers: DataFrame | None = None) -> DataFrame:
                 sound = k.pop("sound", None)
                 steps = [(n, p or {}) for n, p in (next(iter(s.items())) for s in json.loads(r.steps))]
                 steps = [(n, p | {"carrier": sound} if n == "vocoder" else p) for n, p in steps]
-                y = chain(x, r.sample_rate, steps, **k)
+                y = chain(x, r.sample_rate, steps, own, **k)
                 grids = [p for n, p in steps if n in ("stretch_quantize", "pad_quantize")]
                 tempo, grid = (float(grids[-1].get("tempo", 120.0)), int(grids[-1].get("grid", 16))) if grids else (None, None)
                 bounds = k["marks"].get("bounds")

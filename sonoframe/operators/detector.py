@@ -1,9 +1,12 @@
-"""Sound events in streams of chunks: the level detector as one fold over each stream's chunks in order."""
+"""Sound events in streams of chunks: the level detector passes over each stream's chunks in order."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,6 @@ class Detector:
         return 10 ** (self.snr_db / 20)
 
 
-STATE = "struct<mode:int,ambient:double,hold:int,warm:int,start:bigint,out:array<struct<start:bigint,stop:bigint>>>"
 WARM, IDLE, RECORDING = 0, 1, 2
 
 
@@ -48,35 +50,36 @@ def ambient(values: Column, alpha: float) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), first, lambda a, r: alpha * r + (1 - alpha) * a)
 
 
-def step(d: Detector, s: Column, r: Column, end: Column) -> Column:
-    """One chunk of level r that ends at frame end. The ambient level is updated before the test, not while recording."""
-    heard = F.when(s["mode"] == RECORDING, s["ambient"]).when(s["ambient"] < SILENCE, F.greatest(r, F.lit(SILENCE))).otherwise(d.alpha * r + (1 - d.alpha) * s["ambient"])
-    loud = (r > SILENCE) & (20 * F.log10(r / F.greatest(heard, F.lit(SILENCE))) >= d.snr_db)
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-
-    def state(mode, hold, warm, start, new) -> Column:
-        fields = [(mode, "mode", "int"), (heard, "ambient", "double"), (hold, "hold", "int"), (warm, "warm", "int"), (start, "start", "bigint"), (F.concat(s["out"], new), "out", "array<struct<start:bigint,stop:bigint>>")]
-        return F.struct(*((F.lit(v) if isinstance(v, int) else v).cast(t).alias(n) for v, n, t in fields))
-
-    begun = F.greatest(F.lit(0).cast("bigint"), end - d.chunk)
-    segment = F.array(F.struct(s["start"].cast("bigint").alias("start"), end.cast("bigint").alias("stop")))
-    forced = (end - s["start"] >= d.longest) if d.longest > 0 else F.lit(False)
-    out = F.when(s["mode"] == WARM, F.when(s["warm"] <= 1, state(IDLE, 0, 0, 0, none)).otherwise(state(WARM, 0, s["warm"] - 1, 0, none)))
-    out = out.when((s["mode"] == IDLE) & loud, state(RECORDING, d.hold, 0, begun, none)).when(s["mode"] == IDLE, state(IDLE, 0, 0, 0, none))
-    out = out.when(forced, state(IDLE, 0, 0, 0, segment)).when(loud, state(RECORDING, d.hold, 0, s["start"], none))
-    return out.when(s["hold"] <= 1, state(IDLE, 0, 0, 0, segment)).otherwise(state(RECORDING, s["hold"] - 1, 0, s["start"], none))
-
-
 def segments(chunks: DataFrame, stream: str, order: list[str], value: str, d: Detector) -> DataFrame:
-    """(stream, start, stop) in frames of each sound event, stop not included. One still open at the end is not given."""
-    zero = F.expr(f"cast(named_struct('mode', {WARM if d.warm_up >= 0 else IDLE}, 'ambient', 0D, 'hold', 0, 'warm', {d.warm_up}, 'start', 0L, 'out', array()) as {STATE})")
-    indexed = F.transform("chunks", lambda v, i: F.struct(v.cast("double").alias("r"), ((i + 1) * d.chunk).cast("bigint").alias("end")))
-    found = F.aggregate(indexed, zero, lambda s, c: step(d, s, c["r"], c["end"]).cast(STATE))["out"]
-    return ordered(chunks, stream, order, value).select(stream, F.explode(found).alias("_segment")).select(stream, "_segment.start", "_segment.stop")
+    """(stream, start, stop) in frames of each sound event, stop not included. One still open at the end is not given.
+
+    A stream is one recurrence: its chunks are sorted within the task that they are dealt to and pass by it batch by
+    batch, with six numbers held, so that no stream is ever one row or wholly in memory.
+    """
+    kind = chunks.schema[stream].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = fresh(d), None
+        for batch in batches:
+            names, levels = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            code = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            rows: list[tuple] = []
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    if own is None or own != (names[a].as_py(),):
+                        now, own = fresh(d), (names[a].as_py(),)
+                    rows += [(a, start, stop) for start, stop in advance(d, now, levels[a:b].tolist())]
+            at, start, stop = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], [stream, "start", "stop"])
+
+    dealt = chunks.select(stream, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"), *order).repartition(stream)
+    return dealt.sortWithinPartitions(stream, *order).select(stream, "_v").mapInArrow(run, f"`{stream}` {kind}, start bigint, stop bigint")
 
 
 def advance(d: Detector, s: dict, levels: list[float]) -> list[tuple[int, int]]:
-    """The same detector on plain numbers, for streams: updates s with more chunks and returns what ended."""
+    """One more run of chunk levels: updates s and returns what ended. The ambient level is updated before the test, and
+    not while recording."""
     import math
 
     out = []

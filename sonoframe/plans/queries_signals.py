@@ -125,12 +125,16 @@ def reshaped_tail(spark, d):
     return through(sounds(spark, d), lambda x: dsp.reshape(x, RATE, release=20.0, attacks=[0.0]))
 
 
-def filtered(c: np.ndarray) -> str:
-    """SQL: one second-order section, in its transposed form, from frame to frame."""
-    b0, b1, b2, a1, a2 = (repr(float(v)) for v in c)
-    return f"""with recursive {SOUNDS}, f as (select vec_id, i, {b0} * v as y, {b1} * v - {a1} * {b0} * v as z1, {b2} * v - {a2} * {b0} * v as z2 from s where i = 0
- union all select s.vec_id, s.i, {b0} * s.v + f.z1, {b1} * s.v - {a1} * ({b0} * s.v + f.z1) + f.z2, {b2} * s.v - {a2} * ({b0} * s.v + f.z1) from f join s on s.vec_id = f.vec_id and s.i = f.i + 1)
- select vec_id, i, round(y, 6) as y from f"""
+def filtered(*sections: np.ndarray) -> str:
+    """SQL: second-order sections one after the other, each in its transposed form from frame to frame."""
+    parts, source = [SOUNDS], "s"
+    for n, c in enumerate(sections):
+        b0, b1, b2, a1, a2 = (repr(float(v)) for v in c)
+        state = lambda v, z1, z2: f"{b0} * {v} + {z1} as y, {b1} * {v} - {a1} * ({b0} * {v} + {z1}) + {z2} as z1, {b2} * {v} - {a2} * ({b0} * {v} + {z1}) as z2"  # noqa: B023, E731
+        parts.append(f"f{n} as (select vec_id, i, {state('v', '0', '0')} from {source} where i = 0 union all select s.vec_id, s.i, {state('s.v', 'f.z1', 'f.z2')} from f{n} f join {source} s on s.vec_id = f.vec_id and s.i = f.i + 1)")
+        parts.append(f"y{n} as (select vec_id, i, y as v from f{n})")
+        source = f"y{n}"
+    return f"with recursive {', '.join(parts)} select vec_id, i, round(v, 6) as y from {source}"
 
 
 def butterworth(kind: str, hz: float) -> np.ndarray:
@@ -369,3 +373,143 @@ def vocoded(spark, d):
     carrier = spark.createDataFrame([("/lib/carrier.wav", RATE, 32, 1, bytearray(audio.to_pcm(x, 32).tobytes()))], "path string, sample_rate int, bit_depth int, channels int, pcm binary")
     v = dsp.derive(pcm(spark, d).withColumn("steps", F.lit('[{"vocoder":{"carrier":"/lib/carrier.wav","bands":4}}]')), carrier)
     return v.select("sample_id", F.round("level.peak", 4).alias("peak"), (F.col("level.rms") > 0).alias("heard"))
+
+
+# ---------------------------------------------------------------- more of the processors and the analysis
+
+
+@query(f"""with {SOUNDS}, t as (select j, k, greatest(least(2 * j - 31 + k, 63), 0) as i, 2 * j - (2 * j - 31 + k) as away from (select unnest(range(0, 32)) as j) cross join (select unnest(range(0, 64)) as k)),
+ g as (select j, i, case when abs(away) < 32 then 0.5 + 0.5 * cos(pi() * away / 32) else 0 end * 0.5 * case when away = 0 then 1 else sin(pi() * 0.5e0 * away) / (pi() * 0.5e0 * away) end as g from t), n as (select j, sum(g) as whole from g group by j)
+ select vec_id, j as i, round(sum(v * g / whole), 6) as y from s join g using (i) join n using (j) group by vec_id, j""")
+def resampled(spark, d):
+    """To half the rate, by a windowed sinc of half the bandwidth."""
+    return through(sounds(spark, d), lambda x: audio.resample(x, RATE, 500))
+
+
+@query(filtered(*dsp.sections("band", (80.0, 200.0), RATE)))
+def band_passed(spark, d):
+    """Two sections, one after the other."""
+    return through(sounds(spark, d), lambda x: dsp.sos(x, dsp.sections("band", (80.0, 200.0), RATE)))
+
+
+@query(f"""with {SOUNDS}, m as (select a.vec_id, a.i, avg(abs(b.v)) as m, count(*) as n from s a join s b on b.vec_id = a.vec_id and b.i between a.i and a.i + 31 group by 1, 2), e as (select vec_id, i, case when n = 32 then m else 0 end as m from m where i < 56),
+ v as (select vec_id, arg_min(i, (m, i)) as a, min(m) as low from e where i < 33 group by 1), p as (select vec_id, max(m) as top from e group by 1),
+ x as (select e.vec_id, min(case when e.i >= v.a and e.m >= low + 0.2 * (top - low) then e.i end) as i from e join v using (vec_id) join p using (vec_id) group by 1)
+ select vec_id, round(least(coalesce(i, 56), 40) / 1000.0e0, 6) as attack from x""")
+def refined_attacks(spark, d):
+    """Where the sound of an onset at 40 ms begins, looked for up to 16 frames past it."""
+    return features(sounds(spark, d), lambda x: [analysis.attack_of(x, RATE, 0.04, None, 16)], ["attack"])
+
+
+@query(f"""with {SPECTRA}, {MELS}, e as (select vec_id, f, m, 10 * log10(greatest(sum(power * greatest(0, least((b.hz - low) / (centre - low), (high - b.hz) / (high - centre))) * 2 / (high - low)), 1e-10)) as db from b cross join tt group by 1, 2, 3),
+ q as (select vec_id, f, m - 1 as m, greatest(db, max(db) over (partition by vec_id) - 80) as db from e), c as (select vec_id, f, k, sum(db * sqrt(2 / 40.0e0) * cos(pi() * k * (m + 0.5e0) / 40)) * case when k = 0 then sqrt(0.5e0) else 1 end as c from q cross join (select unnest(range(0, 13)) as k) group by vec_id, f, k),
+ o as (select vec_id, k, sum(c * exp(-f * 16 / 50.0e0)) / sum(exp(-f * 16 / 50.0e0)) as onset from c group by 1, 2),
+ d as (select a.vec_id, a.k, avg(a.delta) as delta from (select t.vec_id, t.k, t.f, sum(j * u.c) / 10.0e0 as delta from c t cross join (select unnest(range(-2, 3)) as j) join c u on u.vec_id = t.vec_id and u.k = t.k and u.f = greatest(least(t.f + j, 5), 0) group by 1, 2, 3) a group by 1, 2)
+ select vec_id, k, round(onset, 5) as onset, round(delta, 5) as delta from o join d using (vec_id, k)""")
+def cepstra_at_onset(spark, d):
+    """Cepstra weighted to the sound's start, and their slopes from frame to frame."""
+    both = lambda x: np.stack([(t := analysis.timbre(analysis.Sound(x[:, 0], RATE)))["mfcc_onset"], t["mfcc_delta"]])
+    out = through(sounds(spark, d), both, digits=5)
+    return out.groupBy("vec_id", (F.col("i") % 13).alias("k")).agg(F.max(F.when(F.col("i") < 13, F.col("y"))).alias("onset"), F.max(F.when(F.col("i") >= 13, F.col("y"))).alias("delta"))
+
+
+@query(f"""with {SOUNDS}, q as (select vec_id, i // 4 as bin, min(v) as low, max(v) as high from s group by 1, 2)
+ select vec_id, bin, cast(greatest(least(round_even(low * 127, 0), 127), -127) as bigint) as low, cast(greatest(least(round_even(high * 127, 0), 127), -127) as bigint) as high from q""")
+def preview_outline(spark, d):
+    """A sound's outline for a preview: the least and greatest value of each of 16 runs, as signed bytes."""
+    both = lambda x: np.concatenate([(e := analysis.envelopes(x[:, 0], RATE, 16))["low"], e["high"]]).astype(np.int64)
+    out = through(sounds(spark, d), both, "bigint")
+    return out.groupBy("vec_id", (F.col("i") % 16).alias("bin")).agg(F.max(F.when(F.col("i") < 16, F.col("y"))).alias("low"), F.max(F.when(F.col("i") >= 16, F.col("y"))).alias("high"))
+
+
+def tones(spark: SparkSession, first: int = 50, last: int = 80) -> DataFrame:
+    """(vec_id: a note, x: half a second of it at 8000 Hz)."""
+    hz = 440 * F.pow(F.lit(2.0), (F.col("vec_id") - 69) / 12)
+    i = F.sequence(F.lit(0), F.lit(3999))
+    return spark.range(first, last + 1).select(F.col("id").alias("vec_id")).select("vec_id", F.transform(i, lambda k: 0.5 * F.sin(2 * np.pi * hz * k / 8000)).alias("x"))
+
+
+@query("select note as vec_id, cast(note as double) as note, cast(note % 12 as double) as class, true as pitched from (select unnest(range(69, 88)) as note)")
+def pitch_of_tones(spark, d):
+    """The note, its class and whether it counts as pitched, of pure tones."""
+
+    def of(x: np.ndarray) -> list:
+        a = analysis.analyse(x, 8000)
+        p = a["pitch"]
+        return [np.round(69 + 12 * np.log2(p["dominant_pitch_hz"] / 440)), p["dominant_pitch_class"], p["pitch_confidence"] > 0.5 and a["spectral"]["voiced_fraction"] > 0.5 and p["pitch_stability"] < 0.5 and a["spectral"]["harmonic_ratio"] > 0.4]
+
+    out = features(tones(spark, 69, 87), of, ["note", "class", "pitched"])
+    return out.withColumn("pitched", F.col("pitched") == 1)
+
+
+@query("select note as vec_id, cast(note + 5 as double) as note, cast(4000 as double) as n from (select unnest(range(50, 76)) as note)")
+def repitched_tones(spark, d):
+    """Tones moved up by five notes: the length stays, and the strongest frequency is the new note's."""
+
+    def of(x: np.ndarray) -> list:
+        note = np.round(69 + 12 * np.log2(np.abs(np.fft.rfft(x * np.hanning(4000), 32000)).argmax() / 4 / 440))
+        y = dsp.repitch(x[:, None], 8000, note=int(note) + 5, hz=440 * 2 ** ((note - 69) / 12))[:, 0]
+        top = np.abs(np.fft.rfft(y * np.hanning(len(y)), 32000)).argmax() / 4
+        return [np.round(69 + 12 * np.log2(top / 440)), len(y)]
+
+    return features(tones(spark).where("vec_id < 76"), of, ["note", "n"])
+
+
+@query("select 80 + 10 * k as vec_id, cast(round_even(4000 * (80 + 10 * k) / 120.0e0, 0) as double) as n from (select unnest(range(0, 8)) as k)")
+def stretched_tones(spark, d):
+    """A tone of each of some tempi stretched to 120."""
+    x = (0.5 * np.sin(np.arange(4000) * 0.3))[:, None]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"vec_id": batch.vec_id, "n": [float(len(dsp.stretch_quantize(x, 8000, tempo=120.0, bpm=float(b)))) for b in batch.vec_id]})
+
+    return spark.range(8).select((80 + 10 * F.col("id")).alias("vec_id")).mapInPandas(run, "vec_id bigint, n double")
+
+
+@query("select 90 + 15 * k as vec_id, true as close, true as attacks from (select unnest(range(0, 5)) as k)")
+def tempo_of_clicks(spark, d):
+    """Clicks at some tempi: the tempo is within 4 %, and each click but the ends has an attack within 3 ms."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for b in batch.vec_id:
+                at = 0.25 + np.arange(int(7 * b / 60)) * 60 / b
+                x = np.zeros(8 * 22050)
+                for t in at:
+                    x[int(t * 22050) : int(t * 22050) + 400] += np.sin(np.arange(400) * 0.9) * np.exp(-np.arange(400) / 80)
+                r = analysis.rhythm(analysis.Sound(x, 22050))
+                near = [np.abs(np.array(r["attack_times"]) - t).min() < 0.003 for t in at[1:-1]]
+                rows.append((b, abs(r["tempo_bpm"] / b - 1) < 0.04, all(near)))
+            yield pd.DataFrame(rows, columns=["vec_id", "close", "attacks"])
+
+    return spark.range(5).select((90 + 15 * F.col("id")).alias("vec_id")).mapInPandas(run, "vec_id bigint, close boolean, attacks boolean")
+
+
+@query("select note as vec_id, true as tonal, true as sharp from (select unnest(range(50, 81)) as note)")
+def harmonic_split(spark, d):
+    """A tone with a click on it: the harmonic part has the tone, the percussive the click, and they add up."""
+
+    def of(x: np.ndarray) -> list:
+        click = np.zeros(4000)
+        click[2000:2004] = 0.9
+        h, p = (dsp.hpss((x + click)[:, None], 8000, keep=k)[:, 0] for k in ("harmonic", "percussive"))
+        inside = slice(1000, 3000)
+        return [(h[inside] @ x[inside]) > 0.8 * (x[inside] @ x[inside]), np.abs(p[inside]).argmax() in range(995, 1010) and np.allclose(h + p, x + click, atol=1e-6)]
+
+    out = features(tones(spark), of, ["tonal", "sharp"])
+    return out.select("vec_id", *((F.col(c) == 1).alias(c) for c in ("tonal", "sharp")))
+
+
+@query(f"with {LEVELLED} select vec_id as sample_id, round(max(abs(v)) / 4, 5) as peak from n group by vec_id")
+def user_processor(spark, d):
+    """A processor that a user has added is read in specs, and runs on the executors."""
+    from sonoframe.operators.variants import canonical
+    from sonoframe.plans import spec
+
+    if "quieter" not in dsp.PROCESSORS:
+        dsp.register_processor("quieter", lambda x, rate, by=2.0, **_: x / by)
+    steps = spec.Reader("mine").process([{"quieter": {"by": 4.0}}])
+    v = dsp.derive(pcm(spark, d).withColumn("steps", F.lit(canonical(steps))))
+    return v.select("sample_id", F.round("level.peak", 5).alias("peak"))
