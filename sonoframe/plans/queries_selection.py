@@ -229,3 +229,60 @@ def index_upkeep(spark, d):
     index = add_references(index, refs, every)
     index = remove_samples(index, every.where("sample_id % 9 = 0"))
     return index.groupBy("ref").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"), F.max("sample_id").alias("last"))
+
+
+@query("""with e as (select vec_id, embedding::double[] as e from embeddings), c as (select vec_id, e, (abs(e[61]) + 1) / (abs(e[62]) + 0.2) as crest from e),
+ g as (select vec_id, list_concat(e[1:13], [case when crest <= sqrt(2) then 0.0 when crest >= 10 then 1.0 else ln(crest / sqrt(2)) / ln(10 / sqrt(2)) end]) as a, e[15:26] as b, e[28:39] as c, e[41:52] as d, e[53:60] as f from c),
+ u as (select vec_id, list_concat(list_transform(a, lambda x: x / sqrt(list_sum(list_transform(a, lambda y: y * y)))), list_concat(list_transform(b, lambda x: x / sqrt(list_sum(list_transform(b, lambda y: y * y)))),
+  list_concat(list_transform(c, lambda x: 0.5e0 * x / sqrt(list_sum(list_transform(c, lambda y: y * y)))), list_concat(list_transform(d, lambda x: x / sqrt(list_sum(list_transform(d, lambda y: y * y)))), list_transform(f, lambda x: x / sqrt(list_sum(list_transform(f, lambda y: y * y)))))))) as v from g)
+ select vec_id, cast(unnest(range(0, 58)) as int) as i, round(unnest(v), 9) as v from u""")
+def feature_vectors(spark, d):
+    """58 numbers of each sample: five groups at length 1 times their weights, without MFCC 0."""
+    from sonoframe.operators.similarity import SPECTRAL, feature_vector
+
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    at = lambda i: F.get("e", F.lit(i))
+    spectral = F.struct(*(at(i).alias(c) for i, c in enumerate(SPECTRAL))).alias("spectral")
+    timbre = F.struct(*(F.slice("e", 14 + 13 * k, 13).alias(c) for k, c in enumerate(("mfcc", "mfcc_delta", "mfcc_onset")))).alias("timbre")
+    band = F.struct(F.slice("e", 53, 4).alias("energy_fractions"), F.slice("e", 57, 4).alias("decay_rates")).alias("band_energy")
+    level = F.struct((F.abs(at(60)) + 1).alias("peak"), (F.abs(at(61)) + 0.2).alias("rms")).alias("level")
+    v = e.select("vec_id", spectral, timbre, band, level).select("vec_id", F.posexplode(feature_vector()).alias("i", "v"))
+    return v.select("vec_id", "i", F.round("v", 9).alias("v"))
+
+
+@query(f"""with {SIMILARITY}, r as (select *, cast(row_number() over (partition by ref order by round(score, 9) desc, sample_id) as int) as rank from similarity) select ref, sample_id, rank from r where rank <= 4""")
+def similarity_by_matrix(spark, d):
+    """The same index by products of matrices, for many references."""
+    from sonoframe.operators.similarity import scored_by_matrix, top
+
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    refs = v.where("vec_id < 5").select(F.concat(F.lit("ref"), F.col("vec_id").cast("string")).alias("ref"), "v")
+    s = scored_by_matrix(refs, v.select(F.col("vec_id").alias("sample_id"), "v"))
+    return top(s.withColumn("score", F.round("score", 9)), 4).select("ref", "sample_id", "rank")
+
+
+@query("""select * from (values ('a', 'duration', 'gte', 0.5e0), ('a', 'duration', 'lt', 2.0e0), ('a', 'onsets', 'eq', 3.0e0), ('b', 'tempo', 'lte', 140.0e0), ('b', 'pitch_hz', 'gte', 261.625565e0), ('c', 'quantized_beats', 'gt', 4.0e0)) as r(spec, of, op, value)""")
+def parsed_ranges(spark, d):
+    """Ranges as specs give them: by operator, as a plain number, in the older form, by a note's name."""
+    raw = {"a": {"duration": {"gte": 0.5, "lt": 2}, "onsets": 3}, "b": {"max_tempo": 140, "min_pitch": "C4"}, "c": {"quantized_beats": {"gt": 4}}}
+    rows = [(name, of, op, round(float(v), 6)) for name, where in raw.items() for of, r in spec(where=where).where.ranges for op, v in r.bounds]
+    return spark.createDataFrame(rows, "spec string, of string, op string, value double")
+
+
+@query("""select * from (values ('newest', 'age', true), ('oldest', 'age', false), ('loudest', 'level', true), ('quietest', 'level', false), ('onsets_desc', 'onsets', true), ('duration_asc', 'duration', false), ('quantized_beats_desc', 'quantized_beats', true)) as o(token, key, descending)""")
+def order_words(spark, d):
+    """Single words that stand for an order."""
+    words = ["newest", "oldest", "loudest", "quietest", "onsets_desc", "duration_asc", "quantized_beats_desc"]
+    rows = [(w, (o := spec(order=w).order[0]).by, o.descending) for w in words]
+    return spark.createDataFrame(rows, "token string, key string, descending boolean")
+
+
+@query("""select * from (values ('kicks/deep.wav', '/lib/kicks/deep', 'deep'), ('./hat.flac', '/lib/hat', 'hat'), ('plain', null, 'plain')) as p(given, path, name)""")
+def named_by_path(spark, d):
+    """A name with a slash or a dot at its start is a path, whose stem the sound has for a name."""
+    read = Reader("query", "/lib")
+    rows = []
+    for given in ("kicks/deep.wav", "./hat.flac", "plain"):
+        w = read.one({"where": {"name": given}}).where
+        rows.append((given, None if w.name_path is None else w.name_path.rsplit(".", 1)[0], w.name))
+    return spark.createDataFrame(rows, "given string, path string, name string")
