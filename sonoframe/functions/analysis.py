@@ -115,10 +115,11 @@ def pitch_track(s: Sound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.where(dip.any(1), dip.argmax(1), mean.argmin(1))
     sure = np.clip(1 - mean[np.arange(len(mean)), at], 0, 1)
     loud = total[:, n] > 1e-8 * n
-    rows, inner = np.arange(len(mean)), np.clip(at, 1, mean.shape[1] - 2)
-    left, own, right = (mean[rows, inner + k] for k in (-1, 0, 1))
+    between = np.zeros(len(at))  # the dip is taken from a parabola through its neighbours
+    inside = np.flatnonzero((at > 0) & (at < mean.shape[1] - 1))
+    left, own, right = (mean[inside, at[inside] + k] for k in (-1, 0, 1))
     bend = left - 2 * own + right
-    between = np.where((bend > 0) & (inner == at), 0.5 * (left - right) / np.where(bend > 0, bend, 1), 0.0)  # on a parabola
+    between[inside] = np.where(bend > 0, 0.5 * (left - right) / np.where(bend > 0, bend, 1), 0.0)
     return s.rate / (at + low + np.clip(between, -0.5, 0.5)), (sure > 0.85) & loud, np.where(loud, sure, 0.0)
 
 

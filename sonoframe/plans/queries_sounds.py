@@ -200,7 +200,7 @@ def equal_heights(spark, d):
     return r.select("k", F.posexplode(scalar.stratum_heights(F.col("t"), 100)).alias("i", "height"))
 
 
-@query(f"""with {SAMPLES} select sample_id, printf('%s %.2fs  tempo %.1f (%d onsets)  pitch %.1f Hz (%.2f)  rms %.3f', name, duration, tempo_bpm, onset_count, dominant_pitch_hz, pitch_confidence, round(rms, 3)) as text from samples""")
+@query(f"""with {SAMPLES} select sample_id, printf('%s %.2fs  tempo %.1f (%d onsets)  pitch %.1f Hz (%.2f)  rms %.3f', name, round(duration, 2), tempo_bpm, onset_count, dominant_pitch_hz, round(pitch_confidence, 2), round(rms, 3)) as text from samples""")
 def described(spark, d):
     return library.described(samples(spark, d))
 
