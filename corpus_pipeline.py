@@ -16,8 +16,9 @@ def row_key() -> Column:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the quality rules reject go, each by its own verdict."""
-    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), "text"), id_col="row")
-    return judged.where("kept").select("row.*")
+    keyed = docs.withColumn("_key", row_key())
+    kept = quality.judge(keyed.select("_key", "text"), id_col="_key").where("kept").select("_key")
+    return keyed.join(kept.distinct(), "_key", "left_semi").drop("_key")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
