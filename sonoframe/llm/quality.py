@@ -44,10 +44,11 @@ def _lacking(text: Column, chars: str) -> Column:
 def repeat_words(words: Column) -> Column:
     """How many words stand in 3-word windows that occur twice or more.
 
-    Windows are sorted by their hash with their place, so that equal ones are neighbours: n log n for any length.
+    Windows are one hash each; only in a text in which two are alike are they sorted with their places, so that equal
+    ones are neighbours: n log n for any length.
     """
     empty = F.expr("array()").cast("array<int>")
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def repeated(s: Column) -> Column:
         same = lambda a, b: F.get(s, a)["h"] == F.get(s, b)["h"]
@@ -58,10 +59,11 @@ def repeat_words(words: Column) -> Column:
         gaps = F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    def distinct(s: Column) -> Column:
-        return F.when(F.size(F.array_distinct(F.transform(s, lambda x: x["h"]))) == F.size(s), empty).otherwise(let(F.sort_array(s), repeated))
+    def alike(h: Column) -> Column:
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), empty).otherwise(let(F.sort_array(placed), repeated))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(windows(words), distinct), covered)).cast("bigint")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(windows(words), alike), covered)).cast("bigint")
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
