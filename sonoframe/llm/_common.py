@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,23 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+class Spreader:
+    """Keys that tell equal rows of a partition apart, by their number among these, so that many copies aren't one key.
+
+    A task that is run again on the same rows gives the same keys, in whatever order equal rows come.
+    """
+
+    def __init__(self):
+        self.part, self.seen = np.uint64(TaskContext.get().partitionId() << 32), Counter()
+
+    def __call__(self, keys: pa.Array) -> np.ndarray:
+        copy = []
+        for key in keys.to_pylist():
+            copy.append(self.seen[key])
+            self.seen[key] += 1
+        return mix(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + mix(np.array(copy, np.uint64) + self.part)) >> np.uint64(1)
+
+
 # ---------------------------------------------------------------- hashing
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

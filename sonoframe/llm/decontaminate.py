@@ -94,8 +94,10 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float =
     """A row per document and item of which threshold or more of the n-word shingles are in the document.
 
     Returns id, item id, n_shared, n_item (distinct shingles of the item) and containment. Words are in lower case and
-    parted by white space and ASCII marks, so that a passage is found in capitals or with marks strewn in. Items of fewer than n words have no shingle and are found nowhere; null and empty texts contain nothing;
-    repeated rows of either side give a row each; other columns are not read. Items are indexed INDEX_BYTES of text at a
+    parted by white space and ASCII marks, so that a passage is found in capitals or with marks strewn in. Items of fewer
+    than n words have no shingle and are found nowhere; null and empty texts contain nothing; repeated rows of either side
+    give a row each, rows with a null id like others; an empty table on either side gives no rows; other columns are not
+    read. Long documents are looked through SPAN shingles at a time. Items are indexed INDEX_BYTES of text at a
     time, and each index is held against all documents whole, so neither side is capped; documents are not shuffled.
     """
     spark = docs.sparkSession

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import blocks, mix, table, word_hashes
+from sonoframe.llm._common import Spreader, blocks, mix, table, word_hashes
 
 #: Bytes of text in a block.
 BLOCK = 4 << 20
@@ -94,20 +94,22 @@ def stupid_backoff(docs: DataFrame, order: int = 3, discount: float = 0.4, unsee
     a bucket hears no more senders than that. So messages are as many as blocks, times the levels. Lengths 1 and 2 go first. A longer n-gram is only asked for where both n-grams one shorter in it
     are in other documents too, as it can't be otherwise. An n-gram comes once from each block, so frequent ones make no
     large bucket. Words are runs without
-    white space. Null and empty texts have no words; repeated rows are documents of their own; an empty table gives an
-    empty result; other columns are not read.
+    white space. Null and empty texts have no words; repeated rows are documents of their own, dealt over all blocks; rows
+    with a null id are scored like others; an empty table gives an empty result; other columns are not read. docs should
+    have the same rows in a partition each time, as files and checkpoints do.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n_words = F.size(F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != ""))
     size = own.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(n_words).alias("words")).first()
     parts, corpus = max(1, -(-(size.bytes or 0) // BLOCK)), size.words or 0
-    stored = own.withColumn("block", F.pmod(F.xxhash64("id", F.crc32(F.encode("text", "UTF-8"))), F.lit(parts)))
+    stored = own.withColumn("key", F.xxhash64("id", F.crc32(F.encode("text", "UTF-8"))))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of a block together and compressed, as they go over the network."""
+        spread_ = Spreader()
         for batch in (b for whole in batches for b in blocks(whole, "text", 4 << 20)):
-            block = batch.column("block").to_numpy()
+            block = (spread_(batch.column("key")) % np.uint64(parts)).astype(np.int64)
             order_ = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order_], prepend=-1))
             squeeze = zstandard.ZstdCompressor(level=3)

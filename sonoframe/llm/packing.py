@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm._common import mix, table
+from sonoframe.llm._common import Spreader, table
 
 #: Documents whose remainders are packed together; bounds the memory of a packing task.
 SHARD_DOCS = 4096
@@ -99,16 +97,12 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer, ranks)
         small = codec.whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
-        partition, seen = TaskContext.get().partitionId(), Counter()
+        spread = Spreader()
         for batch in batches:
             texts = batch.column(1)
             for i in range(0, batch.num_rows, 512):
                 rows, starts, lengths, whole, shard, ids = [], [], [], [], [], []
-                keys, copy = batch.column(2).slice(i, 512).to_pylist(), []
-                for key in keys:
-                    copy.append(seen[key])
-                    seen[key] += 1
-                keys = mix(np.array(keys, np.int64).view(np.uint64) + mix(np.array(copy, np.uint64) + np.uint64(partition << 32))) >> np.uint64(1)
+                keys = spread(batch.column(2).slice(i, 512))
                 for k, (text, key) in enumerate(zip(texts.slice(i, 512).to_pylist(), keys.tolist(), strict=True), i):
                     own = np.append(codec.ids(text or ""), np.uint32(end_id)).astype("<u2" if small else "<u4")
                     for start in range(0, len(own), capacity):

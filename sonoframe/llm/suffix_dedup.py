@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, length: int) -> DataFrame
             again = done.copy()
             again[one] = False
             names = [batch.column(c).to_numpy()[row] for c in ("k", "h")]
-            key = np.where(again, mix(names[0].astype(np.uint64) + first.astype(np.uint64)), key)
+            key = np.where(again, mix(names[0].view(np.uint64) + mix(np.arange(len(key)))), key)  # settled: to any bucket
             columns = [key.view(np.int64), context.view(np.int64), *names, first, (last - first) * 2 + done]
             for a in range(0, len(key), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], ["key", "context", "k", "h", "s", "pack"])

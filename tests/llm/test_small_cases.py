@@ -144,6 +144,20 @@ def test_packing_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_equal_rows_are_dealt_and_counted(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 20_000)  # some 30 blocks
+    rows = [(1, PROSE)] * 600 + [(2, "nothing like the others"), (None, PROSE)]
+    d = docs(spark, rows).repartition(3)
+    scored = lm_scoring.stupid_backoff(d)
+    out = scored.collect()
+    n = len(PROSE.split())
+    assert len(out) == 602 and {(r.n_words, r.n_order_3) for r in out if r.doc_id != 2} == {(n, n - 2)}
+    assert len({round(r.score, 9) for r in out if r.doc_id == 1}) == 1
+    left = {r.doc_id: (bytes(r.kept), r.n_bytes) for r in suffix_dedup.remove_repeats(d).collect()}
+    assert left[1][0] == left[None][0] == b"" and left[2][0] == b"nothing like the others"
+    assert suffix_dedup.remove_repeats(d).count() == 602
+
+
 def test_packing_spreads_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCS", 50)
     d = spark.range(0, 2000, 1, 3).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(PROSE).alias("text"))
