@@ -97,6 +97,28 @@ def decoder(directions: list[tuple[float, float] | None], shape: str = "max_re")
     return out
 
 
+#: Azimuth and elevation of the speakers that an ambisonic sound is decoded to, by their number; None is the
+#: LFE.
+SPEAKERS = {
+    2: [(45.0, 0.0), (-45.0, 0.0)],
+    4: [(45.0, 0.0), (-45.0, 0.0), (135.0, 0.0), (-135.0, 0.0)],
+    6: [(30.0, 0.0), (-30.0, 0.0), (0.0, 0.0), None, (110.0, 0.0), (-110.0, 0.0)],
+    8: [(30.0, 0.0), (-30.0, 0.0), (0.0, 0.0), None, (110.0, 0.0), (-110.0, 0.0), (90.0, 0.0), (-90.0, 0.0)],
+}
+
+
+def mix_for(channel_format: str, source: int, device: int, weights: list[float] | None = None, outputs: list[int] | None = None, shape: str = "max_re", turn: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> np.ndarray:
+    """The gains by which a sound goes to a device: decoded, after a turn (yaw, pitch, roll in degrees), if it is
+    ambisonic and the outputs are a layout of speakers (for one output W alone), else panned or mixed by its channels."""
+    n = len(outputs) if outputs is not None else device
+    if channel_format == "b_format_ambix" and source == 4 and (n == 1 or n in SPEAKERS):
+        speakers = np.eye(1, 4) if n == 1 else decoder(SPEAKERS[n], shape)
+        out = speakers @ rotation(*(math.radians(a) for a in turn))
+    else:
+        out = matrix(source, n) if weights is None else pan_matrix(source, weights, n)
+    return out if outputs is None else route(out, outputs, device)
+
+
 def mixed(voices: DataFrame, frame: str, value: str, gain: str) -> DataFrame:
     """(frame, mixed, voices): all voices' values at their gains summed per frame, where they are before the shuffle."""
     return voices.groupBy(frame).agg(F.sum(F.col(value) * F.col(gain)).alias("mixed"), F.count("*").alias("voices"))

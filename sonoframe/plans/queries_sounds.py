@@ -297,6 +297,36 @@ def panned_and_routed(spark, d):
     return m.select("s_suppkey", *(F.round(F.get("m", F.lit(i)), 6).alias(f"c{i + 1}") for i in (0, 1, 3)), F.round(F.get("mono", F.lit(0)), 6).alias("mono"))
 
 
+@query("""with a as (select * from (values (2, 0, 45.0e0), (2, 1, -45.0e0), (6, 0, 30.0e0), (6, 1, -30.0e0), (6, 2, 0.0e0), (6, 3, null), (6, 4, 110.0e0), (6, 5, -110.0e0)) as a(n, o, az)),
+ f as (select n, o, case when n = 2 then 2 else 5 end as active, radians(az) as az from a), r as (select n, o, 1.0e0 / active as w, coalesce(sin(az), 0) / sqrt(3) / active as y, coalesce(cos(az), 0) / sqrt(3) / active as x from f)
+ select n, o, 'b_format_ambix' as format, round(w, 9) as w, round(y * cos(radians(20)) + x * -sin(radians(20)), 9) as y, 0.0e0 as z, round(y * sin(radians(20)) + x * cos(radians(20)), 9) as x from r
+ union all select 1, 0, 'b_format_ambix', 1.0e0, 0.0e0, 0.0e0, 0.0e0 union all select 2, 0, 'pcm', 1.0e0, 0.0e0, round(sqrt(0.5e0), 9), 0.0e0 union all select 2, 1, 'pcm', 0.0e0, 1.0e0, 0.0e0, round(sqrt(0.5e0), 9)""")
+def mix_by_format(spark, d):
+    """Four channels are decoded, turned by 20 degrees, if they are ambisonic (W alone for one output), else mixed."""
+    mixes = [("b_format_ambix", n) for n in (1, 2, 6)] + [("pcm", 2)]
+    rows = [(n, o, f, *(round(float(g), 9) + 0.0 for g in row)) for f, n in mixes for o, row in enumerate(routing.mix_for(f, 4, n, turn=(20.0, 0.0, 0.0)))]
+    return spark.createDataFrame(rows, "n int, o int, format string, w double, y double, z double, x double")
+
+
+@query("""with b as (select * from (values (0, 0, 11), (1, 25, 44), (2, 50, 74)) as b(j, start, stop)), e as (select event_id, cast((row_number() over (partition by user_id order by ts, event_id) - 1) % 3 as int) as j from events)
+ select event_id, cast(start as bigint) as start, cast(stop as bigint) as stop from e join b using (j)""")
+def segments_in_turn(spark, d):
+    """The segment of a variant that each event plays, one after the other for each user."""
+    bounds = F.array(*(F.struct(F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("stop")) for a, b in ((0, 11), (25, 44), (50, 74))))
+    e = retention.round_robin(table(spark, d, "events"), ["user_id"], 1 << 30, "ts", "event_id").withColumn("bounds", bounds)
+    s = e.select("event_id", variants.segment_of(F.col("bounds"), "round_robin", F.col("turn_of")).alias("s"))
+    return s.select("event_id", "s.start", "s.stop")
+
+
+@query("""select * from (values (0, '[{"saturate":{"drive":0.0}},{"filter_low":{"freq":4600.0}},{"reverse":{}}]'), (1, '[{"saturate":{"drive":12.0}},{"filter_low":{"freq":4600.0}},{"reverse":{}}]'), (2, '[{"saturate":{"drive":6.0}},{"filter_low":{"freq":200.0}},{"reverse":{}}]')) as c(state, steps)""")
+def controlled_steps(spark, d):
+    """Steps whose parameters follow controllers, at three states: low, high, and none yet but another's of channel 3."""
+    kick, hats = (a for a in spec.read_map(KIT)[0] if a.name in ("kick", "hats"))
+    states = [{(10, 74): 0}, {(10, 74): 127}, {(3, 71): 0}]
+    rows = [(i, variants.canonical(kick.process + hats.process, s, 10)) for i, s in enumerate(states)]
+    return spark.createDataFrame(rows, "state int, steps string")
+
+
 @query("""with w as (select p_partkey as sample_id, p_size % 3 as how from part), v as (select p_partkey as sample_id, 'exact' as h from part where p_partkey % 2 = 0 union all select p_partkey, 'base' from part where p_partkey % 3 = 0)
  select sample_id, case when sample_id % 2 = 0 then 'exact' when sample_id % 3 = 0 then 'base' end as found from w""")
 def served_variants(spark, d):

@@ -44,6 +44,11 @@ def integrate(stream: DataFrame, steps: list[Callable[[DataFrame, int], None]],
     return stream.writeStream.option("checkpointLocation", log).foreachBatch(run)
 
 
+def following(map_file, step: Callable[[DataFrame, int, object], None]) -> Callable[[DataFrame, int], None]:
+    """A step for integrate() that is also given the note map (a sources.library.MapFile) as it is by then."""
+    return lambda batch, number: step(batch, number, map_file.current())
+
+
 def captured_notices(samples: DataFrame) -> DataFrame:
     """What is said of a new recording: address and six values."""
     return samples.select(F.lit("/sample/captured").alias("address"), "filepath", "duration", "pitch.dominant_pitch_hz", "pitch.dominant_pitch_class", "rhythm.tempo_bpm", "rhythm.onset_count")
