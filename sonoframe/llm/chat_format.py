@@ -83,8 +83,10 @@ def format_paths(nodes: DataFrame, loss_role: str = "assistant", paths: int | No
 
     spans has for each turn the first character of its masked text in formatted, from 0, and its length; both 0 where
     the turn is not of loss_role. Null roles and texts are empty. Of nodes with the same (conv_id, node), which a
-    caller must number apart, all are taken. An empty table gives an empty result.
+    caller must number apart, all are taken. Rows with a null conv_id are one conversation, other columns are not read,
+    and an empty table gives an empty result.
     """
+    nodes = nodes.select("conv_id", "node", "parent", "score", "role", "text")
     chosen = unkeyed(keyed(nodes).join(keyed(tree_paths(nodes, paths)), ["conv_id", "node"]))
     head = F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), F.lit(MID))
     t = chosen.select("conv_id", "path", "depth", head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), (F.coalesce("role", F.lit("")) == loss_role).alias("loss"))

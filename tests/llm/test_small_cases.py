@@ -260,6 +260,15 @@ def test_chat_null_conversation(spark):
     assert out[None].loss_sha256 == hashlib.sha256(b"a").hexdigest()
 
 
+def test_chat_ignores_other_columns(spark):
+    d = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string")
+    nodes = chat_format.linear(d)
+    for c in ("path", "depth", "rank", "span", "formatted", "spans", "loss", "up", "root", "has"):
+        nodes = nodes.withColumn(c, F.lit("x"))
+    plain, clashing = chat_format.format_paths(chat_format.linear(d)).collect(), chat_format.format_paths(nodes).collect()
+    assert plain == clashing and len(plain) == 1
+
+
 def test_chat_long_chain(spark):
     d = spark.range(300).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     out = chat_format.digest(chat_format.format_paths(chat_format.linear(d))).first()
