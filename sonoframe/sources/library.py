@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from yaml import YAMLError
 
 from sonoframe.functions.analysis import analyse_sounds
 from sonoframe.operators.detector import Detector, advance, fresh
@@ -146,7 +147,7 @@ class MapFile:
             try:
                 with open(self.path, encoding="utf-8") as f:
                     self.found, self.error = read_map(f.read(), os.path.dirname(os.path.abspath(self.path))), None
-            except ValueError as e:
+            except (ValueError, YAMLError) as e:
                 self.error = e
         return self.found
 

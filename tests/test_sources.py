@@ -13,8 +13,9 @@ from test_detector import sidecar
 
 from sonoframe.operators.detector import Detector
 from sonoframe.sources import audio, library, sidecars
+from sonoframe.streaming import capture
 from sonoframe.streaming.settle import settled
-from sonoframe.streaming.sinks import Backlog, Retrying, integrate
+from sonoframe.streaming.sinks import Backlog, Retrying, following, integrate, run_once
 
 RATE = 8000
 
@@ -140,3 +141,33 @@ def test_backlog_warns_and_clears():
     for came, done in ((10, 10), (90, 10), (0, 10), (5, 10)):
         b.heard(came, done)
     assert len(said) == 2 and "9.0 times" in said[0] and said[1] == "all rows are taken in"
+
+
+def test_capture_equals_whole_recordings(spark, recording, tmp_path):
+    """A stream in several micro-batches gives the frames that the whole recording does, wherever batches are cut."""
+    d = Detector.of(RATE, 100, snr_db=12, hold_s=0.1, warm_up_s=0.2)
+    want = library.segment_sounds(audio.read_wavs(spark, recording), d, 1000, 10, 20).orderBy("start").collect()
+    x = audio.frames_of(audio.read_wavs(spark, recording).first().pcm, 16, 1)
+    chunks = [("mic", i, bytearray(x[i * 100 : (i + 1) * 100].tobytes())) for i in range(len(x) // 100)]
+    for n, (a, b) in enumerate([(0, 83), (83, 86), (86, 202), (202, len(chunks))]):
+        spark.createDataFrame(chunks[a:b], capture.CHUNK).coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={n}"))
+        time.sleep(0.05)
+    live = spark.readStream.schema(capture.CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "batch=*"))
+    got = run_once(capture.captured(live, d, 16, 1, 1000, 10, 20), "captured").orderBy("start").collect()
+    assert [(r.start, r.stop, r.frames, bytes(r.pcm)) for r in got] == [(r.start, r.stop, r.frames, bytes(r.pcm)) for r in want] and len(want) == 2
+
+
+def test_map_is_followed(spark, tmp_path):
+    path = tmp_path / "map.yaml"
+    path.write_text("assignments:\n  - {name: a, channel: 1, notes: 60, select: {}}\n")
+    names = []
+    step = following(library.MapFile(str(path)), lambda batch, number, found: names.append([a.name for a in found[0]]))
+    rows = spark.range(1)
+    step(rows, 0)
+    path.write_text("assignments:\n  - {name: b, channel: 1, notes: 60, select: {}}\n")
+    os.utime(path, ns=(1, 1))
+    step(rows, 1)
+    path.write_text("assignments: [")
+    os.utime(path, ns=(2, 2))
+    step(rows, 2)
+    assert names == [["a"], ["b"], ["b"]]
