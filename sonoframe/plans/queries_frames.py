@@ -179,7 +179,8 @@ def ambient_ema(spark, d):
     return o.select("user_id", F.round(ambient(F.col("chunks"), 0.1), 6).alias("ambient"))
 
 
-DETECTOR = Detector(snr_db=3.0, alpha=0.1, hold=2, warm_up=1, longest=8, chunk=1)
+#: The SQL's ambient level starts at a stream's first value and at no later one.
+DETECTOR = Detector(snr_db=3.0, alpha=0.1, hold=2, warm_up=1, longest=8, chunk=1, anew=False)
 
 
 @query("""with recursive e as (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, value as r from events),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,34 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect())) != []
 
 
+#: Streams that begin with digital silence, at once or after a while, or have nothing else.
+SILENT = [[0.0] * 2, [0.3, 0.0, 0.2], [0.0] * 60, [5.0] + [0.0] * 200, [0.0] * 5, []]
+SOUND = [40.0, 90.0, 3.0, 0.0, 0.0, 70.0, 2.0, 1.0, 0.0, 80.0, 80.5, 81.0, 1.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("name", ["captured_stream"])
+def test_silent_start_equals_sql(spark, tmp_path, name):
+    streams = [v + (SOUND if k != 4 else []) for k, v in enumerate(SILENT)]
+    rows = [(k, i, v) for k, x in enumerate(streams) for i, v in enumerate(x)]
+    con = duckdb.connect()
+    con.execute("create table e (user_id bigint, i bigint, value double)")
+    con.executemany("insert into e values (?, ?, ?)", rows)
+    con.execute("create table events as select i * 100 + user_id as event_id, timestamp '2024-01-01' + to_seconds(i) as ts, user_id, 'view' as event_type, value, '{}' as props from e")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall()) != []
+
+
+def test_level_starts_anew_after_silence():
+    """A noise floor that follows digital silence is no event, unless the level is only to start once."""
+    d = {"snr_db": 12, "alpha": 0.1, "hold": 2, "warm_up": 1}
+    levels = [0.0] * 4 + [30.0] * 6 + [900.0] * 2 + [30.0] * 4
+    assert run(Detector(**d), levels) == [(10, 14)]
+    assert run(Detector(**d, anew=False), levels) == []
+
+
 def sidecar(**other):
     r = np.random.default_rng(1)
     out = {
