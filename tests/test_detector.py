@@ -64,7 +64,7 @@ SILENT = [[0.0] * 2, [0.3, 0.0, 0.2], [0.0] * 60, [5.0] + [0.0] * 200, [0.0] * 5
 SOUND = [40.0, 90.0, 3.0, 0.0, 0.0, 70.0, 2.0, 1.0, 0.0, 80.0, 80.5, 81.0, 1.0, 0.0, 0.0]
 
 
-@pytest.mark.parametrize("name", ["captured_stream"])
+@pytest.mark.parametrize("name", ["captured_stream", "recorded_segments", "segment_detect", "segment_detect_stream"])
 def test_silent_start_equals_sql(spark, tmp_path, name):
     streams = [v + (SOUND if k != 4 else []) for k, v in enumerate(SILENT)]
     rows = [(k, i, v) for k, x in enumerate(streams) for i, v in enumerate(x)]
