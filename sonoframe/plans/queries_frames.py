@@ -13,8 +13,10 @@ NUMBERED = "f as (select user_id, row_number() over (partition by user_id order
 
 
 def numbered(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events in the SQL's order, where what has no time comes last."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value", "event_type")
-    return e.withColumn("i", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint"))
+    order = [F.asc_nulls_last(c) for c in ("ts", "event_id")]
+    return e.withColumn("i", (F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1).cast("bigint"))
 
 
 @query(f"""with {NUMBERED}, w as (select user_id, i // 4 as w, sqrt(avg(value * value)) as r, count(*) as n from f group by 1, 2), q as (select user_id, quantile_cont(r, 0.05) as q from w where n = 4 group by 1),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +28,7 @@ def chunk_levels(x: np.ndarray, chunk: int) -> list[float]:
     return np.sqrt((whole**2).mean(1)).tolist()
 
 
-def segment_sounds(sounds: DataFrame, d: Detector, threshold: float, before: int = 10, after: int = 90) -> DataFrame:
+def segment_sounds(sounds: DataFrame, d: Detector, threshold: float, before: int = 10, after: int = 90, levels: Callable[[np.ndarray, int], list[float]] = chunk_levels) -> DataFrame:
     """The sound events in whole recordings, trimmed and faded: a row for each. A recording is one task's row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +36,7 @@ def segment_sounds(sounds: DataFrame, d: Detector, threshold: float, before: int
             rows = []
             for r in batch.itertuples():
                 x = audio.frames_of(r.pcm, r.bit_depth, r.channels)
-                for a, b in advance(d, fresh(d), chunk_levels(x, d.chunk)):
+                for a, b in advance(d, fresh(d), levels(x, d.chunk)):
                     y = audio.trim(x[max(0, a - before) : b], threshold, before, after)
                     rows.append((r.path, a, b, r.sample_rate, r.bit_depth, r.channels, len(y), y.tobytes()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT.split(", ")])

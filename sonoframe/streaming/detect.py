@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sonoframe.operators.detector import Detector, advance, fresh
+from sonoframe.operators.detector import MISSING, Detector, advance, fresh
 
 FIELDS = ["n", "mode", "ambient", "hold", "warm", "start"]
 STATE = "n bigint, mode int, ambient double, hold int, warm int, start bigint"
@@ -28,7 +28,8 @@ def segments(chunks: DataFrame, d: Detector, stream: str = "stream_id", order: t
         state.update(tuple(now[f] for f in FIELDS))
         yield pd.DataFrame({stream: [key[0]] * len(ended), "start": [a for a, _ in ended], "stop": [b for _, b in ended]})
 
-    return chunks.select(stream, *order, value).groupBy(stream).applyInPandasWithState(run, f"{stream} {kind}, start bigint, stop bigint", STATE, "append", GroupStateTimeout.NoTimeout)
+    levels = F.coalesce(F.col(value).cast("double"), F.lit(MISSING)).alias(value)
+    return chunks.select(stream, *order, levels).groupBy(stream).applyInPandasWithState(run, f"{stream} {kind}, start bigint, stop bigint", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def session_counts(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:

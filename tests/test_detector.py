@@ -79,6 +79,33 @@ def test_silent_start_equals_sql(spark, tmp_path, name):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall()) != []
 
 
+#: What a column of events may hold beside plain values, as SQL over i (0, 1, ...), user_id and value.
+ODD = {
+    "over 16 bits": ("value", "value * 1000"),
+    "over 64 bits": ("value", "value * 1e300"),
+    "negative": ("value", "case when i % 3 = 0 then -value else value end"),
+    "no value": ("value", "case when i % 9 = 0 then null else value end"),
+    "NaN": ("value", "case when i % 59 = 0 then 'nan'::double else value end"),
+    "infinite": ("value", "case when i % 59 = 0 then 'inf'::double else value end"),
+    "no user": ("user_id", "case when user_id % 2 = 0 then null else user_id end"),
+    "no time": ("ts", "case when i % 9 = 0 then null else ts end"),
+    "double user": ("user_id", "user_id * 1e7"),
+}
+
+
+@pytest.mark.parametrize("name, case", [*(("recorded_segments", c) for c in ODD), *((n, c) for n in ("segment_detect", "segment_detect_stream") for c in ("no value", "NaN"))])
+def test_odd_events_equal_sql(spark, tmp_path, name, case):
+    column, odd = ODD[case]
+    con = duckdb.connect()
+    con.execute("create table e as select i as event_id, i, timestamp '2024-01-01' + to_seconds(i) as ts, i % 5 as user_id, 'view' as event_type, cast(i * i * 37 % 211 * (i % 17) // 8 as double) as value, '{}' as props from range(0, 600) t(i)")
+    con.execute(f"create table events as select * exclude i replace ({odd} as {column}) from e")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall()) != []
+
+
 def test_level_starts_anew_after_silence():
     """A noise floor that follows digital silence is no event, unless the level is only to start once."""
     d = {"snr_db": 12, "alpha": 0.1, "hold": 2, "warm_up": 1}
